@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, packing
+from textloom.llm import bpe, packing, pii
 
 
 def queries() -> dict:
     return {
+        "op1_semi_markov_pii": pii.query,
         "op6_bpe_transducer": bpe.query,
         "op8_concat_and_cut": packing.query,
     }
