@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, packing, pii
+from textloom.llm import bpe, html_tree, packing, pii
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_semi_markov_pii": pii.query,
         "op6_bpe_transducer": bpe.query,
         "op8_concat_and_cut": packing.query,
+        "op9_tree_html": html_tree.query,
     }
 
 
