@@ -277,12 +277,13 @@ def generated(rng: random.Random) -> str:
     foot = lambda: rng.choice((f"<footer>&copy; {words(1, 5)} &middot; {sentence()}</footer>", f"<footer><p>{sentence()}</p><ul>{links(1, 4)}</ul></footer>", f"<div{name('footer', 'legal')}><p>Copyright {words(2, 9)}.</p></div>"))
     head = lambda: rng.choice((f"<header><h1>{words(1, 4)}</h1><p>{words(2, 6)}</p></header>", f"<div{name('header', 'masthead', 'logo')}>{words(1, 5)}</div>", ""))
 
-    odd = rng.choice((0, 0, 0.1, 0.5, 1.0, 1.0))
+    odd, style = rng.choice((0, 0, 0.1, 0.5, 1.0, 1.0)), rng.randint(0, 9)
 
     def block() -> str:
         x = rng.random()
         if x < odd:
-            return f"<p class=zzgood>{rng.choice((words(1, 6), words(10, 90), (word() + ' ') * rng.randint(5, 40), words(2, 9).upper() + '!!'))}</p>"
+            kinds = (words(1, 6), words(10, 90), (word() + " ") * rng.randint(5, 40), words(2, 9).upper() + "!!", words(1, 2) + ".", words(1, 3))
+            return f"<p class=zzgood>{kinds[style if style < 6 else rng.randint(0, 5)]}</p>"
         x = rng.random()
         if x < 0.65:
             return f"<p class=zzgood>{' '.join(sentence() for _ in range(rng.randint(1, 7)))}</p>"
@@ -300,7 +301,7 @@ def generated(rng: random.Random) -> str:
             return f"<p class=zzgood>{words(1, 4)} <a href='/y'>{words(1, 4)}</a> {words(0, 9)}</p>"
         return f"<p class=zzgood>{words(1, 2)}.</p>"
 
-    inner = [f"<h1 class=zzgood>{words(1, 9)}</h1>"] * (rng.random() < 0.8) + [block() for _ in range(rng.randint(1, 14))]
+    inner = [f"<h1 class=zzgood>{words(1, 9)}</h1>"] * (rng.random() < 0.8) + [block() for _ in range(rng.randint(1, 20))]
     for k in rng.sample(sorted(bad), rng.randint(0, 2)):
         if rng.random() < 0.5:
             inner.insert(rng.randint(1, len(inner)), bad[k]())
@@ -333,7 +334,7 @@ def labels(page: Page) -> list[int]:
 
 
 @lru_cache(maxsize=2)
-def fitted(pages: int = 300, rounds: int = 10, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def fitted(pages: int = 260, rounds: int = 16, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Node and edge weights by stochastic gradient on the exact log-likelihood."""
     rng = random.Random(seed)
     cases = [(p, labels(p)) for p in (parse(generated(rng)) for _ in range(pages))]
@@ -345,7 +346,7 @@ def fitted(pages: int = 300, rounds: int = 10, seed: int = 3) -> tuple[np.ndarra
             ws, edge = potentials((w, pair))
             node = [sum([ws[k] for k in f]) for f in page.features]
             belief, own, _ = messages(page, node, edge)
-            step, pair_step = -0.003 * w, -0.003 * pair
+            step, pair_step = -0.0005 * w, -0.0005 * pair
             for i, f in enumerate(page.features):
                 off = y[i] - 1 / (1 + math.exp(-max(-60.0, min(60.0, belief[i]))))
                 for k in f:
