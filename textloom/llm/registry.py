@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, html_tree, packing, pii
+from textloom.llm import bpe, html_tree, packing, pii, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_bpe_transducer": bpe.query,
         "op8_concat_and_cut": packing.query,
         "op9_tree_html": html_tree.query,
+        "op10_pattern_grammar": toxicity.query,
     }
 
 
