@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, html_tree, packing, pii, toxicity
+from textloom.llm import bpe, hilbert, html_tree, packing, pii, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_semi_markov_pii": pii.query,
+        "op2_uniform_threshold": topk.query,
+        "op4_shifted_hilbert": hilbert.query,
         "op6_bpe_transducer": bpe.query,
         "op8_concat_and_cut": packing.query,
         "op9_tree_html": html_tree.query,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_uniform_threshold": topk.SQL}
