@@ -124,3 +124,28 @@ class Hasher:
 
     def runs(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix(self.sums(words, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def sliced(docs: DataFrame, key: str, text: str, most: int = SLICE_BYTES) -> DataFrame:
+    """docs as rows of some megabytes: slice (its number), keys and offsets (int64), body (the texts' bytes, zstd), words (their count). Null text: empty."""
+
+    def run(batches):
+        import zstandard
+        from pyspark import TaskContext
+
+        press, number = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 32
+        for batch in slices(batches, text, most):
+            data, offsets = column_bytes(batch.column(1))
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = len(word_spans(data, offsets)[0])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([keys.tobytes()]), pa.array([offsets.tobytes()]), pa.array([press.compress(data.tobytes())]), pa.array([words])], names=["slice", "keys", "offsets", "body", "words"])
+            number += 1
+
+    return docs.filter(docs[key].isNotNull()).select(docs[key].cast("long"), docs[text]).mapInArrow(run, "slice long, keys binary, offsets binary, body binary, words long")
+
+
+def unsliced(keys: bytes, offsets: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, bytes and offsets of a slice."""
+    import zstandard
+
+    return np.frombuffer(keys, np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), np.frombuffer(offsets, np.int64)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, hilbert, html_tree, packing, pii, topk, toxicity
+from textloom.llm import bpe, debruijn, hilbert, html_tree, packing, pii, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_semi_markov_pii": pii.query,
         "op2_uniform_threshold": topk.query,
+        "op3_debruijn_dedup": debruijn.query,
         "op4_shifted_hilbert": hilbert.query,
         "op6_bpe_transducer": bpe.query,
         "op8_concat_and_cut": packing.query,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_uniform_threshold": topk.SQL}
+    return {"op2_uniform_threshold": topk.SQL, "op3_debruijn_dedup": debruijn.SQL}
