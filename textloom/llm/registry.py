@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, debruijn, hilbert, html_tree, ngram_join, packing, pii, topk, toxicity
+from textloom.llm import bpe, debruijn, hilbert, html_tree, line_dedup, ngram_join, packing, pii, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_uniform_threshold": topk.query,
         "op3_debruijn_dedup": debruijn.query,
         "op4_shifted_hilbert": hilbert.query,
+        "op5_line_set_join": line_dedup.query,
         "op6_bpe_transducer": bpe.query,
         "op7_token_group_matrix": ngram_join.query,
         "op8_concat_and_cut": packing.query,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_uniform_threshold": topk.SQL, "op3_debruijn_dedup": debruijn.SQL, "op7_token_group_matrix": ngram_join.SQL}
+    return {"op2_uniform_threshold": topk.SQL, "op3_debruijn_dedup": debruijn.SQL, "op5_line_set_join": line_dedup.SQL, "op7_token_group_matrix": ngram_join.SQL}
