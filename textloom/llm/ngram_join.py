@@ -5,10 +5,10 @@ component under links, so groups of copies are never expanded into pairs.
 
 1. Counts: one pass gives each set's size and 128-bit mark and a table of `CELLS` shingle counts, of fixed size.
 2. Order and prefixes: shingles are ordered by the class of their count, then by hash. Two sets that link share at least L shingles among the first
-   n - ceil(0.8 n) + L of each in any fixed order, so only these prefixes travel (L is 2, for small sets 1); common passages come last in the order and rarely travel.
-3. Groups: in each token's bucket, sets of similar size are compared with the first of them; verified links give the first components, which are the groups.
+   n - ceil(0.8 n) + L of each in any fixed order, so only these prefixes travel (L is 2 + n / 16, for small sets 1); common passages come last in the order and rarely travel.
+3. Groups: in each token's bucket, sets of similar size meet the first of them; each set is compared with the first that it meets most often, and verified links give the first components, which are the groups.
 4. Matrix: for each token the groups whose members hold it in their prefix (the group's token union), with their sizes. A set's overlap with a foreign
-   group's union bounds its overlap with every member; only groups that reach L are opened, first for one member of each group, then, for groups
+   group's union bounds its overlap with every member; only groups that reach L are opened, first for the one member that a set shares most with, then, for groups
    still apart, for every member that itself reaches L. All opened pairs are verified exactly. Nothing is capped, so no link is lost.
 
 Verification reads the texts of the documents in opened pairs again; a Bloom filter of fixed size spares the others.
@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import LOWER, Hasher, column_bytes, mix, slices, table, word_spans, written
@@ -101,7 +101,7 @@ def _ordered(s: Sets, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the prefix shingles in s, by document and order."""
     order = np.lexsort((s.hash, classes[(s.hash % np.uint64(CELLS)).astype(np.int64)], s.owner))
     need = -(-NUM * s.n // DEN)
-    length = np.minimum(s.n, s.n - need + np.where(s.n >= 10, 2, 1))
+    length = np.minimum(s.n, s.n - need + np.where(s.n >= 10, 2 + s.n // 16, 1))
     within = np.arange(len(order)) - s.begin[s.owner[order]]
     return order[within < length[s.owner[order]]], length
 
@@ -252,6 +252,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _least(n: str) -> str:
+    """SQL for L of a set of n shingles."""
+    return f"if({n} >= 10, 2 + floor({n} / 16), 1)"
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """key, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -264,8 +269,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     for r in chunks:
         counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.cells, np.int64)
     total = int(counts.sum())
-    common = counts / (8 * max(1.0, total / CELLS))
-    classes = spark.sparkContext.broadcast(np.where(common > 1, np.log2(np.maximum(common, 1)) + 1, 0).astype(np.int8))
+    common = counts / (1.5 * max(1.0, total / CELLS))
+    classes = spark.sparkContext.broadcast(np.where(common > 1, 2 * np.log2(np.maximum(common, 1)) + 1, 0).astype(np.int8))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 * ENTRIES))
 
     meta = told.filter("chunk is null").select("doc", "n", "one", "two")
@@ -276,30 +281,36 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     sent = docs.mapInArrow(_prefixes("text", size, buckets, classes), "bucket int, tokens binary, docs binary, sizes binary")
     met = written(sent.groupBy("bucket").applyInArrow(_met, "kind int, x long, y long, n int"), "tokens")
 
-    def named(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(one_rep.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "x")
-        both = left.join(one_rep.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "y")
-        return both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    first = named(met.filter("kind = 0").groupBy("x", "y").agg(F.sum("n").alias("hits")))
-    pairs = written(first, "pairs")
+    # round one: each document and the first document with which it shares most tokens
+    best = met.filter("kind = 0").groupBy("x", "y").agg(F.sum("n").alias("hits")).groupBy("y").agg(F.max_by("x", F.struct("hits", -F.col("x"))).alias("x"))
+    left = best.join(one_rep.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "x")
+    both = left.join(one_rep.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "y").filter("a <> b")
+    pairs = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verified(docs, "text", pairs, size)
     comps = components(links)
-    rows = written(met.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), "n").join(one_rep, "doc").groupBy("token", "rep").agg(F.max("n").alias("n")), "rows")
+    by_token = Window.partitionBy("token")
+    held = None
+    # round two for the best foreign group's member of each set, then for every opened pair
     for everyone in (False, True):
-        held = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        spread = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-        held = written(held.join(spread, "token"), "held")
+        named = comps.withColumnRenamed("node", "rep")
+        if held is None:
+            labels = one_rep.join(named, "rep", "left").select("doc", "rep", F.coalesce("comp", "rep").alias("comp"))
+            rows = met.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), "n").join(labels, "doc").drop("doc")
+        else:
+            rows = held.drop("comp").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        apart = rows.withColumn("low", F.min("comp").over(by_token)).withColumn("high", F.max("comp").over(by_token)).filter("low < high")
+        held = written(apart.groupBy("token", "rep", "comp").agg(F.max("n").alias("n")), "held")
         matrix = held.groupBy("token", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
         foreign = held.join(matrix, "token").filter("comp <> group").filter(f"{DEN} * n >= {NUM} * least and {NUM} * n <= {DEN} * most")
-        opened = foreign.groupBy("rep", "n", "group").agg(F.count(F.lit(1)).alias("hits")).filter("hits >= if(n >= 13, 2, 1)").select("rep", "n", "group")
-        asked = opened.join(held.select("rep", "token"), "rep")
+        # tokens that the set shares with the group's union bound the tokens shared with any member
+        hits = F.count(F.lit(1)).over(Window.partitionBy("rep", "group"))
+        opened = foreign.withColumn("hits", hits).filter(f"hits >= {_least(f'ceil({NUM} * n / {DEN})')}").select("token", "rep", "n", "group")
         members = held.select("token", F.col("comp").alias("group"), F.col("rep").alias("other"), F.col("n").alias("size"))
-        found = asked.join(members, ["token", "group"]).filter("rep <> other").filter(f"{DEN} * n >= {NUM} * size and {DEN} * size >= {NUM} * n")
-        found = found.groupBy("rep", "n", "group", "other", "size").agg(F.count(F.lit(1)).alias("hits")).filter("hits >= if(least(n, size) >= 10, 2, 1)")
+        found = opened.join(members, ["token", "group"]).filter("rep < other").filter(f"{DEN} * n >= {NUM} * size and {DEN} * size >= {NUM} * n")
+        found = found.groupBy("rep", "n", "other", "size").agg(F.count(F.lit(1)).alias("hits")).filter(f"hits >= {_least('least(n, size)')}")
         if not everyone:
-            found = found.groupBy("rep", "group").agg(F.min(F.struct(F.abs(F.col("n") - F.col("size")).alias("off"), "other")).alias("best")).select("rep", F.col("best.other").alias("other"))
-        found = found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+            found = found.groupBy("other").agg(F.max_by("rep", F.struct("hits", -F.col("rep"))).alias("rep"))
+        found = found.select(F.col("rep").alias("a"), F.col("other").alias("b")).join(pairs, ["a", "b"], "left_anti")
         more = written(found, "pairs")
         pairs = pairs.union(more)
         links = links.union(verified(docs, "text", more, size))

@@ -40,6 +40,7 @@ class Member:
     index: int = 0
     derived: str = ""
     ident: tuple[str, ...] = ()
+    literal: str = ""  # text that every match holds, for a quick look before the search
 
 
 class Text:
@@ -114,6 +115,8 @@ def hits(text: str, members: Sequence[Member]) -> list[tuple[int, int, int]]:
     """(from, member, to) by from, then member; each member's longest, not overlapping matches."""
     out = []
     for k, m in enumerate(members):
+        if m.literal and m.literal not in text:
+            continue
         if m.ident:
             out += [(s, k, e) for s, e in lexers.identifiers(text) if lexers.identifier_matches(text[s:e], list(m.ident))]
         else:
