@@ -177,7 +177,7 @@ def _one(op, av) -> frozenset[int] | None:
     """Characters of a node that is one character wide."""
     if op is C.LITERAL:
         c = min(av, 128)
-        return frozenset((c, ord(chr(c).swapcase()) if c < 128 else c, 128))
+        return frozenset((c, ord(chr(c).swapcase()))) if c < 128 else frozenset((128,))
     if op is C.NOT_LITERAL or op is C.ANY:
         return EVERY
     if op is C.IN:
