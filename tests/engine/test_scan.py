@@ -75,7 +75,7 @@ def test_scan_rows(spark):
     assert [r.captures["name"] for r in fn] == ["main", "helper"] and fn[0].block.full.startswith("func main() {") and fn[0].enclosing.name == "main"
     assert [(r.match, r.occurrence) for r in rows if r.pattern_id == "ident0"] == [("helper", "call_or_reference"), ("helper", "probable_definition")]
     got = scan.submatch(scan.match(c, [Pattern("line", "^.*TODO.*$")]).select("file", "match", "from"), "match", [Pattern("t", "T.D")], "from").select("file", "sub.*").orderBy("file", "from").collect()
-    assert [(r.file, r["from"]) for r in got] == [("a.go", 14), ("a.go", GO.rindex("TODO")), ("b.txt", 2)]
+    assert [(r.file, r["from"]) for r in got] == [("a.go", 14), ("a.go", GO.rindex("TODO")), ("b.txt", 4)]
 
 
 def test_relations_and_shapes(spark):

@@ -114,8 +114,7 @@ def elided(corpus: DataFrame, rows: DataFrame, context: int = 0) -> DataFrame:
         text = bytes(left["content"].iloc[0]).decode("utf-8", "replace").split("\n")
         out, groups = [key[0]], {}
         for r in right.itertuples():
-            e = r.enclosing
-            groups.setdefault((e["line_start"], e["line_end"]) if e else (r.line, r.line), []).append(r.line)
+            groups.setdefault((int(r.first), int(r.last)), []).append(int(r.line))
         for (first, last), at in sorted(groups.items()):
             want = {first, last} | {x for line in at for x in range(max(first, line - context), min(last, line + context) + 1)}
             shown = sorted(want)
@@ -129,7 +128,7 @@ def elided(corpus: DataFrame, rows: DataFrame, context: int = 0) -> DataFrame:
                 previous = n
         return pd.DataFrame({"file": [key[0]], "walk_ord": [left["walk_ord"].iloc[0]], "text": ["\n".join(out)]})
 
-    need = rows.select("file", "line", "enclosing").groupBy("file")
+    need = rows.select("file", "line", F.coalesce("enclosing.line_start", "line").alias("first"), F.coalesce("enclosing.line_end", "line").alias("last")).groupBy("file")
     return corpus.select("file", "content", "walk_ord").groupBy("file").cogroup(need).applyInPandas(run, "file string, walk_ord long, text string")
 
 
