@@ -106,30 +106,30 @@ def compact(rows: DataFrame) -> DataFrame:
 def elided(corpus: DataFrame, rows: DataFrame, context: int = 0) -> DataFrame:
     """Per file: the first line of each scope with a match, windows around matches (merged if at most two lines apart), what was left out, and the scope's last line."""
 
-    def run(key, left, right):
-        import pandas as pd
-
-        if left.empty or right.empty:
-            return pd.DataFrame({"file": [], "walk_ord": [], "text": []})
-        text = bytes(left["content"].iloc[0]).decode("utf-8", "replace").split("\n")
-        out, groups = [key[0]], {}
-        for r in right.itertuples():
-            groups.setdefault((int(r.first), int(r.last)), []).append(int(r.line))
+    def run(left, right):
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"file": pa.array([], pa.string()), "walk_ord": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        file = left.column("file")[0].as_py()
+        text = left.column("content")[0].as_py().decode("utf-8", "replace").split("\n")
+        out, groups = [file], {}
+        for r in right.to_pylist():
+            groups.setdefault((r["first"], r["last"]), []).append(r["line"])
         for (first, last), at in sorted(groups.items()):
             want = {first, last} | {x for line in at for x in range(max(first, line - context), min(last, line + context) + 1)}
-            shown = sorted(want)
             previous = first - 1
-            for n in shown:
+            for n in sorted(want):
                 if 0 < n - previous - 1 <= 2:
                     out += [f"  {k}: {text[k - 1]}" for k in range(previous + 1, n)]
                 elif n - previous > 1:
                     out.append(f"  … (+{n - previous - 1} lines)")
                 out.append(f"  {n}: {text[n - 1]}")
                 previous = n
-        return pd.DataFrame({"file": [key[0]], "walk_ord": [left["walk_ord"].iloc[0]], "text": ["\n".join(out)]})
+        return pa.table({"file": pa.array([file]), "walk_ord": left.column("walk_ord").slice(0, 1).combine_chunks(), "text": pa.array(["\n".join(out)])})
 
     need = rows.select("file", "line", F.coalesce("enclosing.line_start", "line").alias("first"), F.coalesce("enclosing.line_end", "line").alias("last")).groupBy("file")
-    return corpus.select("file", "content", "walk_ord").groupBy("file").cogroup(need).applyInPandas(run, "file string, walk_ord long, text string")
+    return corpus.select("file", "content", "walk_ord").groupBy("file").cogroup(need).applyInArrow(run, "file string, walk_ord long, text string")
 
 
 def summary(corpus: DataFrame, rows: DataFrame) -> DataFrame:
