@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from textloom.functions.patterns import Pattern
 from textloom.operators import filters, rank, scan, shapes
 from textloom.plans.query import run_query
+from textloom.plans.script import run_script
 from textloom.sources.corpus import Corpus
+from textloom.streaming import tail
 
 #: Patterns of the registered queries; their text means the same to Java, RE2 and Python.
 RX = {"lic": "(?i)license", "num": "[0-9]{3,}", "mail": "[a-z0-9.]+@[a-z0-9.]+", "loud": "[A-Z]{5,}", "ver": "[Vv]ersion [0-9]"}
@@ -345,6 +347,71 @@ def set_difference(spark, sf_dir):
     return _values(spark, sf_dir, "en").subtract(_values(spark, sf_dir, "de"))
 
 
+# --- scripts
+
+
+def _script(spark, sf_dir, doc: dict, schema: str, tables: Corpus | None = None) -> DataFrame:
+    out = run_script(spark, doc, tables or corpus(spark, sf_dir))
+    return out.rows.select(F.from_json("line", schema).alias("r")).select("r.*")
+
+
+@query("SELECT m AS number, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[0-9]{3,}')) AS m FROM documents) GROUP BY m")
+def script_map_increment(spark, sf_dir):
+    end = [{"action": "for_each", "var": "by", "key_as": "k", "as": "n", "do": [{"action": "emit", "data": {"number": "$k", "n": "$n"}}]}]
+    doc = {"variables": {"by": {"type": "map"}}, "patterns": [{"id": "num", "regexp": "[0-9]{3,}", "on_match": [{"action": "map_increment", "target": "by", "key": "$MATCH"}]}], "on_complete": end}
+    return _script(spark, sf_dir, doc, "number string, n long")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file, CAST(len(regexp_extract_all(text, '[0-9]{3,}')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '(?i)license')")
+def script_flag_per_file(spark, sf_dir):
+    end = [{"action": "if", "condition": {"op": "isset", "args": ["seen"]}, "then": [{"action": "emit", "data": {"file": "$FILE", "n": "$k"}}]}, {"action": "reset", "vars": ["seen", "k"]}]
+    patterns = [{"id": "lic", "regexp": "license", "case_insensitive": True, "on_match": [{"action": "set", "var": "seen", "value": True}]}, {"id": "num", "regexp": "[0-9]{3,}", "on_match": [{"action": "increment", "var": "k"}]}]
+    return _script(spark, sf_dir, {"variables": {"seen": {"type": "bool"}, "k": {"type": "int"}}, "patterns": patterns, "on_file_end": end}, "file string, n long")
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, 'token = "[0-9a-f]+"')) AS m FROM documents), f AS (SELECT m, arg_max(doc_id, doc_id) AS last FROM p GROUP BY m) SELECT CAST(p.doc_id AS VARCHAR) AS file, CAST(f.last AS VARCHAR) AS seen FROM p JOIN f USING (m)""")
+def script_phases_lookup(spark, sf_dir):
+    rx = 'token = "[0-9a-f]+"'
+    one = [{"id": "t", "regexp": rx, "on_match": [{"action": "map_set", "target": "at", "key": "$MATCH", "value": "$FILE"}]}]
+    two = [{"id": "t", "regexp": rx, "on_match": [{"action": "lookup", "map": "at", "key": "$MATCH", "on_hit": [{"action": "emit", "data": {"file": "$FILE", "seen": "$LOOKUP_VALUE"}}]}]}]
+    return _script(spark, sf_dir, {"variables": {"at": {"type": "map"}}, "phases": [{"patterns": one}, {"patterns": two}]}, "file string, seen string")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, CAST(len(regexp_extract_all(text, '[A-Z]{5,}')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '[A-Z]{5,}')")
+def script_group_by(spark, sf_dir):
+    doc = {"group_by": "f", "patterns": [{"id": "loud", "regexp": "[A-Z]{5,}", "on_match": [{"action": "emit", "data": {"f": "$FILE", "m": "$MATCH"}}]}]}
+    found = _script(spark, sf_dir, doc, "key string, `group` array<struct<f: string, m: string>>")
+    return found.select("key", F.size("group").cast("long").alias("n"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file, 'mail' AS missing FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+')")
+def script_absent(spark, sf_dir):
+    return _script(spark, sf_dir, {"patterns": [{"id": "mail", "regexp": "[a-z0-9.]+@[a-z0-9.]+", "absent": True, "on_match": [{"action": "emit", "data": {"file": "$FILE", "missing": "$PAT_ID"}}]}]}, "file string, missing string")
+
+
+# --- rows-only checks: lexers over markup
+
+
+@query()
+def block_braces(spark, sf_dir):
+    """The first balanced braces after each style element's start, over all pages."""
+    c = Corpus.from_table(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+    rows = scan.match(c, [Pattern("style", "<style>")], options=scan.Options(frozenset(("block",))))
+    return rows.select("file", F.col("block.text").alias("inside"), F.col("block.start").alias("start"), F.col("block.end").alias("end"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS file, unnest(regexp_extract_all(html, '\\btrack[A-Za-z0-9_]*')) AS name FROM pages")
+def ident_terms(spark, sf_dir):
+    c = Corpus.from_table(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+    return scan.match(c, [], [("track",)], options=scan.Options(frozenset())).select("file", F.col("match").alias("name"))
+
+
+@query()
+def streaming_window_counts(spark, sf_dir):
+    """The streaming aggregate's plan over a static table: matches by window of event time."""
+    return tail.counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", "props", "ts", [Pattern("k", '"k": [0-9]+')]).select(F.col("window.start").alias("start"), "pattern_id", "matches")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence lines near numbers, per document, ranked by how many."""
     q = _pair("inner", [{"op": "within_lines", "left": "a", "right": "b", "lines": 10}], {"file": "a.file", "pairs": {"count": "*"}, "lines": {"collect_distinct": "a.line"}}, group_by=["a.file"], order_by=[{"field": "pairs", "direction": "desc"}, {"field": "file"}])
