@@ -178,7 +178,7 @@ def _run(members: Sequence[Member], options: Options, most: int = 4096):
 
 
 def match_members(corpus: Corpus, members: Sequence[Member], options: Options = Options()) -> DataFrame:
-    df = corpus.df.filter(F.col("content").isNotNull()).select("file", "content", "walk_ord")
+    df = corpus.spread().filter(F.col("content").isNotNull()).select("file", "content", "walk_ord")
     return df.mapInArrow(_run(members, options), SCHEMA)
 
 
@@ -231,4 +231,4 @@ def list_scopes(corpus: Corpus, scope: str = "auto", custom: tuple[str, str, str
             columns = list(zip(*rows, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["walk_ord", "file", "name", "kind", "line_start", "line_end", "from", "to"])
 
-    return corpus.df.select("file", "content", "walk_ord").mapInArrow(run, SCOPES)
+    return corpus.spread().select("file", "content", "walk_ord").mapInArrow(run, SCOPES)

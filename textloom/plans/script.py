@@ -546,7 +546,7 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
         ends = [*phase.on_file_end, *(doc.get("on_file_end", []) if last else [])]
         shared, apart = script.shared(phase, ends)
         if apart:
-            out = df.mapInArrow(_files(script, phase, ends, store, shared, True), SCHEMA)
+            out = corpus.spread().select("file", "content", "walk_ord").mapInArrow(_files(script, phase, ends, store, shared, True), SCHEMA)
         else:
             warnings.append(f"phase {k} reads what other files change; it runs in scan order in one task")
             out = df.orderBy("walk_ord").coalesce(1).sortWithinPartitions("walk_ord").mapInArrow(_files(script, phase, ends, store, shared, False), SCHEMA)

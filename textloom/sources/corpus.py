@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from textloom.functions import lexers
 from textloom.sources import paths
 
+#: Bytes of a table below which one task will do, and of a part of one that is worth dealing out.
+SMALL, PART = 1 << 20, 64 << 20
 SCHEMA = "file string, content binary, walk_ord long"
 
 
@@ -48,6 +50,14 @@ class Corpus:
         read = listed.mapInArrow(_read, "file string, content binary, walk_ord long, code string")
         return cls(read.filter("code is null").drop("code"), missing, read.filter("code is not null").select(F.lit("warning").alias("type"), "code", "file"))
 
+    def spread(self) -> DataFrame:
+        """df for work in Python: a table of some megabytes, which often is one row group and so one task, is dealt over all cores; larger tables come in enough parts."""
+        if self.df.isStreaming:
+            return self.df
+        size = int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        cores = self.df.sparkSession.sparkContext.defaultParallelism
+        return self.df.repartition(cores) if SMALL < size < cores * PART else self.df
+
     def lines(self) -> DataFrame:
         """file, walk_ord, line (from 1), text of every line."""
         split = self.df.select("file", "walk_ord", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("pos", "text"))
