@@ -413,8 +413,10 @@ def streaming_window_counts(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence lines near numbers, per document, ranked by how many."""
-    q = _pair("inner", [{"op": "within_lines", "left": "a", "right": "b", "lines": 10}], {"file": "a.file", "pairs": {"count": "*"}, "lines": {"collect_distinct": "a.line"}}, group_by=["a.file"], order_by=[{"field": "pairs", "direction": "desc"}, {"field": "file"}])
+    """Numbers by document with the licence lines near them, most numbers first."""
+    join = {"type": "left", "set": "lic", "as": "b", "on": [{"op": "within_lines", "left": "a", "right": "b", "lines": 10}]}
+    select = {"file": "a.file", "numbers": {"count_distinct": "a.from"}, "licence_lines": {"collect_distinct": "b.line"}}
+    q = {"from": {"set": "num", "as": "a"}, "joins": [join], "group_by": ["a.file"], "select": select, "order_by": [{"field": "numbers", "direction": "desc"}, {"field": "file"}]}
     return _run(spark, sf_dir, LIC_NUM, q)
 
 
