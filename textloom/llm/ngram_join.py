@@ -7,9 +7,9 @@ component under links, so groups of copies are never expanded into pairs.
 2. Order and prefixes: shingles are ordered by the class of their count, then by hash. Two sets that link share at least L shingles among the first
    n - ceil(0.8 n) + L of each in any fixed order, so only these prefixes travel (L is 2 + n / 16, for small sets 1); common passages come last in the order and rarely travel.
 3. Groups: in each token's bucket, sets of similar size meet the first of them; each set is compared with the first that it meets most often, and verified links give the first components, which are the groups.
-4. Matrix: for each token the groups whose members hold it in their prefix (the group's token union), with their sizes. A set's overlap with a foreign
-   group's union bounds its overlap with every member; only groups that reach L are opened, first for the one member that a set shares most with, then, for groups
-   still apart, for every member that itself reaches L. All opened pairs are verified exactly. Nothing is capped, so no link is lost.
+4. Matrix: for each token the groups whose members hold it in their prefix (the group's token union), with their sizes and positions. A set's overlap with a foreign
+   group's union bounds its overlap with every member; only groups that reach L are opened, for the
+   members that themselves reach L. Before that, a few rounds compare each set with one neighbour in its tokens' lists, which joins near copies without their pairs. All opened pairs are verified exactly. Nothing is capped, so no link is lost.
 
 Verification reads the texts of the documents in opened pairs again; a Bloom filter of fixed size spares the others.
 Shingles match by 64-bit hashes (40 bits of them inside a pair).
@@ -32,6 +32,7 @@ SHINGLE = 5
 CELLS, CHUNK = 1 << 20, 1 << 16
 BLOOM_BITS, BLOOM_CHUNK = 1 << 25, 1 << 19
 ENTRIES = 1_200_000
+TURNS = 4
 #: Similarity of four fifths, as whole numbers.
 NUM, DEN = 4, 5
 
@@ -98,12 +99,13 @@ def _merged(column: str, kind, join):
 
 
 def _ordered(s: Sets, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the prefix shingles in s, by document and order."""
+    """Places of the prefix shingles in s, by document and order, and their positions in the order."""
     order = np.lexsort((s.hash, classes[(s.hash % np.uint64(CELLS)).astype(np.int64)], s.owner))
     need = -(-NUM * s.n // DEN)
     length = np.minimum(s.n, s.n - need + np.where(s.n >= 10, 2 + s.n // 16, 1))
     within = np.arange(len(order)) - s.begin[s.owner[order]]
-    return order[within < length[s.owner[order]]], length
+    kept = within < length[s.owner[order]]
+    return order[kept], within[kept]
 
 
 def _prefixes(text: str, size: int, buckets: int, classes):
@@ -116,29 +118,29 @@ def _prefixes(text: str, size: int, buckets: int, classes):
             _, first = np.unique(np.stack([one, two, s.n]), axis=1, return_index=True)
             alone = np.zeros(len(keys), bool)
             alone[first] = True  # one of each class of equal sets in the slice
-            at, _ = _ordered(s, classes.value)
-            at = at[alone[s.owner[at]]]
+            at, position = _ordered(s, classes.value)
+            at, position = at[alone[s.owner[at]]], position[alone[s.owner[at]]]
             bucket = (s.hash[at] % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            at, bucket = at[order], bucket[order]
+            at, position, bucket = at[order], position[order], bucket[order]
             found, begin = np.unique(bucket, return_index=True)
             end = np.append(begin[1:], len(bucket))
-            columns = (s.hash[at], keys[s.owner[at]].astype(np.int64), s.n[s.owner[at]].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array([c[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary()) for c in columns)], names=["bucket", "tokens", "docs", "sizes"])
+            columns = (s.hash[at], keys[s.owner[at]].astype(np.int64), s.n[s.owner[at]].astype(np.int32), position.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array([c[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary()) for c in columns)], names=["bucket", "tokens", "docs", "sizes", "places"])
 
     return run
 
 
 def _met(group: pa.Table) -> pa.Table:
-    """Per bucket: edge rows (kind 0: first document of the token's size band, other document, hits) and the rows of tokens that two documents hold (kind 1: token, document, size)."""
-    token, doc, n = (np.concatenate([np.frombuffer(x, k) for x in group.column(c).to_pylist()]) for c, k in (("tokens", np.uint64), ("docs", np.int64), ("sizes", np.int32)))
+    """Per bucket: edge rows (kind 0: first document of the token's size band, other document, hits) and the rows of tokens that two documents hold (kind 1: token, document, size, position)."""
+    token, doc, n, i = (np.concatenate([np.frombuffer(x, k) for x in group.column(c).to_pylist()]) for c, k in (("tokens", np.uint64), ("docs", np.int64), ("sizes", np.int32), ("places", np.int32)))
     order = np.lexsort((doc, token))
-    token, doc, n = token[order], doc[order], n[order]
+    token, doc, n, i = token[order], doc[order], n[order], i[order]
     same = token[1:] == token[:-1]
     several = np.zeros(len(token), bool)
     several[1:] |= same
     several[:-1] |= same
-    token, doc, n = token[several], doc[several], n[several]
+    token, doc, n, i = token[several], doc[several], n[several], i[several]
     band = np.floor(np.log(np.maximum(n, 1)) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
     order = np.lexsort((doc, band, token))
     t, b, d = token[order], band[order], doc[order]
@@ -152,6 +154,7 @@ def _met(group: pa.Table) -> pa.Table:
             "x": pa.array(np.concatenate([pairs[0], token.view(np.int64)])),
             "y": pa.array(np.concatenate([pairs[1], doc])),
             "n": pa.array(np.concatenate([hits, n]).astype(np.int32)),
+            "i": pa.array(np.concatenate([np.zeros(len(hits)), i]).astype(np.int32)),
         }
     )
 
@@ -252,6 +255,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _neighbours(held: DataFrame, turn: int) -> DataFrame:
+    """Each set and, of the sets of other components that stand before it in its tokens' shuffled lists, the one it meets most often."""
+    before = F.lag(F.struct("rep", "comp", "n")).over(Window.partitionBy("token").orderBy(F.xxhash64("rep", F.lit(turn)), "rep"))
+    met = held.withColumn("p", before).filter(f"p is not null and p.comp <> comp and {DEN} * n >= {NUM} * p.n and {DEN} * p.n >= {NUM} * n")
+    best = met.groupBy("rep", F.col("p.rep").alias("other")).agg(F.count(F.lit(1)).alias("hits")).groupBy("rep").agg(F.max_by("other", F.struct("hits", -F.col("other"))).alias("other"))
+    return best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def _opened(held: DataFrame) -> DataFrame:
+    """Pairs of sets of different components that the matrix and then the members' own tokens leave possible.
+
+    The j-th common token of similar sets of n and m shingles has at least ceil(4 / 9 (n + m)) - j + 1 shingles from there on in both; so L tokens of a similar pair pass with j = L.
+    """
+    matrix = held.groupBy("token", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("rest"))
+    loose = f"ceil(4 * (n + least) / 9) - {_least('n')} + 1"
+    foreign = held.join(matrix, "token").filter("comp <> group").filter(f"{DEN} * n >= {NUM} * least and {NUM} * n <= {DEN} * most").filter(f"n - i >= {loose} and rest >= {loose}")
+    # tokens that the set shares with the group's union bound the tokens shared with any member
+    hits = F.count(F.lit(1)).over(Window.partitionBy("rep", "group"))
+    opened = foreign.withColumn("hits", hits).filter(f"hits >= {_least(f'ceil({NUM} * n / {DEN})')}").select("token", "rep", "n", "i", "group")
+    members = held.select("token", F.col("comp").alias("group"), F.col("rep").alias("other"), F.col("n").alias("size"), F.col("i").alias("j"))
+    left = f"least(n - i, size - j) >= ceil(4 * (n + size) / 9) - {_least('least(n, size)')} + 1"
+    found = opened.join(members, ["token", "group"]).filter("rep < other").filter(f"{DEN} * n >= {NUM} * size and {DEN} * size >= {NUM} * n").filter(left)
+    found = found.groupBy("rep", "n", "other", "size").agg(F.count(F.lit(1)).alias("hits")).filter(f"hits >= {_least('least(n, size)')}")
+    return found.select(F.col("rep").alias("a"), F.col("other").alias("b"))
+
+
 def _least(n: str) -> str:
     """SQL for L of a set of n shingles."""
     return f"if({n} >= 10, 2 + floor({n} / 16), 1)"
@@ -278,8 +307,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     rep_of = written(meta.join(reps, ["n", "one", "two"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "classes")
     one_rep = rep_of.filter("n > 0").groupBy("doc").agg(F.min("rep").alias("rep"))
 
-    sent = docs.mapInArrow(_prefixes("text", size, buckets, classes), "bucket int, tokens binary, docs binary, sizes binary")
-    met = written(sent.groupBy("bucket").applyInArrow(_met, "kind int, x long, y long, n int"), "tokens")
+    sent = docs.mapInArrow(_prefixes("text", size, buckets, classes), "bucket int, tokens binary, docs binary, sizes binary, places binary")
+    met = written(sent.groupBy("bucket").applyInArrow(_met, "kind int, x long, y long, n int, i int"), "tokens")
 
     # round one: each document and the first document with which it shares most tokens
     best = met.filter("kind = 0").groupBy("x", "y").agg(F.sum("n").alias("hits")).groupBy("y").agg(F.max_by("x", F.struct("hits", -F.col("x"))).alias("x"))
@@ -290,31 +319,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     comps = components(links)
     by_token = Window.partitionBy("token")
     held = None
-    # round two for the best foreign group's member of each set, then for every opened pair
-    for everyone in (False, True):
+    # rounds over neighbours in shuffled token lists, a row for each token at most, join what hangs together; the last round opens every group that the bounds leave
+    for turn in range(1, TURNS + 2):
         named = comps.withColumnRenamed("node", "rep")
         if held is None:
             labels = one_rep.join(named, "rep", "left").select("doc", "rep", F.coalesce("comp", "rep").alias("comp"))
-            rows = met.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), "n").join(labels, "doc").drop("doc")
+            rows = met.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), "n", "i").join(labels, "doc").drop("doc")
         else:
             rows = held.drop("comp").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         apart = rows.withColumn("low", F.min("comp").over(by_token)).withColumn("high", F.max("comp").over(by_token)).filter("low < high")
-        held = written(apart.groupBy("token", "rep", "comp").agg(F.max("n").alias("n")), "held")
-        matrix = held.groupBy("token", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        foreign = held.join(matrix, "token").filter("comp <> group").filter(f"{DEN} * n >= {NUM} * least and {NUM} * n <= {DEN} * most")
-        # tokens that the set shares with the group's union bound the tokens shared with any member
-        hits = F.count(F.lit(1)).over(Window.partitionBy("rep", "group"))
-        opened = foreign.withColumn("hits", hits).filter(f"hits >= {_least(f'ceil({NUM} * n / {DEN})')}").select("token", "rep", "n", "group")
-        members = held.select("token", F.col("comp").alias("group"), F.col("rep").alias("other"), F.col("n").alias("size"))
-        found = opened.join(members, ["token", "group"]).filter("rep < other").filter(f"{DEN} * n >= {NUM} * size and {DEN} * size >= {NUM} * n")
-        found = found.groupBy("rep", "n", "other", "size").agg(F.count(F.lit(1)).alias("hits")).filter(f"hits >= {_least('least(n, size)')}")
-        if not everyone:
-            found = found.groupBy("other").agg(F.max_by("rep", F.struct("hits", -F.col("rep"))).alias("rep"))
-        found = found.select(F.col("rep").alias("a"), F.col("other").alias("b")).join(pairs, ["a", "b"], "left_anti")
+        held = written(apart.groupBy("token", "rep", "comp").agg(F.max("n").alias("n"), F.max("i").alias("i")), "held")
+        if turn <= TURNS:
+            found = _neighbours(held, turn)
+        else:
+            found = _opened(held)
+        found = found.join(pairs, ["a", "b"], "left_anti")
         more = written(found, "pairs")
-        pairs = pairs.union(more)
-        links = links.union(verified(docs, "text", more, size))
-        comps = components(links)
+        if more.limit(1).count():
+            pairs = pairs.union(more)
+            links = links.union(verified(docs, "text", more, size))
+            comps = components(links)
     out = rep_of.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
