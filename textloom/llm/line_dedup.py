@@ -72,11 +72,12 @@ def _similar(a: str, b: str) -> Column:
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc and pos of every line that goes."""
     lines = lines_of(docs, key, text)
-    ranked = _ranked(lines, rarity(lines))
+    length = F.col("n") - _need("n") + 1
+    ranked = written(_ranked(lines, rarity(lines)).select("doc", "pos", "sig", "n", "sk", F.slice("keys", F.lit(1), length).alias("prefix")), "lines")
     seen = written(ranked.groupBy("sig", "doc").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("copies")), "line-classes")
     firsts = seen.groupBy("sig").agg(F.min(F.struct("doc", "pos")).alias("at")).select("sig", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"))
 
-    prefix = ranked.select("doc", "sig", "n", "sk", F.posexplode(F.slice("keys", F.lit(1), F.col("n") - _need("n") + 1)).alias("i", "h"))
+    prefix = ranked.select("doc", "sig", "n", "sk", F.posexplode("prefix").alias("i", "h"))
     unique = prefix.groupBy("h", "sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("i").alias("i"), F.first("sk").alias("sk"))
     rows = written(unique, "line-prefixes")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)))
