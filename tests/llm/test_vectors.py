@@ -42,6 +42,17 @@ def test_topk_few_rows(spark):
     assert topk.search(df.limit(0), lambda c: c % 100 == 0).count() == 0
 
 
+def test_topk_repeated_queries(spark):
+    data = rows(120, 6, 3)
+    data += [data[0], data[20], data[20], (40, [3.0] * 6, "s", 1), (41, [2.0] * 6, "s", 1), (41, [2.0] * 6, "s", 1)]
+    good = [(i, np.floor(np.array(v) * 1024)) for i, v, *_ in data if v is not None and None not in v and np.isfinite(v).all()]
+    want = {q: sorted((-int((a * b).sum()), j) for i, a in good if i == q for j, b in good if j != q)[:10] for q in range(0, 120, 20)}
+    got = {}
+    for r in topk.search(spark.createDataFrame(data, SCHEMA), lambda c: c % 20 == 0, rows_in_block=32, queries_in_block=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    assert {q: [(s, j) for _, s, j in sorted(v)] for q, v in got.items()} == want
+
+
 def test_hilbert_curve_is_a_path():
     cells = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])
     path = cells[np.argsort(hilbert.hilbert_key(cells, 3))]

@@ -7,8 +7,8 @@ exactly and keeps those that reach the cutoff. Rows and queries meet as packed b
 block once), no single task holds all rows or all queries, and what goes on is at most k rows for a query and block.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of different lengths are compared as if the shorter ended in
-zeros; rows that repeat a vec_id are candidates each, but never for a query of the same vec_id; ties go to the smaller vec_id; with fewer than k
-candidates all are returned; an empty table gives an empty result. Other columns are not read.
+zeros; rows that repeat a vec_id are candidates each and queries each, but never candidates for a query of the same vec_id, and a query_id's k results are the best of all its rows'
+pairs, so that a candidate may stand there once for each query row, as in SQL; ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def search(df: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: st
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = heads.withColumn("rank", F.row_number().over(order))
     cutoffs = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("score").cast("double").alias("cutoff"))
-    told = asked.dropDuplicates(["key"]).join(cutoffs, "key", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf"))))
+    told = asked.join(cutoffs, "key", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf"))))
     found = _cells(vectors.blocks(told, query_blocks, "cutoff"), rows, count).mapInArrow(_each(False, k), schema)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
