@@ -15,6 +15,21 @@ def test_page():
         assert isinstance(H.main_text(odd, w, edge), str)
 
 
+def test_hidden_elements():
+    shown = ('style="overflow: hidden"', 'class="hidden-xs"', 'class="js-hidden article"', 'title="Hidden costs"', "href=/hidden/x", 'data-hidden="1"', 'aria-hidden="false"', 'data-x="display:none"', 'style="display:none;display:block"', "title='a hidden b'", 'class=hidden', "style='background:url(x?display:nonex)'")
+    shut = ("hidden", "HIDDEN", 'hidden=""', 'class="x" hidden="hidden"', "hidden=until-found", "aria-hidden=true", "aria-hidden='TRUE'", 'style="color:red; DISPLAY : none !important"', "style=display:none", 'style="/* x */display:none"')
+    texts = lambda s: [t for t in H.parse(s).texts if t is not None]
+    for a in shown:
+        assert texts(f"<div {a}><p>One.</p></div><p>Two.") == ["One.", "Two."], a
+        assert texts(f"<p>One <a {a}>more</a> word.</p>") == ["One more word."], a
+    for a in shut:
+        assert texts(f"<div {a}><p>One.<br>&lt;</p></div><p>Two.") == ["Two."], a
+        assert texts(f"<p>One <a {a}>mo<b>r<br>e</b></a> word.</p>") == ["One word."], a
+        assert texts(f"<p>One <span {a}>x<div>y</div>z</span> word.</p>")[0] == "One", a
+    w, edge = H.potentials(H.fitted())
+    assert H.main_text(PAGE.replace("<article>", '<article style="overflow: hidden">'), w, edge) == H.main_text(PAGE, w, edge)
+
+
 def test_marginals_equal_enumeration():
     page = H.parse(PAGE.split("<article>")[0] + "<p>One.</p>")
     w, edge = H.potentials(H.fitted())

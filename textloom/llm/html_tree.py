@@ -38,7 +38,10 @@ WALLS = frozenset("ul ol dl table div article section nav aside header footer ma
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<!--|<[!?][^>]*>")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+MAY_HIDE = re.compile(r"hidden|style", re.I)
+#: An attribute's name and value; a quote that nothing closes runs to the end.
+NAMED = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Words in class and id names, by what they usually mark.
@@ -87,6 +90,25 @@ class Page:
         self.parents, self.edges, self.features, self.texts, self.marks = [-1], [TAG_KIND["html"]], [[0, 1 + TAG_KIND["html"]]], [None], [None]
 
 
+def hides(attributes: str) -> bool:
+    """Whether a start tag's attributes hide its element: the attribute hidden (with any value, as in HTML), aria-hidden=true, or a style whose display is none."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for a in NAMED.finditer(attributes):
+        found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")  # the first of a name counts
+    if "hidden" in found or html.unescape(found.get("aria-hidden", "")).strip().lower() == "true":
+        return True
+    display, strong = "", False
+    for part in COMMENT.sub(" ", html.unescape(found.get("style", ""))).split(";"):
+        name, _, value = part.partition(":")
+        if name.strip().lower() == "display":
+            value, mark, _ = value.partition("!")
+            if mark or not strong:
+                display, strong = value.strip().lower(), bool(mark)
+    return display == "none"
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]  # open elements and their nodes; inline ones keep the node around them
@@ -99,7 +121,7 @@ def parse(source: str) -> Page:
         if not pieces:
             return
         text = " ".join(html.unescape("".join(pieces)).split())
-        if text and not shut:
+        if text:
             parent = stack[-1][1]
             n = len(text)
             share = linked / max(1, sum(map(len, pieces)))
@@ -131,7 +153,7 @@ def parse(source: str) -> Page:
         lt = source.find("<", at)
         if lt < 0:
             lt = size
-        if lt > at:
+        if lt > at and not shut:
             pieces.append(source[at:lt])
             if inside_link:
                 linked += lt - at
@@ -143,7 +165,8 @@ def parse(source: str) -> Page:
             if m is None:
                 if source.find(">", lt) < 0 and lt + 1 < size and (source[lt + 1].isalpha() or source[lt + 1] in "/!"):
                     break  # a tag that the page's end cuts off
-                pieces.append("<")
+                if not shut:
+                    pieces.append("<")
                 at = lt + 1
                 continue
         at = m.end()
@@ -169,7 +192,8 @@ def parse(source: str) -> Page:
             at = end.end() if end else (at if m[3].endswith("/") else size)
             continue
         if tag in VOID:
-            pieces.append(" ")
+            if not shut:
+                pieces.append(" ")
             if tag == "hr":
                 flush()
             continue
@@ -177,8 +201,7 @@ def parse(source: str) -> Page:
             if not m[3].endswith("/"):
                 stack.append((tag, stack[-1][1]))
                 inside_link += tag == "a"
-                if m[3] and not shut and HIDDEN.search(m[3]):
-                    flush()
+                if m[3] and not shut and hides(m[3]):
                     shut = len(stack) - 1
             continue
         flush()
@@ -208,7 +231,7 @@ def parse(source: str) -> Page:
         page.texts.append(None)
         page.marks.append(mark)
         stack.append((tag, len(page.parents) - 1))
-        if m[3] and not shut and HIDDEN.search(m[3]):
+        if m[3] and not shut and hides(m[3]):
             shut = len(stack) - 1
     flush()
     return page
