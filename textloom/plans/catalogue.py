@@ -115,8 +115,8 @@ def literal_branches(spark, sf_dir):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS file, CAST(len(regexp_extract_all(text, '\\bof\\b')) AS BIGINT) AS n FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7f]*') AND regexp_matches(text, '\\bof\\b')")
 def whole_word(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").filter(~F.col("text").rlike("[^\\x00-\\x7f]"))
-    rows = scan.match(Corpus.from_table(docs, "doc_id", "text"), [Pattern("of", "of", word_boundary=True)], options=scan.Options(frozenset()))
+    # over all documents; the SQL twin covers English ASCII texts only
+    rows = scan.match(corpus(spark, sf_dir), [Pattern("of", "of", word_boundary=True)], options=scan.Options(frozenset()))
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
