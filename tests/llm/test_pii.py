@@ -39,6 +39,16 @@ def test_added_spans():
         assert found(clean) == []
 
 
+def test_written_forms_anywhere():
+    for ip in ("10[.]0[.]0[.]1", "10 . 0 . 0 . 1", "8(.)8(.)8(.)8"):
+        assert found(f"the server {ip} is down") == [("ip", ip)]
+    mail = "john (at) mail (dot) com"
+    assert found(f"İstanbul mail {mail} now") == [("email", mail)]
+    assert found("mail john ( at ) mail\tdot\tcom now") == [("email", "john ( at ) mail\tdot\tcom")]
+    for clean in ("rows 1, 2, 3, 4 and 5", "0 1 0 0\n1 1 0 1", "(1)(2)(3)(4)", "sections 2.1, 2.2 and 3.4", "scores 10-12-3-4", "1. a 2. b 3. c 4. d"):
+        assert found(clean) == []
+
+
 def test_best_equals_brute_force():
     import itertools
 

@@ -3,9 +3,9 @@
 Base spans come from four patterns with checks (parts, Luhn, digit counts); they always stay. The field adds spans that the
 patterns cannot see (numbers in national form, written-out addresses, other separators): around every place that could hold an
 entity it scores whole candidate segments of at most `MOST` tokens - digit grouping, separators, Luhn, edges, cue words before the segment -
-and one dynamic program chooses boundaries and types together. A segment can only be an entity if it holds an anchor (enough digits, or an at-sign or its
-written form), so text far from anchors is outside with certainty and needs no scoring: the result is the exact best
-segmentation of the whole text. Weights are fitted by exact likelihood on generated sentences, so they do not depend on the corpus.
+and one dynamic program chooses boundaries and types together. A segment can only be an entity if it holds an anchor (enough digits, four short digit groups with dots between them, or an at-sign or its
+written form), and only text around anchors is scored: the result is the exact best segmentation there, and the rest is outside. A bare word "at" is no anchor, so
+an address written with it is found only near another one, such as a bare word "dot". Weights are fitted by exact likelihood on generated sentences, so they do not depend on the corpus.
 
 Defined cases: null and empty text have no spans; long texts are read whole in linear time; repeated rows give equal rows; an empty table gives an empty result. Other
 columns are not read.
@@ -81,8 +81,9 @@ MOST, AROUND = 16, 6
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\n")
 #: Seven digits with short gaps, or an at-sign; and the written forms of an at-sign.
 ANCHOR = re.compile(r"[0-9](?:[^0-9\n]{0,4}[0-9]){6,}|@")
-WRITTEN = ("(at)", "[at]", "{at}", " dot ", "(dot)", "[dot]")
-WRITTEN_AT = re.compile(r"[\[({]\s?(?:at|dot)\s?[\])}]|(?<=\s)dot(?=\s)")
+WRITTEN = (re.compile(r"[\[({]\s?(?:[aA][tT]|[dD][oO][tT])\s?[\])}]"), re.compile(r"[dD][oO][tT](?<=\s...)(?=\s)"))
+#: Four groups of at most three digits with dots between them, written or not.
+GROUPS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[^0-9\n]{0,3}?(?:\.|[dD][oO][tT])[^0-9\n]{0,3}[0-9]{1,3}(?![0-9])){3}")
 CUES = {
     1: frozenset("mail email e-mail mailto contact correo courriel".split()),
     2: frozenset("ip host server addr address ping node".split()),
@@ -156,20 +157,22 @@ def featured(tokens: list[tuple[str, int, int]], i: int, j: int, text: str) -> l
 N_FEATURES, N_TYPES = 56, 5  # type 0: outside, always one token
 
 
-def possible(tokens: list[tuple[str, int, int]], i: int, j: int, digits: list[int], ats: list[int]) -> bool:
+def possible(tokens: list[tuple[str, int, int]], i: int, j: int, digits: list[int], ats: list[int], shorts: list[int], dots: list[int]) -> bool:
     """Whether tokens[i:j] holds an anchor and begins and ends like an entity."""
     first, last = tokens[i][0], tokens[j - 1][0]
-    return (ats[j - 1] > ats[i + 1] or digits[j] - digits[i] >= 7) and (first[0].isalnum() or first in "+(") and last[0].isalnum() and last.lower() not in ("at", "dot")
+    return (ats[j - 1] > ats[i + 1] or digits[j] - digits[i] >= 7 or shorts[j] - shorts[i] >= 4 and dots[j] - dots[i] >= 3) and (first[0].isalnum() or first in "+(") and last[0].isalnum() and last.lower() not in ("at", "dot")
 
 
 def lattice(tokens, text):
     """Candidate segments (i, j) with their features, and for each token the features of leaving it outside."""
-    digits, ats = [0], [0]
+    digits, ats, shorts, dots = [0], [0], [0], [0]
     after = [w[0].isalpha() or w in "])}" for w, _, _ in tokens[1:]] + [False]
     for (w, _, _), named in zip(tokens, after, strict=False):
         digits.append(digits[-1] + (len(w) if w[0].isdigit() and w[0].isascii() else 0))
+        shorts.append(shorts[-1] + (len(w) <= 3 and w[0].isdigit() and w[0].isascii()))
+        dots.append(dots[-1] + (w == "." or w.lower() == "dot"))
         ats.append(ats[-1] + (w == "@" or named and w.lower() == "at"))
-    segments = [(i, j) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + MOST) + 1) if possible(tokens, i, j, digits, ats)]
+    segments = [(i, j) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + MOST) + 1) if possible(tokens, i, j, digits, ats, shorts, dots)]
     return segments, [featured(tokens, i, j, text) for i, j in segments]
 
 
@@ -305,10 +308,10 @@ def fitted(sentences: int = 500, rounds: int = 12, seed: int = 7) -> np.ndarray:
 
 def regions(text: str) -> list[tuple[int, int]]:
     """Character intervals around anchors; overlapping ones are one."""
-    found = [(m.start(), m.end()) for m in ANCHOR.finditer(text)] if DIGIT.search(text) or "@" in text else []
-    low = text.lower()
-    if any(w in low for w in WRITTEN) and len(low) == len(text):
-        found += [(m.start(), m.end()) for m in WRITTEN_AT.finditer(low)]
+    found = [(m.start(), m.end()) for m in ANCHOR.finditer(text)] if "@" in text or DIGIT.search(text) else []
+    if DIGIT.search(text):
+        found += [(m.start(), m.end()) for m in GROUPS.finditer(text)]
+    found += [(m.start(), m.end()) for w in WRITTEN for m in w.finditer(text)]
     out: list[tuple[int, int]] = []
     for s, e in sorted(found):
         s, e = max(0, s - 60), e + 60
