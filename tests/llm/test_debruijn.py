@@ -40,3 +40,13 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     rows = [(i, " ".join(str((i % 7) * 100 + j) for j in range(40))) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.text, sum(s.words for s in r.spans)) for r in debruijn.dedup(df).collect()) == brute(rows, 13)
+
+
+def test_rows_without_a_key_stay_whole(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, words), (5, words), (None, words), (7, words), (None, None), (None, "é  x\n" + words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text, len(r.spans)) for r in debruijn.dedup(df).collect()]
+    assert sorted(got, key=repr) == sorted([(5, words, 0), (7, "", 1), (None, words, 0), (None, words, 0), (None, "", 0), (None, f"é x {words}", 0)], key=repr)
+    alone = debruijn.dedup(spark.createDataFrame(rows[:1], df.schema))
+    assert [tuple(r)[:2] for r in alone.collect()] == [(None, words)]

@@ -56,3 +56,9 @@ def test_a_chain_is_one_component(spark):
 
 def test_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string, rep long")).count() == 0
+
+
+def test_rows_without_a_key_are_no_nodes(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(None, text), (5, text), (None, "x"), (7, text + " y"), (None, None)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.join(df).collect()) == [(5, 26, 5), (7, 27, 5)]

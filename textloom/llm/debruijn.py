@@ -14,7 +14,7 @@ are paths, compacted into spans of words. Three passes over the texts, which lie
 A filter that is too full only lets more windows into pass 2; results stay whole. An edge matches by its 64-bit hash inside buckets of equal anchors, which is a second hash.
 
 Defined cases: null and empty texts have no words; a text of fewer words than a window keeps them all; rows that repeat a doc_id are read each, and neither
-counts as smaller; long texts are a slice of their own; an empty table gives an empty result. Other columns are not read.
+counts as smaller; rows whose doc_id is null keep all their words and count for no other; long texts are a slice of their own; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Hasher, mix, sliced, table, unsliced, word_spans, written
+from textloom.llm.common import Hasher, column_bytes, mix, sliced, slices, table, unsliced, word_spans, written
 
 WINDOW, GRAM = 13, 5
 #: Bits of the filter over repeated anchors: 16 MB, whatever the input.
@@ -210,6 +210,21 @@ def _resolved(window: int, buckets: int, kept, made, names: list[str], kinds: li
     return run
 
 
+def _kept(window: int, text: str, made, names, kinds):
+    """Rows of made(...) for texts without a key, nothing removed."""
+
+    def run(batches):
+        words, grams = hashers()
+        for batch in slices(batches, text):
+            data, offsets = column_bytes(batch.column(1))
+            e = Edges(data, offsets, words, grams, window)
+            rows = made(np.zeros(batch.num_rows, np.int64), data, offsets, e, np.zeros(len(e.starts), bool))
+            rows = [(None, *row[1:]) for row in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
 def _digested(keys, data, offsets, e: Edges, removed: np.ndarray) -> list[tuple]:
     body, out = data.tobytes(), []
     for d, key in enumerate(keys.tolist()):
@@ -246,7 +261,8 @@ def _solved(docs: DataFrame, key: str, text: str, window: int, made, names, kind
     answered = sent.groupBy("bucket").applyInArrow(answers, "slice long, bucket int, mask binary")
     by_slice = answered.groupBy("slice").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     joined = held.join(by_slice, "slice", "left").select("slice", "keys", "offsets", "body", "masks")
-    return joined.mapInArrow(_resolved(window, buckets, kept, made, names, kinds), schema)
+    unnamed = docs.filter(docs[key].isNull()).select(docs[key].cast("long"), docs[text]).mapInArrow(_kept(window, text, made, names, kinds), schema)
+    return joined.mapInArrow(_resolved(window, buckets, kept, made, names, kinds), schema).union(unnamed)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

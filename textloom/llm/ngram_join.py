@@ -14,7 +14,8 @@ component under links, so groups of copies are never expanded into pairs.
 Verification reads the texts of the documents in opened pairs again; a Bloom filter of fixed size spares the others.
 Shingles match by 64-bit hashes (40 bits of them inside a pair).
 
-Defined cases: null and empty texts have the empty set and link with nothing; texts of fewer words than a shingle are one shingle; rows that repeat a doc_id are one node; ties go to the
+Defined cases: null and empty texts have the empty set and link with nothing; texts of fewer words than a shingle are one shingle; rows that repeat a doc_id are one node; rows whose doc_id is null
+are no nodes and have no row in the result, as in SQL; ties go to the
 smallest doc_id; an empty table gives an empty result. Other columns are not read.
 """
 
