@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from textloom.llm import line_dedup
 
 
@@ -39,3 +41,37 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a b c\na b c")], "doc_id long, text string")
     plan = line_dedup.dedup(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("rare", [0, 3, 8])
+def test_pairs_of_words_find_what_rare_words_do_not(spark, monkeypatch, rare):
+    """Lines of 4 to 40 words with edits up to the limit; the fewer words count as rare, the more keys are pairs."""
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    rng = random.Random(11 + rare)
+    vocabulary = [f"w{i}" for i in range(70)]
+    rows = []
+    for g in range(60):
+        n = rng.randint(4, 40)
+        base = rng.sample(vocabulary, n)
+        for c in range(4):
+            w, own = list(base), n // 9 + rng.randint(0, 1)
+            for _ in range(rng.randint(0, own)):
+                w.pop(rng.randrange(len(w)))
+            for _ in range(rng.randint(0, own)):
+                w.append(rng.choice(vocabulary))
+            rng.shuffle(w)
+            rows.append((4 * g + c, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == brute(rows)
+
+
+def test_repeated_and_missing_ids_and_clashing_names(spark):
+    """A row that repeats an id with another text is a document of its own; equal rows lose the same lines; rows without id stay."""
+    rows = [(1, "alpha beta gamma\nsame line here now"), (2, "same line here now\nkeep me one"), (2, "other text entirely\nkeep me two"), (None, "same line here now"), (None, None), (3, "twice\ntwice"), (3, "twice\ntwice")]
+    names = ("gone", "doc", "th", "sig", "d", "pos", "__gone")
+    df = spark.createDataFrame([(*r, *[1] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = line_dedup.dedup(df)
+    assert got.columns == df.columns
+    out = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    want = [(1, rows[0][1]), (2, "keep me one"), (2, "other text entirely\nkeep me two"), (None, "same line here now"), (None, None), (3, "twice"), (3, "twice")]
+    assert out == sorted(want, key=str)

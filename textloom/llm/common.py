@@ -39,14 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: A job's shuffle files go when its table is written (and no later job can want them).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no rework."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that no later plan reads."""
+    for df in tables:
+        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column's bytes stay near `most` in each piece."""
     for batch in batches:

@@ -1,43 +1,71 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's set is its distinct words. A line goes if an earlier line (smaller doc_id, then smaller line number) has Jaccard similarity of at least four fifths
-with it, whether that one stays or not.
+A line's set is its distinct words. A line goes if an earlier line has Jaccard similarity of at least four fifths with it, whether that one stays or not.
+Lines come in the order of doc_id, then of the text's hash (rows that repeat a doc_id), then of the line number.
 
 1. Rarity: one pass counts words in `CELLS` hash cells; a cell's logarithm is one letter of a string of fixed size. Every line's words are
    ordered by their cell's class, rare ones first, then by hash.
-2. Classes: lines with equal sets are one class, with its first line; all others of it go.
-3. Prefixes: two similar sets share a word among the first n - ceil(0.8 n) + 1 of each. Prefix rows (word, class, size, position, a 64-bit parity of
-   the set) are reduced by (word, class) before they travel, so a hot line is one row for each of its prefix words.
-4. Round one compares each class with the first class of its word and size band. Round two compares classes that found no earlier partner with all earlier ones of their words.
-   Length, position and parity filters are part of the join: the parities of similar sets differ in at most as many bits as the sets in words.
-5. Every pair that passed is verified by its words; a class whose only partner of round one fails there goes through round two as well.
-
-Defined cases: null and empty texts have no lines to remove; lines without words stay and match nothing; very long lines are sets as any; equal rows of a doc_id count as one document whose
-lines come after one another by number; an empty table gives an empty result; other columns are kept by `dedup`.
+2. Classes: lines with equal sets are one class, with its first line; all others of it go. Only the first lines, with their leading words, travel on.
+3. Prefixes. Two similar sets have at most n / 5 words of one's own and share a word among the first n / 5 + 1 of each. If a shared word there is rare (cells of class
+   below `RARE`, so few rows whatever the corpus), that word is the key. Words that are not rare are never keys of their own, as their rows would grow with the corpus:
+   if two similar sets share no rare word, all rare words are own ones, and every break between two shared words of the rest costs one own word more, so that some pair of words stands side by
+   side in both sets, within the bound of `_keys`; such pairs are the other keys.
+4. Round one: each class with the first one of each of its keys, under length, positional and parity filters (the parities of similar sets differ in no more bits than the sets in words).
+   Round two, a self-join by key under the same filters: classes that round one has not removed, with all earlier ones. So a large group of near copies makes no pairs of all its lines.
+5. Every pair that passed is verified by its words.
+
+Defined cases: null and empty texts have no lines to remove; lines without words stay and match nothing; very long lines are sets as any; rows equal in doc_id and text count as one document
+and lose the same lines; rows that repeat a doc_id with another text are documents of their own; rows without doc_id are left as they are and remove nothing; an empty table gives an
+empty result; other columns, whatever their names, are kept by `dedup`. Words are compared by their hashes, of 58 bits within a class and of 64 bits in the verification.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, written
+from textloom.llm.common import forget, table, written
 
-CELLS, CHUNK = 1 << 20, 1 << 10
-WORDS = r"[ \t\n\x0B\f\r]+"
+CELLS, CHUNK = 1 << 21, 1 << 11
+#: Cells of less than 2^RARE words in all hold rare ones.
+RARE = 4
+#: A cell's class stands above this many bits of a word's hash.
+LOW = 58
+#: Bits of a set's parity.
+ODD = 36
 
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, pos, hs (hashes of distinct words) of the lines that hold words."""
-    split = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    hashed = F.transform(F.array_distinct(F.split("line", WORDS)), lambda w: F.when(w != "", F.xxhash64(w)))
-    return split.select("doc", "pos", F.array_compact(hashed).alias("hs")).filter(F.size("hs") > 0)
+def _spaced(text: Column) -> Column:
+    """The text with each separator but the line feed as a space."""
+    for c in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
-def rarity(lines: DataFrame) -> bytes:
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, th (the text's hash), text of the rows whose lines are judged."""
+    rows = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("text"))
+    return rows.filter("doc is not null and text is not null").select("doc", _text_hash(F.col("text")).alias("th"), "text")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    return rows.select("doc", "th", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("pos", "line"))
+
+
+def _hashes(line: Column) -> Column:
+    """The distinct words' hashes."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def rarity(rows: DataFrame) -> bytes:
     """One letter for each cell: how often its words come, as a logarithm."""
-    spark = lines.sparkSession
-    counts = lines.select(F.explode("hs").alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    spark = rows.sparkSession
+    words = rows.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(CELLS - 1).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     cells = spark.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left")
     letter = F.char((F.lit(65) + F.least(F.lit(25), F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1))).cast("int")).cast("long"))
     chunks = cells.groupBy((F.col("cell") / CHUNK).cast("int").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", letter.alias("c")))), lambda x: x["c"]), "").alias("letters"))
@@ -45,97 +73,136 @@ def rarity(lines: DataFrame) -> bytes:
 
 
 def _ranked(lines: DataFrame, letters: bytes) -> DataFrame:
-    """doc, pos, sig (of the set), n, sk (parity), keys (rare first)."""
-    table_ = F.lit(bytearray(letters))
+    """doc, th, pos, sig (of the set), n, parity (a bit for each of `ODD` remainders of the words: how often they come, odd or even), head (its first words, rare ones first)."""
+    cells = F.lit(bytearray(letters))
 
     def key(h: Column) -> Column:
-        rank = F.ascii(F.substring(table_, h.bitwiseAND(CELLS - 1).cast("int") + 1, F.lit(1)).cast("string")) - 65
-        return F.shiftleft(rank.cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+        rank = F.ascii(F.substring(cells, h.bitwiseAND(CELLS - 1).cast("int") + 1, F.lit(1)).cast("string")) - 65
+        return F.shiftleft(rank.cast("long"), LOW).bitwiseOR(F.shiftrightunsigned(h, 64 - LOW))
 
-    keyed = lines.select("doc", "pos", F.sort_array(F.transform("hs", key)).alias("keys"))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
-    return keyed.select("doc", "pos", F.xxhash64("keys").alias("sig"), F.size("keys").alias("n"), parity.alias("sk"), "keys")
+    keyed = lines.select("doc", "th", "pos", F.sort_array(F.transform(_hashes(F.col("line")), key)).alias("keys")).filter(F.size("keys") > 0)
+    n = F.size("keys")
+    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x % ODD).cast("int"))))
+    return keyed.select("doc", "th", "pos", F.xxhash64("keys").alias("sig"), n.alias("n"), parity.alias("parity"), F.slice("keys", F.lit(1), (n * 2 / 5).cast("int") + 2).alias("head"))
 
 
-def _need(n: Column | str) -> Column:
-    return F.ceil(F.col(n) * 4 / 5).cast("int")
+def _keys(classes: DataFrame) -> DataFrame:
+    """word (hash of a rare word or of a pair), doc, code (see `_part`) of the first lines.
 
+    With r rare words in the set and s = n - 5 r: the rest has at most s / 5 own words, against which the other set has none, or one for every four words that it takes less. Before the
+    first unbroken gap there are as many gaps as own words of both at most; so its second word's position is r + 1 + 2 floor(s / 5) + floor((s mod 5) / 4) at most.
+    """
+    lead = F.slice("head", F.lit(1), (F.col("n") / 5).cast("int") + 1)
+    code = F.shiftleft(F.shiftleft(F.col("sig"), ODD).bitwiseOR(F.col("parity")), 16).bitwiseOR((F.least(F.lit(255), F.col("n")) * 256).cast("long"))
+    some = classes.select("doc", code.alias("code"), "n", "head", F.size(F.filter(lead, lambda k: k < F.lit(RARE << LOW))).alias("r"))
+    s = F.col("n") - 5 * F.col("r")
+    most = F.when(s < 0, 0).otherwise(F.least(F.size("head") - F.col("r") - 1, 1 + 2 * (s / 5).cast("int") + (s % 5 / 4).cast("int")))
+    some = some.select("doc", "code", "n", "r", "head", F.greatest(most, F.lit(0)).alias("most"))
+    pairs = F.zip_with(F.slice("head", F.col("r") + 1, F.col("most")), F.slice("head", F.col("r") + 2, F.col("most")), lambda a, b: F.xxhash64(a, b))
+    every = some.select("doc", "code", "n", "r", F.posexplode(F.concat(F.slice("head", F.lit(1), F.col("r")), pairs)).alias("i", "h"))
+    place = F.least(F.lit(255), F.col("i") + (F.col("i") >= F.col("r")).cast("int"))
+    return every.select(F.xxhash64("h").alias("word"), "doc", F.col("code").bitwiseOR(place.cast("long")).alias("code"))
 
-def _similar(a: str, b: str) -> Column:
-    """What similar sets a and b satisfy: sizes, words left after this position, differing parity bits."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    common = F.ceil((n + m) * 4 / 9)
-    left = F.least(n - F.col(f"{a}.i"), m - F.col(f"{b}.i"))
-    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (left >= common) & (F.bit_count(F.col(f"{a}.sk").bitwiseXOR(F.col(f"{b}.sk"))) <= n + m - 2 * common)
+
+def _part(code: Column, part: str) -> Column:
+    """A code's parts, from the top: 12 bits of the class's sig, which identify it beside its doc, but for collisions that verification undoes; `ODD` bits of parity; size and position, 255 or more as 255."""
+    low, bits = {"same": (16 + ODD, 48 - ODD), "parity": (16, ODD), "n": (8, 8), "i": (0, 8)}[part]
+    return F.shiftright(code, low).bitwiseAND((1 << bits) - 1)
+
+
+def _same(sig: str) -> Column:
+    return F.col(sig).bitwiseAND((1 << 48 - ODD) - 1)
+
+
+def _similar(a, b) -> Column:
+    """What similar sets a and b satisfy at the first common key: sizes, words that can still be common, and as many odd bits of both at most as there are own words. Sizes of 255 may be larger ones."""
+    (n, m), (i, j), (one, two), (same, other) = ([_part(x["code"], part) for x in (a, b)] for part in ("n", "i", "parity", "same"))
+    close = (9 * F.bit_count(one.bitwiseXOR(two)) <= n + m) & (9 * (F.least(n - i, m - j) + F.least(i, j)) >= 4 * (n + m))
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & ((n == 255) | (m == 255) | close) & ((a["doc"] != b["doc"]) | (same != other))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc and pos of every line that goes."""
-    lines = lines_of(docs, key, text)
-    length = F.col("n") - _need("n") + 1
-    ranked = written(_ranked(lines, rarity(lines)).select("doc", "pos", "sig", "n", "sk", F.slice("keys", F.lit(1), length).alias("prefix")), "lines")
-    seen = written(ranked.groupBy("sig", "doc").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("copies")), "line-classes")
-    firsts = seen.groupBy("sig").agg(F.min(F.struct("doc", "pos")).alias("at")).select("sig", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"))
-
-    prefix = ranked.select("doc", "sig", "n", "sk", F.posexplode("prefix").alias("i", "h"))
-    unique = prefix.groupBy("h", "sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("i").alias("i"), F.first("sk").alias("sk"))
-    rows = written(unique, "line-prefixes")
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)))
-    first = F.min_by(F.struct("sig", "doc", "n", "i", "sk"), F.struct("doc", "sig"))
-    leaders = rows.groupBy("h", band.alias("band")).agg(first.alias("l"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("h", "band", "l.*")
-    one = rows.withColumn("band", band).alias("b").join(leaders.alias("a"), ["h", "band"]).filter((F.col("a.sig") != F.col("b.sig")) & _similar("a", "b"))
-    pairs = written(one.select(F.col("a.sig").alias("x"), F.col("b.sig").alias("y")).distinct(), "line-pairs")
-    pairs = _verified(docs, key, text, firsts, pairs)
-    rest = rows.join(pairs.select(F.col("later").alias("sig")).distinct(), "sig", "left_anti")
-    two = rest.alias("b").join(rows.alias("a"), "h").filter((F.col("a.doc") <= F.col("b.doc")) & (F.col("a.sig") != F.col("b.sig")) & _similar("a", "b"))
-    more = written(two.select(F.col("a.sig").alias("x"), F.col("b.sig").alias("y")).distinct(), "line-pairs")
-    late = pairs.union(_verified(docs, key, text, firsts, more)).select(F.col("later").alias("sig")).distinct().withColumn("late", F.lit(True))
-    marks = firsts.select("sig", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos")).join(late, "sig", "left")
-    gone = F.coalesce("late", F.lit(False)) | (F.col("doc") != F.col("first_doc"))
-    # in the first document, later lines of the class go too
-    classes = seen.join(marks, "sig").select("sig", "doc", "pos", "copies", gone.alias("gone"))
-    whole = classes.filter("gone or copies > 1")
-    return lines_of_classes(ranked, whole)
-
-
-def lines_of_classes(ranked: DataFrame, classes: DataFrame) -> DataFrame:
-    """The lines of classes that go: all, or all but the first."""
-    single = classes.filter("copies = 1").select("doc", "pos")
-    several = classes.filter("copies > 1").select("sig", "doc", F.col("pos").alias("first_pos"), "gone")
-    found = ranked.select("sig", "doc", "pos").join(several, ["sig", "doc"]).filter(F.col("gone") | (F.col("pos") > F.col("first_pos")))
-    return single.union(found.select("doc", "pos"))
-
-
-def _verified(docs: DataFrame, key: str, text: str, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (x, y) of classes, the later one of each that is similar by its words, written."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct()
-    at = firsts.join(ids, "sig")
-    by_doc = at.groupBy("doc").agg(F.collect_list(F.struct("sig", "pos")).alias("wanted"))
-    got = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(by_doc, "doc")
-    got = got.select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).filter(F.col("w.pos") < F.size("lines"))
-    words = F.array_remove(F.array_distinct(F.split(F.get("lines", F.col("w.pos")), WORDS)), "")
-    got = got.select(F.col("w.sig").alias("sig"), "doc", F.col("w.pos").alias("pos"), words.alias("words")).dropDuplicates(["sig"])
-    side = lambda name: got.select(F.col("sig").alias(name), F.struct("doc", "pos").alias(f"{name}_at"), F.col("words").alias(f"{name}_words"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    """doc, th and pos of every line that goes."""
+    rows = _judged(docs, key, text)
+    ranked = written(_ranked(_lines(rows), rarity(rows)), "lines")
+    firsts = ranked.groupBy("sig").agg(F.min(F.struct("doc", "th", "pos", "n", "parity", "head")).alias("f"))
+    firsts = written(firsts.select("sig", "f.*"), "line-classes")
+    lines, classes = written(ranked.select("doc", "th", "pos"), "lines"), written(firsts.select("sig", "doc", "th", "pos"), "line-classes")
+    forget(ranked)
+
+    # round one: the first class of the key
+    keys = _keys(firsts).repartition("word")
+    leaders = keys.groupBy("word").agg(F.min("doc").alias("doc"), F.min_by("code", "doc").alias("code"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    sides = lambda *names: [{c: F.col(f"{x}.{c}") for c in ("doc", "code")} for x in names]
+    near = keys.alias("b").join(leaders.alias("a"), "word").select("word", "b.doc", "b.code", F.when(_similar(*sides("a", "b")), F.struct("a.doc", "a.code")).alias("a"), "many")
+    near = written(near.filter("many > 2 or a is not null"), "line-near")
+    forget(firsts)
+    ends = lambda y, x: [*(F.col(f"{y}doc").alias("y_doc"), _part(F.col(f"{y}code"), "same").alias("y")), *(F.col(f"{x}doc").alias("x_doc"), _part(F.col(f"{x}code"), "same").alias("x"))]
+    pairs = written(near.filter("a is not null").select(*ends("", "a.")).distinct(), "line-pairs")
+    late = _verified(rows, classes, pairs)
+
+    # round two: classes that the first one has not removed, with all earlier ones of their keys
+    some = near.filter("many > 2").select("word", "doc", "code", _part(F.col("code"), "same").alias("same"))
+    rest = some.join(late.filter("alone").select("doc", "same"), ["doc", "same"], "left_anti")
+    more = some.alias("a").join(rest.alias("b"), "word").filter((F.col("a.doc") <= F.col("b.doc")) & _similar(*sides("a", "b")))
+    more = more.select(*ends("b.", "a.")).distinct()
+    more = written(more.join(pairs, ["y_doc", "y", "x_doc", "x"], "left_anti"), "line-pairs")
+    late = late.select("sig").union(_verified(rows, classes, more).select("sig")).distinct()
+
+    stays = classes.join(late, "sig", "left_anti").select("doc", "th", "pos")
+    return lines.join(stays, ["doc", "th", "pos"], "left_anti")
+
+
+def _mask(pos: str) -> Column:
+    """The line numbers as a string with 1 at each of them, 0 before and between."""
+    at = F.sort_array(F.collect_set(pos))
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.size(at) - 1))
+    return F.array_join(F.zip_with(at, before, lambda p, q: F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1"))), "").cast("binary")
+
+
+def _marked(mask: str | Column, pos: Column) -> Column:
+    return F.coalesce(F.ascii(F.substring(F.col(mask) if isinstance(mask, str) else mask, pos + 1, F.lit(1)).cast("string")), F.lit(0)) == 49
+
+
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """sig, doc, same, alone (no other class has these two) of the later class of each of the pairs (x, y) that is similar by its words, written."""
+    ids = pairs.select(F.explode(F.array(F.struct(F.col("x_doc").alias("doc"), F.col("x").alias("same")), F.struct(F.col("y_doc").alias("doc"), F.col("y").alias("same")))).alias("id")).select("id.*").distinct()
+    wanted = written(classes.withColumn("same", _same("sig")).join(ids, ["doc", "same"]), "line-wanted")
+    texts = rows.join(wanted.groupBy("doc", "th").agg(_mask("pos").alias("mask")), ["doc", "th"])
+    lines = texts.select("doc", "th", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("pos", "line"), "mask").filter(_marked("mask", F.col("pos")))
+    got = lines.select("doc", "th", "pos", _hashes(F.col("line")).alias("words")).dropDuplicates(["doc", "th", "pos"]).join(wanted, ["doc", "th", "pos"])
+    alone = F.count(F.lit(1)).over(Window.partitionBy("doc", "same")) == 1
+    got = written(got.select("sig", "doc", "same", F.struct("doc", "th", "pos").alias("at"), "words", alone.alias("alone")), "line-words")
+    side = lambda x: got.select(F.col("doc").alias(f"{x}_doc"), F.col("same").alias(x), F.struct("at", "sig", "alone").alias(f"{x}_is"), F.col("words").alias(f"{x}_words"))
+    both = pairs.join(side("x"), ["x_doc", "x"]).join(side("y"), ["y_doc", "y"])
     common = F.size(F.array_intersect("x_words", "y_words"))
     similar = both.filter(5 * common >= 4 * (F.size("x_words") + F.size("y_words") - common))
-    return written(similar.select(F.when(F.col("x_at") < F.col("y_at"), F.col("y")).otherwise(F.col("x")).alias("later")).distinct(), "line-later")
+    later = similar.select(F.greatest("x_is", "y_is").alias("later")).select("later.*").select("sig", "at.doc", _same("sig").alias("same"), "alone")
+    found = written(later.distinct(), "line-later")
+    forget(got)
+    return found
+
+
+def _with(docs: DataFrame, found: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """docs as struct d, joined with found's column `name` of the row's doc and th (null: none)."""
+    rows = docs.select(F.struct("*").alias("d"), docs[key].cast("long").alias("doc"), _text_hash(docs[text]).alias("th"))
+    return rows.join(found.select("doc", "th", name), ["doc", "th"], "left").select("d", name)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the lines that go; all columns stay."""
-    gone = removed_lines(docs, key, text).groupBy("doc").agg(F.collect_set("pos").alias("gone"))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    joined = docs.join(gone.select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone")), F.col(key) == F.col("__doc"), "left")
-    return joined.select(*[F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == text else docs[c] for c in docs.columns])
+    gone = removed_lines(docs, key, text).groupBy("doc", "th").agg(_mask("pos").alias("gone"))
+    joined = _with(docs, gone, key, text, "gone")
+    kept = F.array_join(F.filter(F.split(F.col("d").getField(text), "\n"), lambda _, i: ~_marked("gone", i)), "\n")
+    return joined.select(*[F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("d").getField(c)).alias(c) if c == text else F.col("d").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: lines of every document, how many go and which (numbers from 0, comma-joined)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    gone = removed_lines(docs).groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = removed_lines(docs).groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    found = docs.select("doc_id", n.alias("n_lines")).join(gone.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    found = docs.select("doc_id", n.alias("n_lines"), F.col("doc_id").cast("long").alias("doc"), _text_hash(F.col("text")).alias("th")).join(gone, ["doc", "th"], "left")
     return found.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
