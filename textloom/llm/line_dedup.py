@@ -31,6 +31,8 @@ CELLS, CHUNK = 1 << 21, 1 << 11
 RARE = 4
 #: A cell's class stands above this many bits of a word's hash.
 LOW = 58
+#: Round one takes the keys in so many turns (a power of two), each a part of them by hash, so that one turn's shuffle is on disk at a time.
+TURNS = 2
 #: Bits of a set's parity.
 ODD = 36
 
@@ -61,26 +63,27 @@ def _hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def rarity(rows: DataFrame) -> bytes:
-    """One letter for each cell: how often its words come, as a logarithm."""
+def rarity(rows: DataFrame) -> Column:
+    """One letter for each cell, how often its words come as a logarithm: CELLS bytes in all, read by a scalar subquery."""
     spark = rows.sparkSession
     words = rows.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(CELLS - 1).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     cells = spark.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left")
     letter = F.char((F.lit(65) + F.least(F.lit(25), F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1))).cast("int")).cast("long"))
-    chunks = cells.groupBy((F.col("cell") / CHUNK).cast("int").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", letter.alias("c")))), lambda x: x["c"]), "").alias("letters"))
-    return "".join(r.letters for r in sorted(chunks.collect(), key=lambda r: r.chunk)).encode()  # CELLS letters in all
+    joined = lambda name, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, c))), lambda x: x["c"]), "")
+    chunks = written(cells.groupBy((F.col("cell") / CHUNK).cast("int").alias("chunk")).agg(joined("cell", letter.alias("c")).alias("c")), "line-rarity")
+    return chunks.agg(joined("chunk", F.col("c")).cast("binary").alias("letters")).scalar()
 
 
-def _ranked(lines: DataFrame, letters: bytes) -> DataFrame:
+def _ranked(lines: DataFrame, cells: Column) -> DataFrame:
     """doc, th, pos, sig (of the set), n, parity (a bit for each of `ODD` remainders of the words: how often they come, odd or even), head (its first words, rare ones first)."""
-    cells = F.lit(bytearray(letters))
 
     def key(h: Column) -> Column:
-        rank = F.ascii(F.substring(cells, h.bitwiseAND(CELLS - 1).cast("int") + 1, F.lit(1)).cast("string")) - 65
+        rank = F.ascii(F.substring(F.col("cells"), h.bitwiseAND(CELLS - 1).cast("int") + 1, F.lit(1)).cast("string")) - 65
         return F.shiftleft(rank.cast("long"), LOW).bitwiseOR(F.shiftrightunsigned(h, 64 - LOW))
 
-    keyed = lines.select("doc", "th", "pos", F.sort_array(F.transform(_hashes(F.col("line")), key)).alias("keys")).filter(F.size("keys") > 0)
+    lines = lines.filter(F.trim("line") != "").select("*", cells.alias("cells"))  # the optimizer puts it where it is used, so no row carries it
+    keyed = lines.select("doc", "th", "pos", F.sort_array(F.transform(_hashes(F.col("line")), key)).alias("keys"))
     n = F.size("keys")
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x % ODD).cast("int"))))
     return keyed.select("doc", "th", "pos", F.xxhash64("keys").alias("sig"), n.alias("n"), parity.alias("parity"), F.slice("keys", F.lit(1), (n * 2 / 5).cast("int") + 2).alias("head"))
@@ -131,11 +134,14 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     forget(ranked)
 
     # round one: the first class of the key
-    keys = _keys(firsts).repartition("word")
-    leaders = keys.groupBy("word").agg(F.min("doc").alias("doc"), F.min_by("code", "doc").alias("code"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     sides = lambda *names: [{c: F.col(f"{x}.{c}") for c in ("doc", "code")} for x in names]
-    near = keys.alias("b").join(leaders.alias("a"), "word").select("word", "b.doc", "b.code", F.when(_similar(*sides("a", "b")), F.struct("a.doc", "a.code")).alias("a"), "many")
-    near = written(near.filter("many > 2 or a is not null"), "line-near")
+    every, near = _keys(firsts), None
+    for turn in range(TURNS):
+        keys = every.filter(F.col("word").bitwiseAND(TURNS - 1) == turn).repartition("word")
+        leaders = keys.groupBy("word").agg(F.min("doc").alias("doc"), F.min_by("code", "doc").alias("code"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+        met = keys.alias("b").join(leaders.alias("a"), "word").select("word", "b.doc", "b.code", F.when(_similar(*sides("a", "b")), F.struct("a.doc", "a.code")).alias("a"), "many")
+        met = written(met.filter("many > 2 or a is not null"), "line-near")
+        near = near.union(met) if near else met
     forget(firsts)
     ends = lambda y, x: [*(F.col(f"{y}doc").alias("y_doc"), _part(F.col(f"{y}code"), "same").alias("y")), *(F.col(f"{x}doc").alias("x_doc"), _part(F.col(f"{x}code"), "same").alias("x"))]
     pairs = written(near.filter("a is not null").select(*ends("", "a.")).distinct(), "line-pairs")
