@@ -80,3 +80,14 @@ def test_frames(spark):
     red = {(r.doc_id, r.text and r.text[:20]) for r in pii.redact(df).collect()}
     assert (1, "[EMAIL] and [IP]") in red and (2, None) in red
     assert pii.find(df.limit(0)).count() == 0
+
+
+def test_many_base_spans_take_linear_time():
+    import time
+
+    text = "1.2.3.4 a@b.co " * 25_000
+    base = pii.base_spans(text)
+    assert len(base) == 50_000
+    began = time.process_time()
+    pii.added_spans(text, base, pii.fitted())
+    assert time.process_time() - began < 30

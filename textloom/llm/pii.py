@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -76,8 +77,8 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the field
 
-#: Tokens in a segment at most; tokens of context on either side of an anchor.
-MOST, AROUND = 16, 6
+#: Tokens in a segment at most, and so in an added span.
+MOST = 16
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\n")
 #: Seven digits with short gaps, or an at-sign; and the written forms of an at-sign.
 ANCHOR = re.compile(r"[0-9](?:[^0-9\n]{0,4}[0-9]){6,}|@")
@@ -325,20 +326,29 @@ def regions(text: str) -> list[tuple[int, int]]:
 def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     """The field's spans that no base span overlaps."""
     out = []
+    begins, ends = [], []  # the base spans, overlapping ones as one
+    for s, e, _ in sorted(base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s)
+            ends.append(e)
+
+    def busy(token: tuple[str, int, int]) -> bool:
+        at = bisect_left(begins, token[2]) - 1
+        return at >= 0 and ends[at] > token[1]
+
     for s, e in regions(text):
         tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text, s, e)]
         if tokens and tokens[0][1] == s and s and text[s - 1].isalnum():
             tokens = tokens[1:]  # cut in the middle of a word
-        free = [t for t in tokens if not any(b[0] < t[2] and t[1] < b[1] for b in base)]
         runs, run = [], []
         for t in tokens:
-            if any(b[0] < t[2] and t[1] < b[1] for b in base):
+            if busy(t):
                 runs.append(run)
                 run = []
             else:
                 run.append(t)
-        if not free:
-            continue
         for run in (*runs, run):
             segments, features = lattice(run, text)
             if segments:
