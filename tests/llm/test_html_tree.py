@@ -67,3 +67,13 @@ def test_frames(spark):
     got = [(r.page_id, r.n_chars) for r in H.extract(df).collect()]
     assert sorted(got)[:2] == [(1, 44), (1, 44)] and (2, 0) in got and (3, 0) in got
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 60_000
+    began = time.process_time()
+    for page in ("<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<p>" * n, "<" * 10 * n, "<ul>" + "<li>x" * n):
+        html_tree.parse(page)
+    assert time.process_time() - began < 30

@@ -15,6 +15,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -112,6 +113,7 @@ def hides(attributes: str) -> bool:
 def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]  # open elements and their nodes; inline ones keep the node around them
+    opened, since, walls = Counter(), [Counter()], [0]  # open elements by name: all, and those above each open wall; the walls' depths
     pieces: list[str] = []
     linked = inside_link = 0
     shut = 0  # depth at which a hidden element began
@@ -144,11 +146,27 @@ def parse(source: str) -> Page:
         if any(t in BLOCK for t, _ in stack[depth:]):
             flush()
         inside_link -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
+        while len(stack) > depth:
+            t, _ = stack.pop()
+            opened[t] -= 1
+            if t in WALLS:
+                walls.pop()
+                since.pop()
+            else:
+                since[-1][t] -= 1
         if shut > depth - 1 and shut:
             shut = 0 if depth <= shut else shut
 
-    at, size = 0, len(source)
+    def put(tag: str, node: int) -> None:
+        stack.append((tag, node))
+        opened[tag] += 1
+        if tag in WALLS:
+            walls.append(len(stack) - 1)
+            since.append(Counter())
+        else:
+            since[-1][tag] += 1
+
+    at, size, last = 0, len(source), source.rfind(">")
     while at < size:
         lt = source.find("<", at)
         if lt < 0:
@@ -159,11 +177,11 @@ def parse(source: str) -> Page:
                 linked += lt - at
         if lt == size:
             break
-        m = TAG.match(source, lt)
+        m = TAG.match(source, lt) if lt < last else None
         if m is None:
-            m = LOOSE.match(source, lt)
+            m = LOOSE.match(source, lt) if lt < last else None
             if m is None:
-                if source.find(">", lt) < 0 and lt + 1 < size and (source[lt + 1].isalpha() or source[lt + 1] in "/!"):
+                if lt > last and lt + 1 < size and (source[lt + 1].isalpha() or source[lt + 1] in "/!"):
                     break  # a tag that the page's end cuts off
                 if not shut:
                     pieces.append("<")
@@ -177,15 +195,14 @@ def parse(source: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if stack[depth][0] in WALLS and tag not in BLOCK:
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            # counts tell whether the element is open at all, so that each step down the stack closes what it passes
+            if (opened if tag in BLOCK else since[-1])[tag] > 0:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close(depth)
+            elif tag in BLOCK:
+                flush()
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(source, at) if not m[3].endswith("/") else None
@@ -199,22 +216,23 @@ def parse(source: str) -> Page:
             continue
         if tag not in BLOCK:
             if not m[3].endswith("/"):
-                stack.append((tag, stack[-1][1]))
+                put(tag, stack[-1][1])
                 inside_link += tag == "a"
                 if m[3] and not shut and hides(m[3]):
                     shut = len(stack) - 1
             continue
         flush()
         ended = ENDS.get(tag)
-        if ended:
-            depth = len(stack) - 1
-            while depth > 0:
-                open_tag = stack[depth][0]
-                if open_tag in ended:
-                    close(depth)
-                elif open_tag in WALLS:
-                    break
-                depth -= 1
+        while ended:
+            if any(since[-1][t] > 0 for t in ended):
+                depth = len(stack) - 1
+                while stack[depth][0] not in ended:
+                    depth -= 1
+                close(depth)
+            elif walls[-1] and stack[walls[-1]][0] in ended:
+                close(walls[-1])
+            else:
+                break
         page.parents.append(stack[-1][1])
         kind = TAG_KIND[tag]
         page.edges.append(kind)
@@ -230,7 +248,7 @@ def parse(source: str) -> Page:
         page.features.append(f)
         page.texts.append(None)
         page.marks.append(mark)
-        stack.append((tag, len(page.parents) - 1))
+        put(tag, len(page.parents) - 1)
         if m[3] and not shut and hides(m[3]):
             shut = len(stack) - 1
     flush()
