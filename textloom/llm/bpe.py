@@ -44,7 +44,7 @@ def byte_letters() -> list[str]:
 class Encoder:
     """The word-end BPE of a tokenizers file."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -208,10 +208,11 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.parts(t or "") for t in texts]
-        missing = {w for parts in cut for words in parts if not isinstance(words, int) for w in words}
+        here = set().union(*(words for parts in cut for words in parts if not isinstance(words, int)))
+        missing = list(here - self.cache.keys())
         if len(self.cache) + len(missing) > self.most:
-            self.cache.clear()
-        missing = list(missing - self.cache.keys())
+            # words of this slice stay, and with them the frequent ones
+            self.cache = {w: self.cache[w] for w in here.intersection(self.cache)}
         if missing:
             self.cache |= self.learn(missing)
         get = self.cache.__getitem__

@@ -61,7 +61,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
             columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(columns)], names=list("abcdefg"))
 
-    placed = told.join(offsets, "part").select("key", (F.col("base") + F.col("begun")).alias("at"), "n", "ids")
+    # one row for each task of pass one, whatever the input
+    placed = told.join(F.broadcast(offsets), "part").select("key", (F.col("base") + F.col("begun")).alias("at"), "n", "ids")
     return placed.mapInArrow(cut, f"`{key}` long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
