@@ -75,5 +75,5 @@ def test_hostile_pages_take_linear_time():
     n = 60_000
     began = time.process_time()
     for page in ("<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<p>" * n, "<" * 10 * n, "<ul>" + "<li>x" * n):
-        html_tree.parse(page)
+        H.parse(page)
     assert time.process_time() - began < 30
