@@ -63,7 +63,7 @@ def test_hilbert_curve_is_a_path():
 def test_hilbert_recall(spark):
     data = rows(3000, 16, 2)
     got = {}
-    for r in hilbert.search(spark.createDataFrame(data, SCHEMA), 50, block=256).collect():
+    for r in hilbert.search(spark.createDataFrame(data, SCHEMA), 50, block=64, steps=3).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
     want = brute(data, 50, 5, True)
     assert set(got) == set(want)
@@ -76,3 +76,21 @@ def test_hilbert_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], "x", 1), (1, [0.5, 0.5], "x", 1), (2, [0.0, 0.0], "x", 1)], SCHEMA)
     assert [tuple(r)[:3] for r in hilbert.search(df, 50).collect()] == [(0, 1, 1)]
     assert hilbert.search(df.limit(0), 50).count() == 0
+
+
+def test_topk_of_components_of_any_size(spark):
+    data = [(0, [1e306, 1.0]), (1, [1.0, 1.0]), (2, [-1e306, 5.0]), (3, [2.0**45, 0.25]), (4, [3.0]), (5, [])]
+    df = spark.createDataFrame([(i, v, "s", 1) for i, v in data], "vec_id long, embedding array<double>, score string, rank int")
+    whole = {i: [int(x) * 1024 if abs(x) > 2**60 else int(np.floor(x * 1024)) for x in [*v, 0.0, 0.0][:2]] for i, v in data}
+    want = {q: sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], w)))), i) for i, w in whole.items() if i != q) for q in (0, 3)}
+    got = {}
+    for r in topk.search(df, lambda c: c % 3 == 0, rows_in_block=2, queries_in_block=1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    assert {q: [(s, j) for _, s, j in sorted(v)] for q, v in got.items()} == want
+
+
+def test_hilbert_of_components_of_any_size(spark):
+    data = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1.0, 0.0]), (3, [5e-324, 0.0]), (3, [5e-324, 0.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "s", 1) for i, v in data], "vec_id long, embedding array<double>, score string, rank int")
+    got = {r.vec_id: r.score for r in hilbert.search(df, 50).collect()}
+    assert got == {1: pytest.approx(1), 2: pytest.approx(2**-0.5), 3: pytest.approx(2**-0.5)}

@@ -1,19 +1,20 @@
 """Exact top-k inner products in three phases with a uniform threshold.
 
-A vector's components lie in `SLICES` slices, each with score lists of its own. Phase one gathers, for each query, the head of every slice's list in every block, with full
-scores; the k-th best of these bounds the true k-th score from below. Phase two sends that cutoff, attached to the queries, to all blocks: a row whose
-score reaches it must reach cutoff / SLICES in some slice, so only such entries are collected. Phase three resolves their full scores
-exactly and keeps those that reach the cutoff. Rows and queries meet as packed blocks (a query block goes to each row
+A vector's components lie in `SLICES` slices; within a block of rows each slice has a score list of its own, and a full score is the sum over the lists. Phase one gathers, for each query, the head of every
+list and adds up the full scores of these entries alone; the k-th best of them bounds the true k-th score from below. Phase two sends that cutoff, attached to the queries, to all blocks: a row whose
+score reaches it must reach cutoff / SLICES in some list, so only such entries are collected, with what their lists say. Entries that cannot reach the cutoff even if every list that did not name them stood
+just below its share are dropped; phase three resolves the missing lists' scores of the rest, entry by entry, and keeps those that reach the cutoff. Rows and queries meet as packed blocks (a query block goes to each row
 block once), no single task holds all rows or all queries, and what goes on is at most k rows for a query and block.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of different lengths are compared as if the shorter ended in
-zeros; rows that repeat a vec_id are candidates each and queries each, but never candidates for a query of the same vec_id, and a query_id's k results are the best of all its rows'
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; an empty vector's scores are all 0; vectors of different lengths are compared as if the shorter ended in
+zeros; scores outside 64 bits stand as the nearest 64-bit number; rows that repeat a vec_id are candidates each and queries each, but never candidates for a query of the same vec_id, and a query_id's k results are the best of all its rows'
 pairs, so that a candidate may stand there once for each query row, as in SQL; ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,31 @@ from textloom.llm.common import table, written
 SLICES, ROWS, QUERIES = 2, 4096, 512
 
 
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """floor(1024 x): float64 where that is exact everywhere, else Python's integers."""
+    if np.abs(x).max(initial=0) < 2**40:
+        return np.floor(x * 1024)
+    return np.array([[math.floor(v * 1024) if abs(v) < 2**52 else int(v) * 1024 for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+
+
+def _exact(q: np.ndarray, r: np.ndarray) -> bool:
+    """Whether float64 holds every sum of products."""
+    return q.dtype != object and r.dtype != object and np.abs(q).max(initial=0) * np.abs(r).max(initial=0) * max(1, q.shape[1]) < 2**52
+
+
+def _clipped(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, LOWEST, HIGHEST).astype(np.int64)
+
+
 def _products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of float64 matrices that hold integers."""
-    if np.abs(q).max(initial=0) * np.abs(r).max(initial=0) * q.shape[1] < 2**52:
+    """Integer inner products of each row of q with each row of r: float64 if that is exact, else Python's integers."""
+    if _exact(q, r):
         return q @ r.T
-    return np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in r] for x in q], dtype=object)
+    r = [[int(v) for v in row] for row in r.tolist()]
+    return np.array([[sum(map(mul, x, y)) for y in r] for x in ([int(v) for v in row] for row in q.tolist())], dtype=object).reshape(len(q), len(r))
 
 
 def _cells(queries: DataFrame, rows: DataFrame, count: int) -> DataFrame:
@@ -46,24 +67,36 @@ def _each(heads: bool, k: int):
             for i in range(batch.num_rows):
                 q_ids, q, told = vectors.struct_rows(batch.column(0)[i])
                 ids, r, _ = vectors.struct_rows(batch.column(1)[i])
-                q, r = vectors.same_width(np.floor(q * 1024), np.floor(r * 1024))
+                q, r = map(_whole, vectors.same_width(q, r))
                 edges = np.linspace(0, q.shape[1], SLICES + 1).astype(int)
-                parts = [_products(q[:, a:b], r[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-                total = sum(parts)
-                cutoffs = None if heads else told.field("cutoff").to_numpy(zero_copy_only=False).astype(float)
+                cuts = list(zip(edges, edges[1:], strict=False))
+                lists = [_products(q[:, a:b], r[:, a:b]) for a, b in cuts]
+                cutoffs = None if heads else [LOWEST if x is None else x for x in told.field("cutoff").to_pylist()]
                 out: list[tuple[int, int, int]] = []
                 for n, query in enumerate(q_ids):
-                    other = ids != query
+                    other = np.flatnonzero(ids != query)
                     if heads:
-                        at = np.unique(np.concatenate([np.flatnonzero(other)[vectors.best(p[n][other], ids[other], k)] for p in parts]))
+                        at = np.unique(np.concatenate([other[vectors.best(_clipped(p[n][other]), ids[other], k)] for p in lists]))
+                        score = sum(p[n][at] for p in lists)
                     else:
-                        enough = np.zeros(len(ids), bool)
-                        for p in parts:
-                            enough |= p[n] >= cutoffs[n] / SLICES - 1
-                        at = np.flatnonzero(enough & other)  # resolved below: full scores of these entries alone
-                        at = at[total[n][at] >= cutoffs[n]]
-                    at = at[vectors.best(total[n][at], ids[at], k)] if len(at) else at
-                    out += [(int(query), int(ids[j]), int(total[n][j])) for j in at]
+                        share = -(-cutoffs[n] // SLICES)
+                        named = [p[n][other] >= share for p in lists]
+                        some = np.logical_or.reduce(named)
+                        at, named = other[some], [x[some] for x in named]
+                        zero = np.zeros(len(at), dtype=lists[0].dtype)
+                        score = sum((np.where(x, p[n][at], zero) for x, p in zip(named, lists, strict=True)), zero)
+                        most = score + sum((~x).astype(np.int64) for x in named).astype(object) * (share - 1)
+                        can = np.asarray(most >= cutoffs[n], bool)
+                        at, score, named = at[can], score[can], [x[can] for x in named]
+                        for x, (a, b) in zip(named, cuts, strict=True):
+                            missing = np.flatnonzero(~x)
+                            if len(missing):
+                                score[missing] += _products(q[n : n + 1, a:b], r[at[missing], a:b])[0]
+                    score = _clipped(score)
+                    if not heads:
+                        at, score = at[score >= cutoffs[n]], score[score >= cutoffs[n]]
+                    top = vectors.best(score, ids[at], k)
+                    out += [(int(query), int(ids[at[j]]), int(score[j])) for j in top]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
@@ -81,8 +114,8 @@ def search(df: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: st
     heads = _cells(vectors.blocks(asked, query_blocks), rows, count).mapInArrow(_each(True, k), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = heads.withColumn("rank", F.row_number().over(order))
-    cutoffs = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("score").cast("double").alias("cutoff"))
-    told = asked.join(cutoffs, "key", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf"))))
+    cutoffs = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("score").alias("cutoff"))
+    told = asked.join(cutoffs, "key", "left")
     found = _cells(vectors.blocks(told, query_blocks, "cutoff"), rows, count).mapInArrow(_each(False, k), schema)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

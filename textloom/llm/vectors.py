@@ -14,7 +14,7 @@ def usable(df: DataFrame, key: str, vector: str, nonzero: bool = False) -> DataF
     """key and v (array of double) of the rows whose vector is not null and holds finite components only (nonzero: and not only zeros)."""
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    found = df.select(F.col(key).cast("long").alias("key"), v.alias("v")).filter(F.col("key").isNotNull() & F.col("v").isNotNull()).filter(finite.isNull() | finite).filter(F.size("v") > 0)
+    found = df.select(F.col(key).cast("long").alias("key"), v.alias("v")).filter(F.col("key").isNotNull() & F.col("v").isNotNull()).filter(finite.isNull() | finite)
     return found.filter(F.exists("v", lambda x: x != 0)) if nonzero else found
 
 
@@ -56,6 +56,8 @@ def struct_rows(value: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, pa.Struct
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of a row of scores: highest first, ties to the smaller id."""
+    if scores.dtype == np.int64:
+        scores = np.maximum(scores, 1 - 2**63)  # its negative must exist
     if len(scores) > 4 * k:
         cut = np.partition(scores, -k)[-k]
         at = np.flatnonzero(scores >= cut)
