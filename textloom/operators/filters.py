@@ -89,9 +89,12 @@ def first_rows(rows: DataFrame, most: int) -> DataFrame:
 
 
 def byte_budget(rows: DataFrame, most: int, text: Column) -> DataFrame:
-    """Rows, by scan order within their file, until the bytes of `text` have reached the budget (the row that reaches it is the last)."""
-    w = Window.partitionBy("file").orderBy("from", "pattern_index").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("__b", F.coalesce(F.sum(F.octet_length(text) + 1).over(w), F.lit(0))).filter(F.col("__b") < most).drop("__b")
+    """Rows in scan order, over all files, until the bytes of `text` and its line end have reached the budget (the row that reaches it is the last).
+
+    A row takes one byte at least, so the kept rows are among the first `most`; only these are summed up.
+    """
+    w = Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    return first_rows(rows, most).withColumn("__b", F.coalesce(F.sum(F.octet_length(text) + 1).over(w), F.lit(0))).filter(F.col("__b") < most).drop("__b")
 
 
 # --- a condition over whole files

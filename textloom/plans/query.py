@@ -442,6 +442,7 @@ class Query:
                 found = found.withColumn("row_id", (F.row_number().over(Window.orderBy("__at")) - 1 + base).cast("long"))
             else:
                 found = found.withColumn("row_id", F.lit(None).cast("long"))
+            found = self._within(found, stage_rows, result)
             stage_rows.append(found)
             for s in sets:
                 mine = found.filter(F.col("set_id") == s.id) if len(sets) > 1 else found
@@ -456,6 +457,24 @@ class Query:
                 out[s.id] = mine
         return out
 
+    def _within(self, found: DataFrame, before: list[DataFrame], result: Result) -> DataFrame:
+        """A stage's match rows under the limits of all stages together: rows, and bytes of matches and contexts (with 64 for the numbers of each row)."""
+        for name, size in (("max_total_rows", F.lit(1)), ("max_memory_bytes", F.octet_length("match") + F.coalesce(F.octet_length("context"), F.lit(0)) + 64)):
+            if name not in self.limits:
+                continue
+            total = lambda df: df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+            left = self.limits[name] - sum(map(total, before))
+            if total(found) <= left:
+                continue
+            if not self.partial:
+                raise LimitExceeded(name)
+            result.complete, result.stop_reason = False, name
+            # a row takes one unit at least, so the rows that fit are among the first `left`
+            first = found.orderBy("__at").limit(max(0, left))
+            run = F.sum(size.cast("long")).over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+            found = first.withColumn("__sum", run).filter(F.col("__sum") <= left).drop("__sum")
+        return found
+
     def _derived(self, s: SetSpec, rows: dict[str, DataFrame], result: Result) -> tuple[DataFrame, list[scan.Member]]:
         """The distinct values of the source set (at most max_patterns, else an error) as patterns; with each its source rows."""
         d = s.derive

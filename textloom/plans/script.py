@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -24,6 +25,7 @@ from textloom.operators import rank
 from textloom.operators.scan import Member, Text, hits, match_members, Options, shown
 from textloom.sources.corpus import Corpus
 
+ENCLOSING = ("NAME", "KIND", "LINE_START", "LINE_END")
 DEFAULTS = {"string": "", "int": 0, "bool": False, "list": [], "map": {}}
 TOP = {"scan", "exclude", "patterns", "phases", "variables", "context", "context_before", "context_after", "limit", "limit_per_file", "skip", "group_by", "rank", "rank_surprise", "rank_rich_clusters", "on_file_end", "on_complete", "summary", "diagnostics", "require_complete", "scope", "relations"}
 REJECTED = ("boundary", "on_boundary", "ascii_only", "overlap", "files", "pcre")
@@ -77,6 +79,8 @@ class Phase:
     actions: list[list[dict]]
     on_file_end: list[dict]
     on_complete: list[dict]
+    quiet: bool = False  # rows of matches are not wanted
+    relations: list[tuple[bool, int, int, int]] = field(default_factory=list)
 
 
 class Stop(Exception):
@@ -100,6 +104,9 @@ class Machine:
     after: int = 0
     most: int | None = None
     emitted: int = 0
+    quiet: bool = False  # rows are not wanted, as the script ranks files
+    scope: tuple | None = None  # language and custom anchor, as in lexers.scopes
+    regions: list = field(default_factory=list)
 
     def default(self, name: str) -> Any:
         kind, value = self.types.get(name, ("string", None))
@@ -122,7 +129,10 @@ class Machine:
 
     def record(self) -> dict:
         keys = {"file": "FILE", "pat": "PAT_ID", "line": "LINE", "col": "COL", "from": "FROM", "to": "TO", "match": "MATCH", "context": "CONTEXT", "block": "BLOCK", "block_full": "BLOCK_FULL"}
-        return {k: self.ctx[t] for k, t in keys.items() if t in self.ctx}
+        out = {k: self.ctx[t] for k, t in keys.items() if t in self.ctx}
+        if self.ctx.get("ENCLOSING_NAME"):
+            out["enclosing"] = {k.lower(): self.ctx[f"ENCLOSING_{k}"] for k in ENCLOSING}
+        return out
 
     def condition(self, c: dict) -> bool:
         op, args = c.get("op"), c.get("args", [])
@@ -144,6 +154,8 @@ class Machine:
         return {"gt": x > y, "lt": x < y, "gte": x >= y, "lte": x <= y}[op]
 
     def emit(self, kind: str, line: str) -> None:
+        if self.quiet:
+            return
         self.rows.append((kind, line))
         self.emitted += 1
         if self.most is not None and self.emitted >= self.most:
@@ -338,6 +350,10 @@ class Machine:
 
     def at(self, p: Pattern, s: int, e: int, match: str, inside: bool = True) -> None:
         t = self.text
+        if inside and self.scope is not None:
+            r = lexers.innermost(self.regions, s)
+            told = (r.name, r.kind, t.line(r.start), t.line(r.end - 1)) if r else ("", "", "", "")
+            self.ctx |= {f"ENCLOSING_{k}": v for k, v in zip(ENCLOSING, told, strict=True)}
         self.ctx |= {"FILE": self.file, "PAT_ID": p.id, "MATCH": shown(match)} | {f"EXTRACT_{k.upper()}": v for k, v in p.captures(match).items()}
         if not inside:
             self.ctx |= {"FROM": len(t.text[:s].encode()), "TO": len(t.text[:e].encode())}
@@ -353,10 +369,13 @@ class Machine:
     def one_file(self, file: str, content: bytes, phase: Phase, ends: list[dict]) -> None:
         """Matches in order, then absent patterns, then the file's end. A stop, or the file's limit, skips what is left of the file."""
         self.file, self.text, self.emitted = file, Text(content), 0
+        if self.scope is not None:
+            self.regions = lexers.scopes(self.text.text, file, self.scope[1], self.scope[0])
         members = [Member(p, "", i) for i, p in enumerate(phase.patterns)]
         try:
             seen = set()
-            for s, k, e in hits(self.text.text, members):
+            self.quiet = phase.quiet
+            for s, k, e in self.related(hits(self.text.text, members), phase):
                 seen.add(k)
                 if not phase.absent[k]:
                     self.ctx = {}
@@ -367,11 +386,32 @@ class Machine:
                 if phase.absent[k] and k not in seen:
                     self.ctx = {"FILE": file, "PAT_ID": p.id}
                     self.run(phase.actions[k])
+            self.quiet = False
             self.ctx = {"FILE": file}
             self.run(ends)
         except Stop:
             pass
 
+    def related(self, found: list[tuple[int, int, int]], phase: Phase) -> list[tuple[int, int, int]]:
+        """The matches that every relation of their pattern lets through, each judged on all matches of the file."""
+        if not phase.relations or not found:
+            return found
+        lines = [self.text.line(s) for s, _, _ in found]
+        held: dict[int, list[int]] = {}
+        for line, (_, k, _) in zip(lines, found, strict=True):
+            held.setdefault(k, []).append(line)  # hits come by place, so lines rise
+
+        def passes(k: int, line: int) -> bool:
+            for near, a, b, reach in phase.relations:
+                if a == k:
+                    there = held.get(b, [])
+                    met = bisect_right(there, line + reach) - bisect_left(there, line - reach) - (a == b)
+                    if (met > 0) != near:
+                        return False
+            return True
+
+        return [x for x, line in zip(found, lines, strict=True) if passes(x[1], line)]
+
 
 def _patterns(specs: list[dict]) -> tuple[list[Pattern], list[bool], list[list[dict]]]:
     out = []
@@ -423,6 +463,28 @@ class Output:
     warnings: list[str]
 
 
+def _relation(spec: dict, patterns: list[Pattern]) -> tuple[bool, int, int, int] | None:
+    """near or not, the two patterns' places, lines; none if the phase lacks one of them."""
+    if not isinstance(spec, dict) or spec.get("kind") not in ("near", "far") or not all(isinstance(spec.get(k), str) for k in "ab") or not isinstance(spec.get("lines"), (int, float)):
+        raise QueryError("a relation needs kind (near or far), a, b and lines")
+    ids = [p.id for p in patterns]
+    at = [ids.index(x) if x in ids else int(x) if x.isdecimal() and int(x) < len(ids) else None for x in (spec["a"], spec["b"])]
+    return None if None in at else (spec["kind"] == "near", *at, max(0, int(spec["lines"])))
+
+
+def _scope(spec: str | dict | None) -> tuple | None:
+    """Language and custom anchor, as in lexers.scopes."""
+    if spec is None:
+        return None
+    if isinstance(spec, dict):
+        if not spec.get("pattern"):
+            raise QueryError("a custom scope needs a pattern")
+        return "auto", (spec["pattern"], spec.get("open", "{"), spec.get("close", "}"), spec.get("kind") or "func")
+    if spec != "auto" and {"c++": "cpp", "cc": "cpp"}.get(spec, spec) not in lexers.ANCHORS:
+        raise QueryError(f"unknown scope {spec}")
+    return spec, None
+
+
 class Script:
     def __init__(self, doc: dict):
         for k in doc:
@@ -449,6 +511,11 @@ class Script:
             _check_actions(p.on_file_end)
             _check_actions(p.on_complete)
 
+        for p in self.phases:
+            p.quiet = bool(doc.get("rank"))
+            p.relations = [r for x in doc.get("relations", []) if (r := _relation(x, p.patterns))]
+        self.scope = _scope(doc.get("scope"))
+
     def local(self, ends: list[dict]) -> set[str]:
         """Variables that a file's end resets, whatever happens."""
         return {n for a in ends if a["action"] == "reset" for n in a.get("vars", [a.get("var")])}
@@ -481,7 +548,7 @@ def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared:
     before, after = doc.get("context_before", doc.get("context", 0)), doc.get("context_after", doc.get("context", 0))
 
     def run(batches):
-        m = Machine(json.loads(json.dumps(store)), script.types, shared, before=before, after=after, most=doc.get("limit_per_file"))
+        m = Machine(json.loads(json.dumps(store)), script.types, shared, before=before, after=after, most=doc.get("limit_per_file"), scope=script.scope)
         keep = json.dumps(store)
         for batch in batches:
             out = []
@@ -571,9 +638,8 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
         found = match_members(corpus, members, Options(frozenset()))
         counts = corpus.df.select("file", F.size(F.split(F.col("content").cast("string"), "\n")).alias("line_count"))
         ranked = rank.files(found, counts, len(members), {p.id: p.weight for p in script.phases[-1].patterns}, doc.get("rank_surprise", False), doc.get("rank_rich_clusters", False))
-        rows = ranked.select(F.lit(0).alias("phase"), F.row_number().over(rank.Window.orderBy(F.desc("score"), F.desc("density"), "file")).cast("long").alias("walk_ord"), F.lit(0).alias("seq"), F.lit("json").alias("kind"), F.to_json(F.struct("file", "score", "density", "matched_patterns")).alias("line"))
-        ends_only = [p for p in parts[1:]]
-        parts = [*ends_only, rows]
+        rows = ranked.select(F.lit(len(script.phases)).alias("phase"), F.row_number().over(rank.Window.orderBy(F.desc("score"), F.desc("density"), "file")).cast("long").alias("walk_ord"), F.lit(0).alias("seq"), F.lit("json").alias("kind"), F.to_json(F.struct("file", "score", "density", "matched_patterns")).alias("line"))
+        parts.append(rows)
     rows = empty
     for p in parts:
         rows = rows.unionByName(p)
@@ -583,7 +649,31 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
         rows = rows.orderBy("phase", "walk_ord", "seq")
         rows = rows.offset(doc.get("skip", 0)) if doc.get("skip") else rows
         rows = rows.limit(doc["limit"]) if "limit" in doc else rows
-    return Output(rows, store, warnings)
+    return Output(_accounted(rows, doc, corpus, len(script.phases)), store, warnings)
+
+
+def _accounted(rows: DataFrame, doc: dict, corpus: Corpus, last: int) -> DataFrame:
+    """rows with warning records (diagnostics) and the summary record; require_complete raises where something could not be read."""
+    spark = rows.sparkSession
+    told = [] if corpus.warnings is None else [corpus.warnings.select("code", "file")]
+    if corpus.missing:
+        told.append(spark.createDataFrame([("missing_path", x) for x in corpus.missing], "code string, file string"))
+    warned = told[0] if told else None
+    for more in told[1:]:
+        warned = warned.unionByName(more)
+    if doc.get("require_complete") and warned is not None and not warned.filter("code <> 'binary_skip'").isEmpty():
+        raise QueryError("incomplete: a listed path is missing or a file could not be read")
+    place = lambda phase: (F.lit(phase).alias("phase"), F.lit(0).cast("long").alias("walk_ord"), F.lit(0).alias("seq"), F.lit("json").alias("kind"))
+    out = rows
+    if doc.get("diagnostics") and warned is not None:
+        out = out.unionByName(warned.select(*place(last + 1), F.to_json(F.struct(F.lit("warning").alias("type"), "code", "file")).alias("line")))
+    if doc.get("summary"):
+        counted = lambda code: F.lit(0) if warned is None else F.coalesce(warned.agg(F.sum((F.col("code") == code).cast("long"))).scalar(), F.lit(0))
+        failed, missing = counted("read_error"), counted("missing_path")
+        read = corpus.df.agg(F.count(F.lit(1)).alias("files_scanned"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes_scanned"))
+        columns = [F.lit("summary").alias("type"), "files_scanned", "bytes_scanned", counted("binary_skip").alias("files_skipped_binary"), failed.alias("files_failed"), missing.alias("missing_paths"), rows.agg(F.count(F.lit(1))).scalar().alias("emitted"), (failed + missing == 0).alias("complete")]
+        out = out.unionByName(read.select(*place(last + 2), F.to_json(F.struct(*columns)).alias("line")))
+    return out
 
 
 def grouped(rows: DataFrame, key: str) -> DataFrame:
