@@ -33,8 +33,8 @@ RARE = 4
 LOW = 58
 #: Round one takes the keys in so many turns (a power of two), each a part of them by hash, so that one turn's shuffle is on disk at a time.
 TURNS = 2
-#: Bits of a set's parity.
-ODD = 36
+#: Bits of a set's parity; those that stand in the code, beside the others of their own.
+SLOTS, ODD = 100, 36
 
 
 def _spaced(text: Column) -> Column:
@@ -76,7 +76,7 @@ def rarity(rows: DataFrame) -> Column:
 
 
 def _ranked(lines: DataFrame, cells: Column) -> DataFrame:
-    """doc, th, pos, sig (of the set), n, parity (a bit for each of `ODD` remainders of the words: how often they come, odd or even), head (its first words, rare ones first)."""
+    """doc, th, pos, sig (of the set), n, parity and wide (a bit for each of `SLOTS` remainders of the words: how often they come, odd or even), head (its first words, rare ones first)."""
 
     def key(h: Column) -> Column:
         rank = F.ascii(F.substring(F.col("cells"), h.bitwiseAND(CELLS - 1).cast("int") + 1, F.lit(1)).cast("string")) - 65
@@ -85,26 +85,33 @@ def _ranked(lines: DataFrame, cells: Column) -> DataFrame:
     lines = lines.filter(F.trim("line") != "").select("*", cells.alias("cells"))  # the optimizer puts it where it is used, so no row carries it
     keyed = lines.select("doc", "th", "pos", F.sort_array(F.transform(_hashes(F.col("line")), key)).alias("keys"))
     n = F.size("keys")
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x % ODD).cast("int"))))
-    return keyed.select("doc", "th", "pos", F.xxhash64("keys").alias("sig"), n.alias("n"), parity.alias("parity"), F.slice("keys", F.lit(1), (n * 2 / 5).cast("int") + 2).alias("head"))
+
+    def parity(first: int, bits: int) -> Column:
+        def step(a, x):
+            slot = x % SLOTS - first
+            return a.bitwiseXOR(F.call_function("shiftleft", ((slot >= 0) & (slot < bits)).cast("long"), slot.cast("int")))
+
+        return F.aggregate("keys", F.lit(0).cast("long"), step)
+
+    return keyed.select("doc", "th", "pos", F.xxhash64("keys").alias("sig"), n.alias("n"), parity(0, ODD).alias("parity"), parity(ODD, SLOTS - ODD).alias("wide"), F.slice("keys", F.lit(1), (n * 2 / 5).cast("int") + 2).alias("head"))
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """word (hash of a rare word or of a pair), doc, code (see `_part`) of the first lines.
+    """word (hash of a rare word or of a pair), doc, code (see `_part`), wide of the first lines.
 
     With r rare words in the set and s = n - 5 r: the rest has at most s / 5 own words, against which the other set has none, or one for every four words that it takes less. Before the
     first unbroken gap there are as many gaps as own words of both at most; so its second word's position is r + 1 + 2 floor(s / 5) + floor((s mod 5) / 4) at most.
     """
     lead = F.slice("head", F.lit(1), (F.col("n") / 5).cast("int") + 1)
     code = F.shiftleft(F.shiftleft(F.col("sig"), ODD).bitwiseOR(F.col("parity")), 16).bitwiseOR((F.least(F.lit(255), F.col("n")) * 256).cast("long"))
-    some = classes.select("doc", code.alias("code"), "n", "head", F.size(F.filter(lead, lambda k: k < F.lit(RARE << LOW))).alias("r"))
+    some = classes.select("doc", "wide", code.alias("code"), "n", "head", F.size(F.filter(lead, lambda k: k < F.lit(RARE << LOW))).alias("r"))
     s = F.col("n") - 5 * F.col("r")
     most = F.when(s < 0, 0).otherwise(F.least(F.size("head") - F.col("r") - 1, 1 + 2 * (s / 5).cast("int") + (s % 5 / 4).cast("int")))
-    some = some.select("doc", "code", "n", "r", "head", F.greatest(most, F.lit(0)).alias("most"))
+    some = some.select("doc", "wide", "code", "n", "r", "head", F.greatest(most, F.lit(0)).alias("most"))
     pairs = F.zip_with(F.slice("head", F.col("r") + 1, F.col("most")), F.slice("head", F.col("r") + 2, F.col("most")), lambda a, b: F.xxhash64(a, b))
-    every = some.select("doc", "code", "n", "r", F.posexplode(F.concat(F.slice("head", F.lit(1), F.col("r")), pairs)).alias("i", "h"))
+    every = some.select("doc", "wide", "code", "n", "r", F.posexplode(F.concat(F.slice("head", F.lit(1), F.col("r")), pairs)).alias("i", "h"))
     place = F.least(F.lit(255), F.col("i") + (F.col("i") >= F.col("r")).cast("int"))
-    return every.select(F.xxhash64("h").alias("word"), "doc", F.col("code").bitwiseOR(place.cast("long")).alias("code"))
+    return every.select(F.xxhash64("h").alias("word"), "doc", F.col("code").bitwiseOR(place.cast("long")).alias("code"), "wide")
 
 
 def _part(code: Column, part: str) -> Column:
@@ -120,7 +127,8 @@ def _same(sig: str) -> Column:
 def _similar(a, b) -> Column:
     """What similar sets a and b satisfy at the first common key: sizes, words that can still be common, and as many odd bits of both at most as there are own words. Sizes of 255 may be larger ones."""
     (n, m), (i, j), (one, two), (same, other) = ([_part(x["code"], part) for x in (a, b)] for part in ("n", "i", "parity", "same"))
-    close = (9 * F.bit_count(one.bitwiseXOR(two)) <= n + m) & (9 * (F.least(n - i, m - j) + F.least(i, j)) >= 4 * (n + m))
+    odd = F.bit_count(one.bitwiseXOR(two)) + F.bit_count(a["wide"].bitwiseXOR(b["wide"]))
+    close = (9 * odd <= n + m) & (9 * (F.least(n - i, m - j) + F.least(i, j)) >= 4 * (n + m))
     return (5 * n >= 4 * m) & (5 * m >= 4 * n) & ((n == 255) | (m == 255) | close) & ((a["doc"] != b["doc"]) | (same != other))
 
 
@@ -128,18 +136,18 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """doc, th and pos of every line that goes."""
     rows = _judged(docs, key, text)
     ranked = written(_ranked(_lines(rows), rarity(rows)), "lines")
-    firsts = ranked.groupBy("sig").agg(F.min(F.struct("doc", "th", "pos", "n", "parity", "head")).alias("f"))
+    firsts = ranked.groupBy("sig").agg(F.min(F.struct("doc", "th", "pos", "n", "parity", "wide", "head")).alias("f"))
     firsts = written(firsts.select("sig", "f.*"), "line-classes")
     lines, classes = written(ranked.select("doc", "th", "pos"), "lines"), written(firsts.select("sig", "doc", "th", "pos"), "line-classes")
     forget(ranked)
 
     # round one: the first class of the key
-    sides = lambda *names: [{c: F.col(f"{x}.{c}") for c in ("doc", "code")} for x in names]
+    sides = lambda *names: [{c: F.col(f"{x}.{c}") for c in ("doc", "code", "wide")} for x in names]
     every, near = _keys(firsts), None
     for turn in range(TURNS):
         keys = every.filter(F.col("word").bitwiseAND(TURNS - 1) == turn).repartition("word")
-        leaders = keys.groupBy("word").agg(F.min("doc").alias("doc"), F.min_by("code", "doc").alias("code"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-        met = keys.alias("b").join(leaders.alias("a"), "word").select("word", "b.doc", "b.code", F.when(_similar(*sides("a", "b")), F.struct("a.doc", "a.code")).alias("a"), "many")
+        leaders = keys.groupBy("word").agg(F.min("doc").alias("doc"), F.min_by("code", "doc").alias("code"), F.min_by("wide", "doc").alias("wide"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+        met = keys.alias("b").join(leaders.alias("a"), "word").select("word", "b.doc", "b.code", "b.wide", F.when(_similar(*sides("a", "b")), F.struct("a.doc", "a.code")).alias("a"), "many")
         met = written(met.filter("many > 2 or a is not null"), "line-near")
         near = near.union(met) if near else met
     forget(firsts)
@@ -148,7 +156,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     late = _verified(rows, classes, pairs)
 
     # round two: classes that the first one has not removed, with all earlier ones of their keys
-    some = near.filter("many > 2").select("word", "doc", "code", _part(F.col("code"), "same").alias("same"))
+    some = near.filter("many > 2").select("word", "doc", "code", "wide", _part(F.col("code"), "same").alias("same"))
     rest = some.join(late.filter("alone").select("doc", "same"), ["doc", "same"], "left_anti")
     more = some.alias("a").join(rest.alias("b"), "word").filter((F.col("a.doc") <= F.col("b.doc")) & _similar(*sides("a", "b")))
     more = more.select(*ends("b.", "a.")).distinct()
