@@ -11,7 +11,7 @@ Lines come in the order of doc_id, then of the text's hash (rows that repeat a d
    if two similar sets share no rare word, all rare words are own ones, and every break between two shared words of the rest costs one own word more, so that some pair of words stands side by
    side in both sets, within the bound of `_keys`; such pairs are the other keys.
 4. Round one: each class with the first one of each of its keys, under length, positional and parity filters (the parities of similar sets differ in no more bits than the sets in words).
-   Round two, a self-join by key under the same filters: classes that round one has not removed, with all earlier ones. So a large group of near copies makes no pairs of all its lines.
+   In lists of more than `BEFORE` classes, each class also meets the `BEFORE` ones before it in a random order. Round two, a self-join by key under the same filters: classes that round one has not removed, with all earlier ones. So a large group of near copies makes no pairs of all its lines.
 5. Every pair that passed is verified by its words.
 
 Defined cases: null and empty texts have no lines to remove; lines without words stay and match nothing; very long lines are sets as any; rows equal in doc_id and text count as one document
@@ -33,6 +33,8 @@ RARE = 4
 LOW = 58
 #: Round one takes the keys in so many turns (a power of two), each a part of them by hash, so that one turn's shuffle is on disk at a time.
 TURNS = 2
+#: Between the rounds, a class meets so many others before it in each longer list.
+BEFORE = 8
 #: Bits of a set's parity; those that stand in the code, beside the others of their own.
 SLOTS, ODD = 100, 36
 
@@ -128,7 +130,8 @@ def _similar(a, b) -> Column:
     """What similar sets a and b satisfy at the first common key: sizes, words that can still be common, and as many odd bits of both at most as there are own words. Sizes of 255 may be larger ones."""
     (n, m), (i, j), (one, two), (same, other) = ([_part(x["code"], part) for x in (a, b)] for part in ("n", "i", "parity", "same"))
     odd = F.bit_count(one.bitwiseXOR(two)) + F.bit_count(a["wide"].bitwiseXOR(b["wide"]))
-    close = (9 * odd <= n + m) & (9 * (F.least(n - i, m - j) + F.least(i, j)) >= 4 * (n + m))
+    # before the first common key there are, of both sets together, at most (n + m) / 9 own words and as many broken gaps
+    close = (9 * odd <= n + m) & (3 * (i + j) <= n + m + 6)
     return (5 * n >= 4 * m) & (5 * m >= 4 * n) & ((n == 255) | (m == 255) | close) & ((a["doc"] != b["doc"]) | (same != other))
 
 
@@ -155,9 +158,20 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     pairs = written(near.filter("a is not null").select(*ends("", "a.")).distinct(), "line-pairs")
     late = _verified(rows, classes, pairs)
 
-    # round two: classes that the first one has not removed, with all earlier ones of their keys
+    # between the rounds: in long lists, each class with those before it in an order of the word's own, so that few classes of a large group of near copies are left
     some = near.filter("many > 2").select("word", "doc", "code", "wide", _part(F.col("code"), "same").alias("same"))
-    rest = some.join(late.filter("alone").select("doc", "same"), ["doc", "same"], "left_anti")
+    row, run = F.struct("doc", "code", "wide"), Window.partitionBy("word").orderBy(F.xxhash64("word", "b.doc", "b.code"), "b.doc", "b.code")
+    before = near.filter(f"many > {BEFORE}").select("word", row.alias("b")).select("b", *(F.lag("b", k).over(run).alias(f"a{k}") for k in range(1, BEFORE + 1)))
+    b = {c: F.col(f"b.{c}") for c in ("doc", "code", "wide")}
+    met = F.array_compact(F.array(*(F.when(_similar({c: F.col(f"a{k}.{c}") for c in b}, b), F.col(f"a{k}")) for k in range(1, BEFORE + 1))))
+    two = before.select("b", F.explode(met).alias("a")).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
+    more = two.select(*ends("b.", "a.")).distinct()
+    resolved = late.filter("alone").select(F.col("doc").alias("y_doc"), F.col("same").alias("y"))
+    more = written(more.join(resolved, ["y_doc", "y"], "left_anti").join(pairs, ["y_doc", "y", "x_doc", "x"], "left_anti"), "line-pairs")
+    pairs, late = pairs.union(more), late.union(_verified(rows, classes, more))
+
+    # round two: classes that are still there, with all earlier ones of their keys
+    rest = some.join(late.filter("alone").select("doc", "same").distinct(), ["doc", "same"], "left_anti")
     more = some.alias("a").join(rest.alias("b"), "word").filter((F.col("a.doc") <= F.col("b.doc")) & _similar(*sides("a", "b")))
     more = more.select(*ends("b.", "a.")).distinct()
     more = written(more.join(pairs, ["y_doc", "y", "x_doc", "x"], "left_anti"), "line-pairs")
