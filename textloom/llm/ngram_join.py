@@ -269,17 +269,22 @@ def _opened(held: DataFrame) -> DataFrame:
 
     The j-th common token of similar sets of n and m shingles has at least ceil(4 / 9 (n + m)) - j + 1 shingles from there on in both; so L tokens of a similar pair pass with j = L.
     """
-    matrix = held.groupBy("token", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("rest"))
+    matrix = held.groupBy("token", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("rest"), F.min("rep").alias("one"), F.max("rep").alias("two"))
     loose = f"ceil(4 * (n + least) / 9) - {_least('n')} + 1"
     foreign = held.join(matrix, "token").filter("comp <> group").filter(f"{DEN} * n >= {NUM} * least and {NUM} * n <= {DEN} * most").filter(f"n - i >= {loose} and rest >= {loose}")
     # tokens that the set shares with the group's union bound the tokens shared with any member
-    hits = F.count(F.lit(1)).over(Window.partitionBy("rep", "group"))
-    opened = foreign.withColumn("hits", hits).filter(f"hits >= {_least(f'ceil({NUM} * n / {DEN})')}").select("token", "rep", "n", "i", "group")
+    pair = Window.partitionBy("rep", "group")
+    enough = f"hits >= {_least(f'ceil({NUM} * n / {DEN})')}"
+    opened = foreign.withColumns({"hits": F.count(F.lit(1)).over(pair), "one": F.min("one").over(pair), "two": F.max("two").over(pair)}).filter(enough)
+    # a group in which one member holds all these tokens is that member's row of the matrix: nothing is left to open
+    fits = lambda size, rest: f"least(n - i, {rest}) >= ceil(4 * (n + {size}) / 9) - {_least(f'least(n, {size})')} + 1"
+    single = opened.filter("one = two").select("rep", "n", F.col("one").alias("other"), F.col("least").alias("size"), "i", "rest").filter(fits("size", "rest"))
+    several = opened.filter("one <> two").select("token", "rep", "n", "i", "group")
     members = held.select("token", F.col("comp").alias("group"), F.col("rep").alias("other"), F.col("n").alias("size"), F.col("i").alias("j"))
-    left = f"least(n - i, size - j) >= ceil(4 * (n + size) / 9) - {_least('least(n, size)')} + 1"
-    found = opened.join(members, ["token", "group"]).filter("rep < other").filter(f"{DEN} * n >= {NUM} * size and {DEN} * size >= {NUM} * n").filter(left)
+    found = several.join(members, ["token", "group"]).filter("rep < other").filter(f"{DEN} * n >= {NUM} * size and {DEN} * size >= {NUM} * n").filter(fits("size", "size - j"))
+    found = found.select("rep", "n", "other", "size").union(single.select("rep", "n", "other", "size"))
     found = found.groupBy("rep", "n", "other", "size").agg(F.count(F.lit(1)).alias("hits")).filter(f"hits >= {_least('least(n, size)')}")
-    return found.select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    return found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
 def _least(n: str) -> str:
