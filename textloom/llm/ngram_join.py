@@ -12,7 +12,7 @@ component under links, so groups of copies are never expanded into pairs.
    members that themselves reach L. Before that, a few rounds compare each set with one neighbour in its tokens' lists, which joins near copies without their pairs. All opened pairs are verified exactly. Nothing is capped, so no link is lost.
 
 Verification reads the texts of the documents in opened pairs again; a Bloom filter of fixed size spares the others.
-Shingles match by 64-bit hashes (40 bits of them inside a pair).
+Shingles match by 64-bit hashes.
 
 Defined cases: null and empty texts have the empty set and link with nothing; texts of fewer words than a shingle are one shingle; rows that repeat a doc_id are one node; rows whose doc_id is null
 are no nodes and have no row in the result, as in SQL; ties go to the
@@ -203,8 +203,7 @@ def _needed(text: str, size: int, bits):
             if not batch.num_rows:
                 continue
             s = Sets(batch.column(1), h, size)
-            top = np.ascontiguousarray(s.hash[:, None].view(np.uint8)[:, 3:])  # the upper 40 bits, still sorted
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([top[b:e].tobytes() for b, e in zip(s.begin[:-1], s.begin[1:], strict=True)], pa.binary())], names=["doc", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.hash[b:e].tobytes() for b, e in zip(s.begin[:-1], s.begin[1:], strict=True)], pa.binary())], names=["doc", "tokens"])
 
     return run
 
@@ -212,17 +211,12 @@ def _needed(text: str, size: int, bits):
 def _linked(batches):
     """Pairs (a, b, tokens of both) that link: 100 * intersection >= 80 * union."""
 
-    def wide(x: bytes) -> np.ndarray:
-        out = np.zeros((len(x) // 5, 8), np.uint8)
-        out[:, 3:] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-        return out.view(np.uint64).ravel()
-
     for batch in batches:
         keep, last, held = [], None, None
         for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
             if a != last:
-                last, held = a, wide(x.as_py())
-            y = wide(y.as_py())
+                last, held = a, np.frombuffer(x.as_py(), np.uint64)
+            y = np.frombuffer(y.as_py(), np.uint64)
             common = 0
             if len(held) and len(y):
                 at = np.searchsorted(held, y)
