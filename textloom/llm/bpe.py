@@ -16,6 +16,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ def byte_letters() -> list[str]:
 class Encoder:
     """The word-end BPE of a tokenizers file."""
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -72,6 +73,7 @@ class Encoder:
         self.ranks, self.made = (np.array([m[i] for m in self.merges.values()], np.int64)[order] for i in (0, 1))
         self.none = len(keys) + 1
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.most = cache
 
     def lookahead(self) -> int:
@@ -207,16 +209,36 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.parts(t or "") for t in texts]
-        here = set().union(*(words for parts in cut for words in parts if not isinstance(words, int)))
-        missing = list(here - self.cache.keys())
-        if len(self.cache) + len(missing) > self.most:
-            # words of this slice stay, and with them the frequent ones
-            self.cache = {w: self.cache[w] for w in here.intersection(self.cache)}
+        get, missing, rows = self.cache.get, set(), []
+        for t in texts:
+            row = []
+            for words in self.parts(t or ""):
+                if isinstance(words, int):
+                    row.append((None, [words.to_bytes(4, "little")]))
+                    continue
+                ids = list(map(get, words))
+                if not all(ids):
+                    missing.update(w for w, x in zip(words, ids, strict=True) if x is None)
+                row.append((words, ids))
+            rows.append(row)
         if missing:
-            self.cache |= self.learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join([x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in parts]) for parts in cut]
+            known = self._recalled(missing)
+            for row in rows:
+                for words, ids in row:
+                    if not all(ids):
+                        ids[:] = [known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        return [b"".join(chain.from_iterable(ids for _, ids in row)) for row in rows]
+
+    def _recalled(self, missing: set[str]) -> dict[str, bytes]:
+        """Words that are not in the cache: from the one before it, or learnt. A full cache becomes the one before."""
+        known = {w: x for w in missing if (x := self.before.get(w)) is not None}
+        new = [w for w in missing if w not in known]
+        if new:
+            known |= self.learn(new)
+        if len(self.cache) + len(known) > self.most:
+            self.before, self.cache = self.cache, {}
+        self.cache |= known
+        return known
 
     def decode(self, ids: bytes) -> bytes:
         """As the library's decode(), in UTF-8: the file names no decoder, so token names stand with one space between them."""
