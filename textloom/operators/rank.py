@@ -9,21 +9,27 @@ from pyspark.sql import functions as F
 COVERAGE_POWER, SIZE_OFFSET, CLUSTER_GAP, CLUSTER_BONUS, POINTS, SURPRISE_FILES = 1.5, 10, 20, 0.5, 4096, 3
 
 
-def _weights(weights: dict[str, float] | None, column: str = "pattern_id") -> Column:
+def _weights(weights: dict[str, float] | None, pattern: Column) -> Column:
     out = F.lit(1.0)
     for name, w in sorted((weights or {}).items()):
-        out = F.when(F.col(column) == name, F.lit(float(w))).otherwise(out)
+        out = F.when(pattern == name, F.lit(float(w))).otherwise(out)
     return out
 
 
 def clusters(rows: DataFrame) -> DataFrame:
     """file, island, first and last line, distinct patterns and points of runs of matches whose lines differ by at most 20; 4096 points of a file at most."""
+    return _islands(rows).filter("island >= 0")
+
+
+def _islands(rows: DataFrame) -> DataFrame:
+    """The clusters, and as island -1 what lies beyond a file's 4096 points."""
     order = Window.partitionBy("file").orderBy("from", "pattern_index")
-    points = rows.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= POINTS)
-    by_line = Window.partitionBy("file").orderBy("line", "pattern_index", "from")
+    points = rows.withColumn("__late", F.row_number().over(order) > POINTS)
+    by_line = Window.partitionBy("file").orderBy("__late", "line", "pattern_index", "from")
     gap = F.col("line") - F.lag("line").over(by_line) > CLUSTER_GAP
     island = F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(by_line.rowsBetween(Window.unboundedPreceding, 0))
-    return points.withColumn("island", island).groupBy("file", "island").agg(F.min("line").alias("line_start"), F.max("line").alias("line_end"), F.sort_array(F.collect_set("pattern_id")).alias("patterns"), F.count(F.lit(1)).alias("points"))
+    keyed = points.withColumn("island", F.when(F.col("__late"), -1).otherwise(island))
+    return keyed.groupBy("file", "island").agg(F.min("line").alias("line_start"), F.max("line").alias("line_end"), F.sort_array(F.collect_set("pattern_id")).alias("patterns"), F.count(F.lit(1)).alias("points"))
 
 
 def surprise(rows: DataFrame) -> DataFrame:
@@ -39,25 +45,31 @@ def files(rows: DataFrame, line_counts: DataFrame, queried: int, weights: dict[s
 
     score = (matched / queried)^1.5 * sum of weights / ln(lines + 10) + bonus; a cluster of two or more patterns gives 0.5 (rich: 0.5 for each pattern but one).
     """
-    seen = rows.groupBy("file", "pattern_id").agg(F.lit(1).alias("one")).withColumn("weight", _weights(weights))
+    return _scored(rows, line_counts, queried, weights, use_surprise, rich).drop("best")
+
+
+def _scored(rows: DataFrame, line_counts: DataFrame, queried: int, weights: dict[str, float] | None, use_surprise: bool = False, rich: bool = False) -> DataFrame:
+    """files(), with the best window of each. One pass over the rows; surprise takes a second one."""
+    inside, ids = F.col("island") >= 0, F.size("patterns")
+    bonus = F.when(inside & (ids >= 2), CLUSTER_BONUS * (ids - 1) if rich else F.lit(CLUSTER_BONUS)).otherwise(0.0)
+    window = F.when(inside, F.struct(ids.alias("ids"), "points", (-F.col("line_start")).alias("early"), "line_end", "patterns"))
+    per_file = _islands(rows).groupBy("file").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("patterns")))).alias("matched_patterns"), F.sum(bonus).alias("bonus"), F.max(window).alias("best"))
     if use_surprise:
-        seen = seen.join(F.broadcast(surprise(rows)), "pattern_id").withColumn("weight", F.col("weight") * F.col("surprise"))
-    per_file = seen.groupBy("file").agg(F.sort_array(F.collect_set("pattern_id")).alias("matched_patterns"), F.sum("weight").alias("weights"))
-    ids = F.size("patterns")
-    bonus = F.when(ids >= 2, CLUSTER_BONUS * (ids - 1) if rich else F.lit(CLUSTER_BONUS)).otherwise(0.0)
-    bonuses = clusters(rows).groupBy("file").agg(F.sum(bonus).alias("bonus"))
+        seen = per_file.select("file", F.explode("matched_patterns").alias("pattern_id")).join(F.broadcast(surprise(rows)), "pattern_id")
+        summed = seen.groupBy("file").agg(F.sum(_weights(weights, F.col("pattern_id")) * F.col("surprise")).alias("weights"))
+        per_file = per_file.join(summed, "file")
+    else:
+        per_file = per_file.withColumn("weights", F.aggregate("matched_patterns", F.lit(0.0), lambda total, x: total + _weights(weights, x)))
     cover = F.least(F.lit(1.0), F.pow(F.size("matched_patterns") / F.lit(float(queried)), F.lit(COVERAGE_POWER)))
-    joined = per_file.join(bonuses, "file").join(line_counts.select("file", "line_count"), "file")
+    joined = per_file.join(line_counts.select("file", "line_count"), "file")
     score = cover * F.col("weights") / F.log(F.col("line_count") + SIZE_OFFSET) + F.col("bonus")
-    return joined.select("file", score.alias("score"), (F.col("weights") / F.greatest(F.col("line_count"), F.lit(1))).alias("density"), "matched_patterns")
+    return joined.select("file", score.alias("score"), (F.col("weights") / F.greatest(F.col("line_count"), F.lit(1))).alias("density"), "matched_patterns", "best")
 
 
 def hotspots(rows: DataFrame, line_counts: DataFrame, queried: int, top: int, weights: dict[str, float] | None = None) -> DataFrame:
     """The top files with their best window: most patterns, then most points, then the earliest."""
-    w = Window.partitionBy("file").orderBy(F.size("patterns").desc(), F.desc("points"), "line_start")
-    best = clusters(rows).withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("file", "line_start", "line_end", "patterns")
-    ranked = files(rows, line_counts, queried, weights).orderBy(F.desc("score"), F.desc("density"), "file").limit(top)
-    return ranked.join(best, "file").select(F.lit("hotspot").alias("type"), "file", "score", "line_start", "line_end", "patterns")
+    ranked = _scored(rows, line_counts, queried, weights).orderBy(F.desc("score"), F.desc("density"), "file").limit(top)
+    return ranked.select(F.lit("hotspot").alias("type"), "file", "score", (-F.col("best.early")).alias("line_start"), F.col("best.line_end").alias("line_end"), F.col("best.patterns").alias("patterns"))
 
 
 def order_files(listed: DataFrame, by: str) -> DataFrame:
