@@ -6,12 +6,11 @@ Lines come in the order of doc_id, then of the text's hash (rows that repeat a d
 1. Rarity: one pass counts words in `CELLS` hash cells; a cell's logarithm is one letter of a string of fixed size. Every line's words are
    ordered by their cell's class, rare ones first, then by hash.
 2. Classes: lines with equal sets are one class, with its first line; all others of it go. Only the first lines, with their leading words, travel on.
-3. Prefixes. Two similar sets have at most n / 5 words of one's own and share a word among the first n / 5 + 1 of each. If a shared word there is rare (cells of class
-   below `RARE`, so few rows whatever the corpus), that word is the key. Words that are not rare are never keys of their own, as their rows would grow with the corpus:
-   if two similar sets share no rare word, all rare words are own ones, and every break between two shared words of the rest costs one own word more, so that some pair of words stands side by
-   side in both sets, within the bound of `_keys`; such pairs are the other keys.
+3. Prefixes. Single words of a prefix come ever more often as the corpus grows, so the keys are pairs of words that stand side by side in the order. Two similar sets have at most n / 5 words of one's own; every break
+   between two shared words costs one of them, so that some pair stands side by side in both sets, within the bound of `_keys`. Such a prefix of pairs is the set's keys.
 4. Round one: each class with the first one of each of its keys, under length, positional and parity filters (the parities of similar sets differ in no more bits than the sets in words).
-   In lists of more than `BEFORE` classes, each class also meets the `BEFORE` ones before it in a random order. Round two, a self-join by key under the same filters: classes that round one has not removed, with all earlier ones. So a large group of near copies makes no pairs of all its lines.
+   In lists of more than `BEFORE` classes, each class also meets the `BEFORE` ones before it in a random order. Round two, a self-join by key under the same filters: classes that round one has not removed, with
+   all earlier ones, once for each run of common keys. So a large group of near copies makes no pairs of all its lines.
 5. Every pair that passed is verified by its words.
 
 Defined cases: null and empty texts have no lines to remove; lines without words stay and match nothing; very long lines are sets as any; rows equal in doc_id and text count as one document
@@ -27,14 +26,12 @@ from pyspark.sql import functions as F
 from textloom.llm.common import forget, table, written
 
 CELLS, CHUNK = 1 << 21, 1 << 11
-#: Cells of less than 2^RARE words in all hold rare ones.
-RARE = 4
 #: A cell's class stands above this many bits of a word's hash.
 LOW = 58
 #: Round one takes the keys in so many turns (a power of two), each a part of them by hash, so that one turn's shuffle is on disk at a time.
-TURNS = 2
+TURNS = 4
 #: Between the rounds, a class meets so many others before it in each longer list.
-BEFORE = 8
+BEFORE = 12
 #: Bits of a set's parity; those that stand in the code, beside the others of their own.
 SLOTS, ODD = 100, 36
 
@@ -99,21 +96,18 @@ def _ranked(lines: DataFrame, cells: Column) -> DataFrame:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """word (hash of a rare word or of a pair), doc, code (see `_part`), wide of the first lines.
+    """word (hash of two words side by side), prev (that of the pair before), doc, code (see `_part`), wide of the first lines.
 
-    With r rare words in the set and s = n - 5 r: the rest has at most s / 5 own words, against which the other set has none, or one for every four words that it takes less. Before the
-    first unbroken gap there are as many gaps as own words of both at most; so its second word's position is r + 1 + 2 floor(s / 5) + floor((s mod 5) / 4) at most.
+    Of a set's n words at most n / 5 are its own, and the other set has one own word for every four that it takes less. Before the first unbroken gap there are as many broken ones as own words of both
+    at most, so its second word's position is 1 + 2 floor(n / 5) + floor((n mod 5) / 4) at most.
     """
-    lead = F.slice("head", F.lit(1), (F.col("n") / 5).cast("int") + 1)
-    code = F.shiftleft(F.shiftleft(F.col("sig"), ODD).bitwiseOR(F.col("parity")), 16).bitwiseOR((F.least(F.lit(255), F.col("n")) * 256).cast("long"))
-    some = classes.select("doc", "wide", code.alias("code"), "n", "head", F.size(F.filter(lead, lambda k: k < F.lit(RARE << LOW))).alias("r"))
-    s = F.col("n") - 5 * F.col("r")
-    most = F.when(s < 0, 0).otherwise(F.least(F.size("head") - F.col("r") - 1, 1 + 2 * (s / 5).cast("int") + (s % 5 / 4).cast("int")))
-    some = some.select("doc", "wide", "code", "n", "r", "head", F.greatest(most, F.lit(0)).alias("most"))
-    pairs = F.zip_with(F.slice("head", F.col("r") + 1, F.col("most")), F.slice("head", F.col("r") + 2, F.col("most")), lambda a, b: F.xxhash64(a, b))
-    every = some.select("doc", "wide", "code", "n", "r", F.posexplode(F.concat(F.slice("head", F.lit(1), F.col("r")), pairs)).alias("i", "h"))
-    place = F.least(F.lit(255), F.col("i") + (F.col("i") >= F.col("r")).cast("int"))
-    return every.select(F.xxhash64("h").alias("word"), "doc", F.col("code").bitwiseOR(place.cast("long")).alias("code"), "wide")
+    n = F.col("n")
+    code = F.shiftleft(F.shiftleft(F.col("sig"), ODD).bitwiseOR(F.col("parity")), 16).bitwiseOR((F.least(F.lit(255), n) * 256).cast("long"))
+    most = F.least(F.size("head") - 1, 1 + 2 * (n / 5).cast("int") + (n % 5 / 4).cast("int"))
+    pairs = F.zip_with(F.slice("head", F.lit(1), most), F.slice("head", F.lit(2), most), lambda a, b: F.xxhash64(a, b))
+    some = classes.filter("n > 1").select("doc", "wide", code.alias("code"), pairs.alias("pairs"))
+    every = some.select("doc", "wide", "code", F.posexplode(F.arrays_zip(F.col("pairs").alias("word"), F.concat(F.array(F.lit(0).cast("long")), F.col("pairs")).alias("prev"))).alias("i", "z")).filter("z.word is not null")
+    return every.select("z.word", "z.prev", "doc", F.col("code").bitwiseOR(F.least(F.lit(255), F.col("i") + 1).cast("long")).alias("code"), "wide")
 
 
 def _part(code: Column, part: str) -> Column:
@@ -150,7 +144,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     for turn in range(TURNS):
         keys = every.filter(F.col("word").bitwiseAND(TURNS - 1) == turn).repartition("word")
         leaders = keys.groupBy("word").agg(F.min("doc").alias("doc"), F.min_by("code", "doc").alias("code"), F.min_by("wide", "doc").alias("wide"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-        met = keys.alias("b").join(leaders.alias("a"), "word").select("word", "b.doc", "b.code", "b.wide", F.when(_similar(*sides("a", "b")), F.struct("a.doc", "a.code")).alias("a"), "many")
+        met = keys.alias("b").join(leaders.alias("a"), "word").select("word", "b.prev", "b.doc", "b.code", "b.wide", F.when(_similar(*sides("a", "b")), F.struct("a.doc", "a.code")).alias("a"), "many")
         met = written(met.filter("many > 2 or a is not null"), "line-near")
         near = near.union(met) if near else met
     forget(firsts)
@@ -159,7 +153,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     late = _verified(rows, classes, pairs)
 
     # between the rounds: in long lists, each class with those before it in an order of the word's own, so that few classes of a large group of near copies are left
-    some = near.filter("many > 2").select("word", "doc", "code", "wide", _part(F.col("code"), "same").alias("same"))
+    some = near.filter("many > 2").select("word", "prev", "doc", "code", "wide", _part(F.col("code"), "same").alias("same"))
     row, run = F.struct("doc", "code", "wide"), Window.partitionBy("word").orderBy(F.xxhash64("word", "b.doc", "b.code"), "b.doc", "b.code")
     before = near.filter(f"many > {BEFORE}").select("word", row.alias("b")).select("b", *(F.lag("b", k).over(run).alias(f"a{k}") for k in range(1, BEFORE + 1)))
     b = {c: F.col(f"b.{c}") for c in ("doc", "code", "wide")}
@@ -172,7 +166,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     # round two: classes that are still there, with all earlier ones of their keys
     rest = some.join(late.filter("alone").select("doc", "same").distinct(), ["doc", "same"], "left_anti")
-    more = some.alias("a").join(rest.alias("b"), "word").filter((F.col("a.doc") <= F.col("b.doc")) & _similar(*sides("a", "b")))
+    # where the pair before is common too, the two have met there already
+    begins = (F.col("a.prev") != F.col("b.prev")) | (_part(F.col("a.code"), "i") == 1) | (_part(F.col("b.code"), "i") == 1)
+    more = some.alias("a").join(rest.alias("b"), "word").filter((F.col("a.doc") <= F.col("b.doc")) & begins & _similar(*sides("a", "b")))
     more = more.select(*ends("b.", "a.")).distinct()
     more = written(more.join(pairs, ["y_doc", "y", "x_doc", "x"], "left_anti"), "line-pairs")
     late = late.select("sig").union(_verified(rows, classes, more).select("sig")).distinct()
