@@ -27,13 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests, one machine) one of our own."""
+    """The cluster's shared folder; only on one machine, where none may be set (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         where = context._jsc.sc().getCheckpointDir()
         if where.isDefined():
             return str(where.get())
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         context.setCheckpointDir(found)
     return found

@@ -150,7 +150,7 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
 
 
 def learnt(rows: DataFrame) -> dict[str, float]:
-    """Weights of words and word beginnings by their log-odds over the sample, one row of each group of near copies."""
+    """Weights of words and word beginnings by their log-odds over the sample, one row (that of the smallest word list) of each group of near copies."""
 
     def run(batches):
         hasher = Hasher(11)
@@ -167,7 +167,7 @@ def learnt(rows: DataFrame) -> dict[str, float]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["mark", "toxic", "found"])
 
     told = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "mark long, toxic int, found array<string>")
-    one = told.groupBy("mark", "toxic").agg(F.first("found").alias("found"))
+    one = told.groupBy("mark", "toxic").agg(F.min("found").alias("found"))
     base = one.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     n, positive = base[0] or 0, base[1] or 0
     if not positive or positive == n:
