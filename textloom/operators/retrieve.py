@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import lexers
@@ -16,6 +16,15 @@ from textloom.sources.corpus import Corpus
 CATEGORIES = ("seed_implementation", "related_helper", "caller", "associated_test", "configuration", "documentation", "other")
 STOP_WORDS = frozenset("if else for while return func function fn def class struct enum import package const var let int string bool void auto static public private protected new delete this self nil null none true false error err the and or not in of to is".split())
 RELATED, NAME_CHARS, AROUND = 64, 80, 2
+# For each role, what a lower-cased path holds or ends with.
+ROLES = {
+    "test": (("/test/", "/tests/", "/spec/", ".test.", ".spec."), ("_test.go",)),
+    "config": (("/config/", "/configs/"), (".json", ".yaml", ".yml", ".toml", ".ini", ".env")),
+    "documentation": (("/docs/", "/doc/"), (".md", ".rst")),
+    "build": (("/build/", "/.github/workflows/"), ("makefile", "cmakelists.txt", ".mk")),
+    "generated": (("/generated/", "/vendor/", "/node_modules/"), (".generated.go",)),
+    "fixture": (("/fixture/", "/fixtures/", "/testdata/"), ()),
+}
 
 
 @dataclass
@@ -37,17 +46,30 @@ def seeds(corpus: Corpus, names: list[str]) -> DataFrame:
     return scan.match(corpus, patterns, options=scan.Options(frozenset(("context", "scope", "role", "occurrence")), before=AROUND, after=AROUND))
 
 
+def file_roles(path: Column) -> Column:
+    """All roles of a path, in fixed order, in native expressions; a path with none, or a test alone, is source too."""
+    low, tests = F.lower(path), {}
+    for role, (inside, ends) in ROLES.items():
+        test = F.lit(False)
+        for x in inside:
+            test |= F.contains(low, F.lit(x))
+        for x in ends:
+            test |= F.endswith(low, F.lit(x))
+        tests[role] = test
+    found = F.array_compact(F.array(*(F.when(t, F.lit(r)) for r, t in tests.items())))
+    return F.when((F.size(found) == 0) | (found == F.array(F.lit("test"))), F.concat(found, F.array(F.lit("source")))).otherwise(found)
+
+
 def categorised(rows: DataFrame) -> DataFrame:
-    """Rows with file_role and category."""
-    role = F.udf(lexers.file_role, "string")  # one call for each distinct file
-    files = rows.select("file").distinct().withColumn("file_role", role("file"))
+    """Rows with file_role (the first of the file's roles) and category."""
+    rows = rows.withColumn("file_role", F.get(file_roles(F.col("file")), F.lit(0)))
     definition = F.col("occurrence") == "probable_definition"
     seed = F.col("pattern_id").startswith("s")
     category = (
         F.when(F.col("file_role") == "test", "associated_test").when(F.col("file_role") == "config", "configuration").when(F.col("file_role") == "documentation", "documentation")
         .when(seed & definition, "seed_implementation").when(~seed & definition, "related_helper").when(seed & (F.col("occurrence") == "call_or_reference"), "caller").otherwise("other")
     )
-    return rows.join(files, "file").withColumn("category", category)
+    return rows.withColumn("category", category)
 
 
 def candidates(corpus: Corpus, rows: DataFrame, names: list[str], most: int = RELATED) -> list[str]:

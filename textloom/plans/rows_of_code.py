@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.patterns import Pattern
-from textloom.operators import filters, rank, scan, shapes
+from textloom.operators import filters, rank, retrieve, scan, shapes
 from textloom.plans.catalogue import BY_ID, RX, _script, _sql_matches, corpus, matches, query
 from textloom.plans.query import run_query
 from textloom.plans.script import run_script
@@ -128,6 +128,16 @@ def script_block(spark, sf_dir):
     return _script(spark, sf_dir, {"patterns": [{"id": "f", "regexp": "func first_[0-9]+", "on_match": out}]}, "file string, lines int, first_line int", programs(spark, sf_dir))
 
 
+#: Paths by a part's number, and what roles they have.
+PATHS = [("src/Main.go", "source"), ("a/tests/Deep.py", "test,source"), ("pkg/io_test.go", "test,source"), ("web/x.spec.ts", "test,source"), ("etc/CONFIG.yml", "config"), ("a/docs/index.html", "documentation"), ("README.md", "documentation"), ("cc/Makefile", "build"), ("a/vendor/b/tests/c.json", "test,config,generated"), ("x/testdata/in.txt", "fixture"), ("a/.github/workflows/ci.yaml", "config,build")]
+
+
+@query(f"SELECT p_partkey AS k, CASE p_partkey % {len(PATHS)} {' '.join(f'WHEN {i} THEN {chr(39)}{r}{chr(39)}' for i, (_, r) in enumerate(PATHS))} END AS roles FROM part")
+def file_roles(spark, sf_dir):
+    path = F.get(F.array(*(F.lit(p) for p, _ in PATHS)), (F.col("p_partkey") % len(PATHS)).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.array_join(retrieve.file_roles(path), ",").alias("roles"))
+
+
 # --- documents
 
 
