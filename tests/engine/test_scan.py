@@ -59,7 +59,6 @@ def test_lexers():
     assert lexers.identifier_matches("parseHTTPRequest", ["http", "req"]) and not lexers.identifier_matches("parseHTTPRequest", ["ttp"])
     assert lexers.block("f {a {b} c} {d}", 0, "{", "}") == (2, 10, 11)
     assert lexers.block("x { /* } */ }", 0, "{", "}", lexers.roles("x { /* } */ }", lexers.forms("a.c"))) == (2, 12, 13)
-    assert lexers.file_role("src/a_test.go") == "test" and lexers.file_role("docs/x.md") == "documentation" and lexers.file_role("src/a.go") == "source"
     rust = lexers.roles("/* a /* b */ c */ 'x \"s\ntwo\" // end", lexers.forms("a.rs"))
     assert [k for _, _, k in rust.spans] == ["comment", "string", "comment"]
     py = lexers.roles('import os\nx = """a # b\n"""\n', lexers.forms("a.py"))

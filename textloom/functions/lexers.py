@@ -280,17 +280,3 @@ def occurrence(text: str, at: Roles | None, found: list[Scope], start: int, end:
     if re.search(r"\b(?:let|var|const|int|auto|bool|char|long|float|double|string)\s+\**$", before):
         return "declaration", "medium"
     return "call_or_reference", "medium" if after.startswith("(") else "low"
-
-
-FILE_ROLES = (
-    ("generated", re.compile(r"(?:^|/)(?:generated|gen|vendor|node_modules|third_party|dist|build)/|\.pb\.|_generated\.|\.min\.")),
-    ("fixture", re.compile(r"(?:^|/)(?:fixtures?|testdata|golden)/")),
-    ("test", re.compile(r"(?:^|/)(?:tests?|__tests__|spec)/|_test\.|\.test\.|\.spec\.|(?:^|/)test_")),
-    ("documentation", re.compile(r"(?:^|/)docs?/|\.(?:md|rst|adoc|txt)$|(?:^|/)(?:README|CHANGELOG|LICENSE)")),
-    ("build", re.compile(r"(?:^|/)(?:Makefile|CMakeLists\.txt|Dockerfile|BUILD|go\.mod|Cargo\.toml|package\.json|pom\.xml)$|\.(?:mk|cmake|gradle)$")),
-    ("config", re.compile(r"(?:^|/)(?:config|configs|conf|etc)/|\.(?:ya?ml|toml|ini|conf|cfg|json|env|properties)$")),
-)
-
-
-def file_role(path: str) -> str:
-    return next((name for name, rx in FILE_ROLES if rx.search(path)), "source")
