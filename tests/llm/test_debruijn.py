@@ -50,3 +50,11 @@ def test_rows_without_a_key_stay_whole(spark):
     assert sorted(got, key=repr) == sorted([(5, words, 0), (7, "", 1), (None, words, 0), (None, words, 0), (None, "", 0), (None, f"é x {words}", 0)], key=repr)
     alone = debruijn.dedup(spark.createDataFrame(rows[:1], df.schema))
     assert [tuple(r)[:2] for r in alone.collect()] == [(None, words)]
+
+
+def test_slices_without_any_repeated_window(spark):
+    """One slice holds short and empty texts only, another one no window that comes twice."""
+    rows = [(1, "a b"), (2, ""), (3, None), (4, " ".join(f"only{i}" for i in range(40)))]
+    for some in (rows[:3], rows[3:], rows):
+        df = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: r.text for r in debruijn.dedup(df).collect()} == {k: " ".join((t or "").split()) for k, t in some}

@@ -70,7 +70,7 @@ def _probes(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _sent(slice_number: int, bucket: np.ndarray, **arrays: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket; the arrays are ordered by bucket."""
     found, begin = np.unique(bucket, return_index=True)
-    ends = np.append(begin[1:], len(bucket))
+    ends = np.append(begin, len(bucket))[1:]  # none of none
     columns = [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), slice_number, np.int64))]
     columns += [pa.array([a[s:e].tobytes() for s, e in zip(begin, ends, strict=True)], pa.binary()) for a in arrays.values()]
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "slice", *arrays])
@@ -194,7 +194,7 @@ def _resolved(window: int, buckets: int, kept, made, names: list[str], kinds: li
                 masks = {x["bucket"]: x["mask"] for x in batch.column(4)[i].as_py() or ()}
                 verdict = np.zeros(len(c.hash), bool)
                 found, begin = np.unique(c.bucket, return_index=True)
-                for b, s, t in zip(found, begin, np.append(begin[1:], len(c.bucket)), strict=True):
+                for b, s, t in zip(found, begin, np.append(begin, len(c.bucket))[1:], strict=True):
                     verdict[s:t] = np.unpackbits(np.frombuffer(masks[int(b)], np.uint8), count=t - s).astype(bool)
                 by_group = np.empty(len(verdict), bool)
                 by_group[c.order] = verdict

@@ -125,7 +125,7 @@ def _prefixes(text: str, size: int, buckets: int, classes):
             order = np.argsort(bucket, kind="stable")
             at, position, bucket = at[order], position[order], bucket[order]
             found, begin = np.unique(bucket, return_index=True)
-            end = np.append(begin[1:], len(bucket))
+            end = np.append(begin, len(bucket))[1:]  # none of none
             columns = (s.hash[at], keys[s.owner[at]].astype(np.int64), s.n[s.owner[at]].astype(np.int32), position.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array([c[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary()) for c in columns)], names=["bucket", "tokens", "docs", "sizes", "places"])
 
