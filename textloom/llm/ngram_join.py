@@ -9,7 +9,7 @@ component under links, so groups of copies are never expanded into pairs.
 3. Groups: in each token's bucket, sets of similar size meet the first of them; each set is compared with the first that it meets most often, and verified links give the first components, which are the groups.
 4. Matrix: for each token the groups whose members hold it in their prefix (the group's token union), with their sizes and positions. A set's overlap with a foreign
    group's union bounds its overlap with every member; only groups that reach L are opened, for the
-   members that themselves reach L. Before that, a few rounds compare each set with one neighbour in its tokens' lists, which joins near copies without their pairs. All opened pairs are verified exactly. Nothing is capped, so no link is lost.
+   members that themselves reach L. Before that, `TURNS` rounds compare each set with one neighbour in its tokens' lists, which joins near copies without their pairs. All opened pairs are verified exactly. Nothing is capped, so no link is lost.
 
 Verification reads the texts of the documents in opened pairs again; a Bloom filter of fixed size spares the others.
 Shingles match by 64-bit hashes.
@@ -33,7 +33,7 @@ SHINGLE = 5
 CELLS, CHUNK = 1 << 20, 1 << 16
 BLOOM_BITS, BLOOM_CHUNK = 1 << 25, 1 << 19
 ENTRIES = 1_200_000
-TURNS = 4
+TURNS = 1
 #: Similarity of four fifths, as whole numbers.
 NUM, DEN = 4, 5
 
