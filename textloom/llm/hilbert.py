@@ -160,7 +160,7 @@ def search(df: DataFrame, every: int, k: int = 5, key: str = "vec_id", vector: s
     queries = numbered.mapInArrow(asked, "curve int, at int, q_ids binary, q_body binary")
     visits = queries.select("curve", "q_ids", "q_body", F.explode(F.sequence(F.col("at") - steps, F.col("at") + steps)).alias("at"))
     met = visits.join(numbered, ["curve", "at"]).select("q_ids", "q_body", "ids", "body").mapInArrow(_visit(k), "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = written(met, "hilbert-visits").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
