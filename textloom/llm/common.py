@@ -41,8 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Settings of a job that writes a table: its shuffle files go when the table is written (no later job can want them), and Python gets batches of some megabytes, however long the texts.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Settings of a job that writes a table: its shuffle files go when the table is written (no later job can want them), Python gets batches of some megabytes, however long the texts,
+#: and nothing is broadcast but what says so, so that plans are alike at every size.
+WRITING = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ Lines come in the order of doc_id, then of the text's hash (rows that repeat a d
 3. Prefixes. Single words of a prefix come ever more often as the corpus grows, so the keys are pairs of words that stand side by side in the order. Two similar sets have at most n / 5 words of one's own; every break
    between two shared words costs one of them, so that some pair stands side by side in both sets, within the bound of `_keys`. Such a prefix of pairs is the set's keys.
 4. Round one: each class with the first one of each of its keys, under length, positional and parity filters (the parities of similar sets differ in no more bits than the sets in words).
-   In lists of more than `BEFORE` classes, each class also meets the `BEFORE` ones before it in a random order. Round two, a self-join by key under the same filters: classes that round one has not removed, with
+   Then each class meets the `BEFORE` ones before it in a random order, which is all there is to short lists. Round two, a self-join by key of the longer ones under the same filters: classes that are still there, with
    all earlier ones, once for each run of common keys. So a large group of near copies makes no pairs of all its lines.
 5. Every pair that passed is verified by its words.
 
@@ -152,10 +152,10 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     pairs = written(near.filter("a is not null").select(*ends("", "a.")).distinct(), "line-pairs")
     late = _verified(rows, classes, pairs)
 
-    # between the rounds: in long lists, each class with those before it in an order of the word's own, so that few classes of a large group of near copies are left
-    some = near.filter("many > 2").select("word", "prev", "doc", "code", "wide", _part(F.col("code"), "same").alias("same"))
+    # between the rounds: each class with those before it in an order of the word's own. That is all there is to lists of up to BEFORE + 1; in longer ones, few classes of a large group of near copies are left
+    some = near.filter(f"many > {BEFORE + 1}").select("word", "prev", "doc", "code", "wide", _part(F.col("code"), "same").alias("same"))
     row, run = F.struct("doc", "code", "wide"), Window.partitionBy("word").orderBy(F.xxhash64("word", "b.doc", "b.code"), "b.doc", "b.code")
-    before = near.filter(f"many > {BEFORE}").select("word", row.alias("b")).select("b", *(F.lag("b", k).over(run).alias(f"a{k}") for k in range(1, BEFORE + 1)))
+    before = near.filter("many > 2").select("word", row.alias("b")).select("b", *(F.lag("b", k).over(run).alias(f"a{k}") for k in range(1, BEFORE + 1)))
     b = {c: F.col(f"b.{c}") for c in ("doc", "code", "wide")}
     met = F.array_compact(F.array(*(F.when(_similar({c: F.col(f"a{k}.{c}") for c in b}, b), F.col(f"a{k}")) for k in range(1, BEFORE + 1))))
     two = before.select("b", F.explode(met).alias("a")).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))

@@ -8,8 +8,8 @@ component under links, so groups of copies are never expanded into pairs.
    n - ceil(0.8 n) + L of each in any fixed order, so only these prefixes travel (L is 2 + n / 16, for small sets 1); common passages come last in the order and rarely travel.
 3. Groups: in each token's bucket, sets of similar size meet the first of them; each set is compared with the first that it meets most often, and verified links give the first components, which are the groups.
 4. Matrix: for each token the groups whose members hold it in their prefix (the group's token union), with their sizes and positions. A set's overlap with a foreign
-   group's union bounds its overlap with every member; only groups that reach L are opened, for the
-   members that themselves reach L. Before that, `TURNS` rounds compare each set with one neighbour in its tokens' lists, which joins near copies without their pairs. All opened pairs are verified exactly. Nothing is capped, so no link is lost.
+   group's union bounds its overlap with every member; only groups that reach L are opened, and only for
+   members that hold one of the rarest tokens of the overlap, as a similar member must. Before that, `TURNS` rounds compare each set with one neighbour in its tokens' lists, which joins near copies without their pairs. All opened pairs are verified exactly. Nothing is capped, so no link is lost.
 
 Verification reads the texts of the documents in opened pairs again; a Bloom filter of fixed size spares the others.
 Shingles match by 64-bit hashes.
@@ -263,21 +263,26 @@ def _opened(held: DataFrame) -> DataFrame:
 
     The j-th common token of similar sets of n and m shingles has at least ceil(4 / 9 (n + m)) - j + 1 shingles from there on in both; so L tokens of a similar pair pass with j = L.
     """
-    matrix = held.groupBy("token", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("rest"), F.min("rep").alias("one"), F.max("rep").alias("two"))
+    matrix = held.groupBy("token", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("rest"), F.min("rep").alias("one"), F.max("rep").alias("two"), F.count(F.lit(1)).alias("holders"))
     loose = f"ceil(4 * (n + least) / 9) - {_least('n')} + 1"
     foreign = held.join(matrix, "token").filter("comp <> group").filter(f"{DEN} * n >= {NUM} * least and {NUM} * n <= {DEN} * most").filter(f"n - i >= {loose} and rest >= {loose}")
+    # a token that one member holds serves that member only, whose size and place are known
+    fits = lambda size, rest: f"least(n - i, {rest}) >= ceil(4 * (n + {size}) / 9) - {_least(f'least(n, {size})')} + 1"
+    foreign = foreign.filter(f"one <> two or ({DEN} * n >= {NUM} * least and {DEN} * least >= {NUM} * n and {fits('least', 'rest')})")
     # tokens that the set shares with the group's union bound the tokens shared with any member
     pair = Window.partitionBy("rep", "group")
-    enough = f"hits >= {_least(f'ceil({NUM} * n / {DEN})')}"
+    need = _least(f"ceil({NUM} * n / {DEN})")
+    enough = f"hits >= {need}"
     opened = foreign.withColumns({"hits": F.count(F.lit(1)).over(pair), "one": F.min("one").over(pair), "two": F.max("two").over(pair)}).filter(enough)
     # a group in which one member holds all these tokens is that member's row of the matrix: nothing is left to open
-    fits = lambda size, rest: f"least(n - i, {rest}) >= ceil(4 * (n + {size}) / 9) - {_least(f'least(n, {size})')} + 1"
     single = opened.filter("one = two").select("rep", "n", F.col("one").alias("other"), F.col("least").alias("size"), "i", "rest").filter(fits("size", "rest"))
-    several = opened.filter("one <> two").select("token", "rep", "n", "i", "group")
+    single = single.groupBy("rep", "n", "other", "size").agg(F.count(F.lit(1)).alias("hits")).filter(f"hits >= {_least('least(n, size)')}")
+    # a similar member holds `need` of these tokens, so one at least of any hits - need + 1, of which those with the fewest holders open the fewest members
+    order = F.row_number().over(Window.partitionBy("rep", "group").orderBy("holders", "token"))
+    several = opened.filter("one <> two").withColumn("turn", order).filter(f"turn <= hits - ({need}) + 1").select("token", "rep", "n", "i", "group")
     members = held.select("token", F.col("comp").alias("group"), F.col("rep").alias("other"), F.col("n").alias("size"), F.col("i").alias("j"))
-    found = several.join(members, ["token", "group"]).filter("rep < other").filter(f"{DEN} * n >= {NUM} * size and {DEN} * size >= {NUM} * n").filter(fits("size", "size - j"))
-    found = found.select("rep", "n", "other", "size").union(single.select("rep", "n", "other", "size"))
-    found = found.groupBy("rep", "n", "other", "size").agg(F.count(F.lit(1)).alias("hits")).filter(f"hits >= {_least('least(n, size)')}")
+    found = several.join(members, ["token", "group"]).filter(f"{DEN} * n >= {NUM} * size and {DEN} * size >= {NUM} * n").filter(fits("size", "size - j"))
+    found = found.select("rep", "other").union(single.select("rep", "other"))
     return found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
