@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, debruijn, hilbert, html_tree, line_dedup, ngram_join, packing, pii, topk, toxicity
+from textloom.llm import bpe, debruijn, hilbert, html_tree, line_dedup, ngram_join, packing, pii, spelling, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_concat_and_cut": packing.query,
         "op9_tree_html": html_tree.query,
         "op10_pattern_grammar": toxicity.query,
+        "op11_parity_bands": spelling.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_uniform_threshold": topk.SQL, "op3_debruijn_dedup": debruijn.SQL, "op5_line_set_join": line_dedup.SQL, "op7_token_group_matrix": ngram_join.SQL}
+    return {"op2_uniform_threshold": topk.SQL, "op3_debruijn_dedup": debruijn.SQL, "op5_line_set_join": line_dedup.SQL, "op7_token_group_matrix": ngram_join.SQL, "op11_parity_bands": spelling.SQL}
