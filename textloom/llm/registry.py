@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, debruijn, hilbert, html_tree, line_dedup, ngram_join, packing, pii, spelling, topk, toxicity, wumanber
+from textloom.llm import bpe, debruijn, filter_audit, hilbert, html_tree, line_dedup, ngram_join, packing, pii, spelling, topk, toxicity, wumanber
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_pattern_grammar": toxicity.query,
         "op11_parity_bands": spelling.query,
         "op12_wu_manber": wumanber.query,
+        "op13_sorted_audit": filter_audit.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_uniform_threshold": topk.SQL, "op3_debruijn_dedup": debruijn.SQL, "op5_line_set_join": line_dedup.SQL, "op7_token_group_matrix": ngram_join.SQL, "op11_parity_bands": spelling.SQL, "op12_wu_manber": wumanber.SQL}
+    return {"op2_uniform_threshold": topk.SQL, "op3_debruijn_dedup": debruijn.SQL, "op5_line_set_join": line_dedup.SQL, "op7_token_group_matrix": ngram_join.SQL, "op11_parity_bands": spelling.SQL, "op12_wu_manber": wumanber.SQL, "op13_sorted_audit": filter_audit.SQL}
