@@ -5,7 +5,8 @@ Lines come in the order of doc_id, then of the text's hash (rows that repeat a d
 
 1. Rarity: one pass counts words in `CELLS` hash cells; a cell's logarithm is one letter of a string of fixed size. Every line's words are
    ordered by their cell's class, rare ones first, then by hash.
-2. Classes: lines with equal sets are one class, with its first line; all others of it go. Only the first lines, with their leading words, travel on.
+2. Classes: lines with equal sets are one class, with its first line; all others of it go. Only the first lines, with their leading words, travel on; sorted by place they are numbered, and this number
+   is what tells classes apart and says which is earlier.
 3. Prefixes. Single words of a prefix come ever more often as the corpus grows, so the keys are pairs of words that stand side by side in the order. Two similar sets have at most n / 5 words of one's own; every break
    between two shared words costs one of them, so that some pair stands side by side in both sets, within the bound of `_keys`. Such a prefix of pairs is the set's keys.
 4. Round one: each class with the first one of each of its keys, under length, positional and parity filters (the parities of similar sets differ in no more bits than the sets in words).
@@ -96,84 +97,85 @@ def _ranked(lines: DataFrame, cells: Column) -> DataFrame:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """word (hash of two words side by side), prev (that of the pair before), doc, code (see `_part`), wide of the first lines.
+    """word (hash of two words side by side), prev (that of the pair before), id, code (see `_part`), wide of the first lines.
 
     Of a set's n words at most n / 5 are its own, and the other set has one own word for every four that it takes less. Before the first unbroken gap there are as many broken ones as own words of both
     at most, so its second word's position is 1 + 2 floor(n / 5) + floor((n mod 5) / 4) at most.
     """
     n = F.col("n")
-    code = F.shiftleft(F.shiftleft(F.col("sig"), ODD).bitwiseOR(F.col("parity")), 16).bitwiseOR((F.least(F.lit(255), n) * 256).cast("long"))
+    code = F.shiftleft(F.col("parity"), 16).bitwiseOR((F.least(F.lit(255), n) * 256).cast("long"))
     most = F.least(F.size("head") - 1, 1 + 2 * (n / 5).cast("int") + (n % 5 / 4).cast("int"))
     pairs = F.zip_with(F.slice("head", F.lit(1), most), F.slice("head", F.lit(2), most), lambda a, b: F.xxhash64(a, b))
-    some = classes.filter("n > 1").select("doc", "wide", code.alias("code"), pairs.alias("pairs"))
-    every = some.select("doc", "wide", "code", F.posexplode(F.arrays_zip(F.col("pairs").alias("word"), F.concat(F.array(F.lit(0).cast("long")), F.col("pairs")).alias("prev"))).alias("i", "z")).filter("z.word is not null")
-    return every.select("z.word", "z.prev", "doc", F.col("code").bitwiseOR(F.least(F.lit(255), F.col("i") + 1).cast("long")).alias("code"), "wide")
+    some = classes.filter("n > 1").select("id", "wide", code.alias("code"), pairs.alias("pairs"))
+    every = some.select("id", "wide", "code", F.posexplode(F.arrays_zip(F.col("pairs").alias("word"), F.concat(F.array(F.lit(0).cast("long")), F.col("pairs")).alias("prev"))).alias("i", "z")).filter("z.word is not null")
+    return every.select("z.word", "z.prev", "id", F.col("code").bitwiseOR(F.least(F.lit(255), F.col("i") + 1).cast("long")).alias("code"), "wide")
 
 
 def _part(code: Column, part: str) -> Column:
-    """A code's parts, from the top: 12 bits of the class's sig, which identify it beside its doc, but for collisions that verification undoes; `ODD` bits of parity; size and position, 255 or more as 255."""
-    low, bits = {"same": (16 + ODD, 48 - ODD), "parity": (16, ODD), "n": (8, 8), "i": (0, 8)}[part]
+    """A code's parts, from the top: `ODD` bits of parity; size and position, 255 or more as 255."""
+    low, bits = {"parity": (16, ODD), "n": (8, 8), "i": (0, 8)}[part]
     return F.shiftright(code, low).bitwiseAND((1 << bits) - 1)
 
 
-def _same(sig: str) -> Column:
-    return F.col(sig).bitwiseAND((1 << 48 - ODD) - 1)
-
-
 def _similar(a, b) -> Column:
     """What similar sets a and b satisfy at the first common key: sizes, words that can still be common, and as many odd bits of both at most as there are own words. Sizes of 255 may be larger ones."""
-    (n, m), (i, j), (one, two), (same, other) = ([_part(x["code"], part) for x in (a, b)] for part in ("n", "i", "parity", "same"))
+    (n, m), (i, j), (one, two) = ([_part(x["code"], part) for x in (a, b)] for part in ("n", "i", "parity"))
     odd = F.bit_count(one.bitwiseXOR(two)) + F.bit_count(a["wide"].bitwiseXOR(b["wide"]))
     # before the first common key there are, of both sets together, at most (n + m) / 9 own words and as many broken gaps
     close = (9 * odd <= n + m) & (3 * (i + j) <= n + m + 6)
-    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & ((n == 255) | (m == 255) | close) & ((a["doc"] != b["doc"]) | (same != other))
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & ((n == 255) | (m == 255) | close) & (a["id"] != b["id"])
+
+
+def _numbered(ranked: DataFrame) -> DataFrame:
+    """A row for each class, with its first line: id (in the order of these lines), sig, doc, th, pos, n, parity, wide, head. Written, so that a class keeps its id."""
+    firsts = ranked.groupBy("sig").agg(F.min(F.struct("doc", "th", "pos", "n", "parity", "wide", "head")).alias("f")).select("sig", "f.*")
+    parts = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ("doc", "th", "pos")
+    return written(firsts.repartitionByRange(parts, *place).sortWithinPartitions(*place).select(F.monotonically_increasing_id().alias("id"), "*"), "line-classes")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, th and pos of every line that goes."""
     rows = _judged(docs, key, text)
     ranked = written(_ranked(_lines(rows), rarity(rows)), "lines")
-    firsts = ranked.groupBy("sig").agg(F.min(F.struct("doc", "th", "pos", "n", "parity", "wide", "head")).alias("f"))
-    firsts = written(firsts.select("sig", "f.*"), "line-classes")
-    lines, classes = written(ranked.select("doc", "th", "pos"), "lines"), written(firsts.select("sig", "doc", "th", "pos"), "line-classes")
+    firsts = _numbered(ranked)
+    lines, classes = written(ranked.select("doc", "th", "pos"), "lines"), written(firsts.select("id", "doc", "th", "pos"), "line-classes")
     forget(ranked)
 
     # round one: the first class of the key
-    sides = lambda *names: [{c: F.col(f"{x}.{c}") for c in ("doc", "code", "wide")} for x in names]
+    sides = lambda *names: [{c: F.col(f"{x}.{c}") for c in ("id", "code", "wide")} for x in names]
     every, near = _keys(firsts), None
     for turn in range(TURNS):
         keys = every.filter(F.col("word").bitwiseAND(TURNS - 1) == turn).repartition("word")
-        leaders = keys.groupBy("word").agg(F.min("doc").alias("doc"), F.min_by("code", "doc").alias("code"), F.min_by("wide", "doc").alias("wide"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-        met = keys.alias("b").join(leaders.alias("a"), "word").select("word", "b.prev", "b.doc", "b.code", "b.wide", F.when(_similar(*sides("a", "b")), F.struct("a.doc", "a.code")).alias("a"), "many")
+        leaders = keys.groupBy("word").agg(F.min("id").alias("id"), F.min_by("code", "id").alias("code"), F.min_by("wide", "id").alias("wide"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+        met = keys.alias("b").join(leaders.alias("a"), "word").select("word", "b.prev", "b.id", "b.code", "b.wide", F.when(_similar(*sides("a", "b")), F.col("a.id")).alias("a"), "many")
         met = written(met.filter("many > 2 or a is not null"), "line-near")
         near = near.union(met) if near else met
     forget(firsts)
-    ends = lambda y, x: [*(F.col(f"{y}doc").alias("y_doc"), _part(F.col(f"{y}code"), "same").alias("y")), *(F.col(f"{x}doc").alias("x_doc"), _part(F.col(f"{x}code"), "same").alias("x"))]
-    pairs = written(near.filter("a is not null").select(*ends("", "a.")).distinct(), "line-pairs")
+    pairs = written(near.filter("a is not null").select(F.col("id").alias("y"), F.col("a").alias("x")).distinct(), "line-pairs")
     late = _verified(rows, classes, pairs)
 
     # between the rounds: each class with those before it in an order of the word's own. That is all there is to lists of up to BEFORE + 1; in longer ones, few classes of a large group of near copies are left
-    some = near.filter(f"many > {BEFORE + 1}").select("word", "prev", "doc", "code", "wide", _part(F.col("code"), "same").alias("same"))
-    row, run = F.struct("doc", "code", "wide"), Window.partitionBy("word").orderBy(F.xxhash64("word", "b.doc", "b.code"), "b.doc", "b.code")
+    some = near.filter(f"many > {BEFORE + 1}").select("word", "prev", "id", "code", "wide")
+    row, run = F.struct("id", "code", "wide"), Window.partitionBy("word").orderBy(F.xxhash64("word", "b.id"), "b.id", "b.code")
     before = near.filter("many > 2").select("word", row.alias("b")).select("b", *(F.lag("b", k).over(run).alias(f"a{k}") for k in range(1, BEFORE + 1)))
-    b = {c: F.col(f"b.{c}") for c in ("doc", "code", "wide")}
-    met = F.array_compact(F.array(*(F.when(_similar({c: F.col(f"a{k}.{c}") for c in b}, b), F.col(f"a{k}")) for k in range(1, BEFORE + 1))))
-    two = before.select("b", F.explode(met).alias("a")).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    more = two.select(*ends("b.", "a.")).distinct()
-    resolved = late.filter("alone").select(F.col("doc").alias("y_doc"), F.col("same").alias("y"))
-    more = written(more.join(resolved, ["y_doc", "y"], "left_anti").join(pairs, ["y_doc", "y", "x_doc", "x"], "left_anti"), "line-pairs")
+    b = {c: F.col(f"b.{c}") for c in ("id", "code", "wide")}
+    met = F.array_compact(F.array(*(F.when(_similar({c: F.col(f"a{k}.{c}") for c in b}, b), F.col(f"a{k}.id")) for k in range(1, BEFORE + 1))))
+    two = before.select("b.id", F.explode(met).alias("a"))
+    more = two.select(F.greatest("a", "id").alias("y"), F.least("a", "id").alias("x")).distinct()
+    more = written(more.join(late.select(F.col("id").alias("y")), "y", "left_anti").join(pairs, ["y", "x"], "left_anti"), "line-pairs")
     pairs, late = pairs.union(more), late.union(_verified(rows, classes, more))
 
     # round two: classes that are still there, with all earlier ones of their keys
-    rest = some.join(late.filter("alone").select("doc", "same").distinct(), ["doc", "same"], "left_anti")
+    rest = some.join(late.distinct(), "id", "left_anti")
     # where the pair before is common too, the two have met there already
     begins = (F.col("a.prev") != F.col("b.prev")) | (_part(F.col("a.code"), "i") == 1) | (_part(F.col("b.code"), "i") == 1)
-    more = some.alias("a").join(rest.alias("b"), "word").filter((F.col("a.doc") <= F.col("b.doc")) & begins & _similar(*sides("a", "b")))
-    more = more.select(*ends("b.", "a.")).distinct()
-    more = written(more.join(pairs, ["y_doc", "y", "x_doc", "x"], "left_anti"), "line-pairs")
-    late = late.select("sig").union(_verified(rows, classes, more).select("sig")).distinct()
+    more = some.alias("a").join(rest.alias("b"), "word").filter((F.col("a.id") < F.col("b.id")) & begins & _similar(*sides("a", "b")))
+    more = more.select(F.col("b.id").alias("y"), F.col("a.id").alias("x")).distinct()
+    more = written(more.join(pairs, ["y", "x"], "left_anti"), "line-pairs")
+    late = late.union(_verified(rows, classes, more)).distinct()
 
-    stays = classes.join(late, "sig", "left_anti").select("doc", "th", "pos")
+    stays = classes.join(late, "id", "left_anti").select("doc", "th", "pos")
     return lines.join(stays, ["doc", "th", "pos"], "left_anti")
 
 
@@ -189,21 +191,19 @@ def _marked(mask: str | Column, pos: Column) -> Column:
 
 
 def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """sig, doc, same, alone (no other class has these two) of the later class of each of the pairs (x, y) that is similar by its words, written."""
-    ids = pairs.select(F.explode(F.array(F.struct(F.col("x_doc").alias("doc"), F.col("x").alias("same")), F.struct(F.col("y_doc").alias("doc"), F.col("y").alias("same")))).alias("id")).select("id.*").distinct()
-    wanted = written(classes.withColumn("same", _same("sig")).join(ids, ["doc", "same"]), "line-wanted")
+    """id of the later class of each of the pairs (y, x) that is similar by its words, written."""
+    ids = pairs.select(F.explode(F.array("y", "x")).alias("id")).distinct()
+    wanted = written(classes.join(ids, "id"), "line-wanted")
     texts = rows.join(wanted.groupBy("doc", "th").agg(_mask("pos").alias("mask")), ["doc", "th"])
     lines = texts.select("doc", "th", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("pos", "line"), "mask").filter(_marked("mask", F.col("pos")))
     got = lines.select("doc", "th", "pos", _hashes(F.col("line")).alias("words")).dropDuplicates(["doc", "th", "pos"]).join(wanted, ["doc", "th", "pos"])
-    alone = F.count(F.lit(1)).over(Window.partitionBy("doc", "same")) == 1
-    got = written(got.select("sig", "doc", "same", F.struct("doc", "th", "pos").alias("at"), "words", alone.alias("alone")), "line-words")
-    side = lambda x: got.select(F.col("doc").alias(f"{x}_doc"), F.col("same").alias(x), F.struct("at", "sig", "alone").alias(f"{x}_is"), F.col("words").alias(f"{x}_words"))
-    both = pairs.join(side("x"), ["x_doc", "x"]).join(side("y"), ["y_doc", "y"])
+    got = written(got.select("id", "words"), "line-words")
+    side = lambda x: got.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     common = F.size(F.array_intersect("x_words", "y_words"))
     similar = both.filter(5 * common >= 4 * (F.size("x_words") + F.size("y_words") - common))
-    later = similar.select(F.greatest("x_is", "y_is").alias("later")).select("later.*").select("sig", "at.doc", _same("sig").alias("same"), "alone")
-    found = written(later.distinct(), "line-later")
-    forget(got)
+    found = written(similar.select(F.greatest("x", "y").alias("id")).distinct(), "line-later")
+    forget(got, wanted)
     return found
 
 
