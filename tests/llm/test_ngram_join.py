@@ -4,25 +4,26 @@ from textloom.llm import ngram_join
 
 
 def brute(rows, size):
-    sets = {}
+    """A row's own set; components over doc_ids."""
+    sets, root = [], {}
     for k, t in rows:
         w = "".join(c.lower() if c.isascii() else c for c in (t or "")).encode().split()
-        sets[k] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-    root = {k: k for k in sets}
+        sets.append((k, {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()))
+        root[k] = k
 
     def find(k):
         while root[k] != k:
             k = root[k]
         return k
 
-    keys = sorted(sets)
-    for i, a in enumerate(keys):
-        for b in keys[:i]:
-            c = len(sets[a] & sets[b])
-            if c and 100 * c >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return sorted((k, len(sets[k]), find(k)) for k in keys)
+    named = [x for x in sets if x[0] is not None]
+    for i, (a, x) in enumerate(named):
+        for b, y in named[:i]:
+            c = len(x & y)
+            if a != b and c and 100 * c >= 80 * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return sorted(((k, len(x), None if k is None else find(k)) for k, x in sets), key=repr)
 
 
 def test_equals_brute_force(spark):
@@ -43,7 +44,7 @@ def test_equals_brute_force(spark):
     order = list(rows)
     rng.shuffle(order)
     df = spark.createDataFrame([(k, t, 7) for k, t in order], "doc_id long, text string, n long").repartition(4)
-    got = sorted(tuple(r) for r in ngram_join.join(df).collect())
+    got = sorted((tuple(r) for r in ngram_join.join(df).collect()), key=repr)
     assert got == brute(rows, 5)
 
 
@@ -51,7 +52,7 @@ def test_a_chain_is_one_component(spark):
     base = [f"w{i}" for i in range(80)]
     rows = [(i + 1, " ".join(base[i * 3 : i * 3 + 40])) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(tuple(r) for r in ngram_join.join(df).collect()) == brute(rows, 5)
+    assert sorted((tuple(r) for r in ngram_join.join(df).collect()), key=repr) == brute(rows, 5)
 
 
 def test_empty_table(spark):
@@ -59,6 +60,35 @@ def test_empty_table(spark):
 
 
 def test_rows_without_a_key_are_no_nodes(spark):
+    """They have their size, but no links and no component."""
     text = " ".join(f"w{i}" for i in range(30))
-    df = spark.createDataFrame([(None, text), (5, text), (None, "x"), (7, text + " y"), (None, None)], "doc_id long, text string")
-    assert sorted(tuple(r) for r in ngram_join.join(df).collect()) == [(5, 26, 5), (7, 27, 5)]
+    rows = [(None, text), (5, text), (None, "x"), (7, text + " y"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.join(df).collect()), key=repr)
+    assert got == brute(rows, 5) and got[0][2] == got[1][2] == 5 and len(got) == 5
+
+
+def test_rows_that_repeat_a_key(spark):
+    """Each row has links of its own; together they are one node. In `copies` they stay apart."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (9, None), (11, "another text of some words"), (11, a), (12, b), (5, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.join(df).collect()), key=repr)
+    assert got == brute(rows, 5) and {r[2] for r in got} == {5}
+    texts = {r.th: r.text for r in df.selectExpr("xxhash64(text) as th", "text").collect()}
+    gone = {(r.doc, texts[r.th]) for r in ngram_join.copies(df).collect()}
+    assert gone == {(7, a + " more"), (9, b + " more"), (11, a), (12, b)}
+
+
+def test_many_repeated_keys(spark):
+    rng = random.Random(8)
+    base = [[f"{g}w{rng.randint(0, 60)}" for _ in range(rng.randint(6, 60))] for g in range(12)]
+    rows = []
+    for _ in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            w[rng.randrange(len(w))] = "other"
+        rows.append((rng.choice((1, rng.randint(-40, 40), rng.randint(100, 200))), " ".join(w)))
+    rows += [(1, None), (1, ""), (150, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in ngram_join.join(df).collect()), key=repr) == brute(rows, 5)

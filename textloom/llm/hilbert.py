@@ -8,7 +8,8 @@ The projections need no training, and every row is on every curve.
 Vectors without any structure (isotropic ones, as most test rows are) are the hardest: their nearest are hardly nearer than others, and with a fixed window recall falls as rows are added; the README has measured figures.
 More steps or curves raise it, and `steps` of all blocks is the exact search.
 
-Defined cases: vectors that are null, zero or empty or hold null or non-finite components take no part, nor do rows without vec_id; rows that repeat a vec_id count once, with the smallest vector; finite components of any size are compared
+Defined cases: vectors that are null, zero or empty or hold null or non-finite components take no part, nor do rows without vec_id; rows that repeat a vec_id are candidates and queries each, and
+a vec_id's score is the best of its pairs of rows; rows equal in vec_id and vector count once; finite components of any size are compared
 rightly, as rows are scaled by powers of two; vectors of different lengths are compared as if the shorter ended in zeros; ties go to the smaller vec_id; with fewer than k candidates
 all are returned; an empty table gives an empty result. Other columns are not read.
 """
@@ -123,11 +124,11 @@ def _visit(k: int):
                 q, r = map(_scaled, vectors.same_width(q, r))
                 q_size, r_size = np.sqrt((q * q).sum(1)), np.sqrt((r * r).sum(1))
                 near = (q @ r.T) / q_size[:, None] / r_size[None, :]
-                out = []
+                out, repeated = [], len(np.unique(ids)) < len(ids)
                 for n, query in enumerate(q_ids):
                     others = np.flatnonzero(ids != query)
                     # a few more than k, as the matrix product may round otherwise than the measure itself
-                    for j in others[vectors.best(near[n][others], ids[others], k + 3)]:
+                    for j in others[vectors.best_ids(near[n][others], ids[others], k + 3, repeated)]:
                         out.append((int(query), int(ids[j]), float((q[n] * r[j]).sum() / (q_size[n] * r_size[j]))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.float64() if c == 2 else pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
@@ -137,7 +138,7 @@ def _visit(k: int):
 def search(df: DataFrame, every: int, k: int = 5, key: str = "vec_id", vector: str = "embedding", curves: int = CURVES, dims: int = DIMS, bits: int = BITS, steps: int = STEPS, block: int = BLOCK, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score (cosine): for the rows whose key is divisible by `every`, the k nearest found."""
     spark = df.sparkSession
-    good = vectors.usable(df, key, vector, nonzero=True).groupBy("key").agg(F.min("v").alias("v"))
+    good = vectors.usable(df, key, vector, nonzero=True).dropDuplicates(["key", "v"])
     n = df.count()
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), curves * n // (4 * block) or 1))
     lined = keyed(good, curves, dims, bits, seed).repartitionByRange(parts, "curve", "place", "key").sortWithinPartitions("curve", "place", "key")

@@ -14,9 +14,11 @@ component under links, so groups of copies are never expanded into pairs.
 Verification reads the texts of the documents in opened pairs again; a Bloom filter of fixed size spares the others.
 Shingles match by 64-bit hashes.
 
-Defined cases: null and empty texts have the empty set and link with nothing; texts of fewer words than a shingle are one shingle; rows that repeat a doc_id are one node; rows whose doc_id is null
-are no nodes and have no row in the result, as in SQL; ties go to the
-smallest doc_id; an empty table gives an empty result. Other columns are not read.
+Defined cases: null and empty texts have the empty set and link with nothing; texts of fewer words than a shingle are one shingle; rows that repeat a doc_id have their own sets and links, and are one node of the
+components: what one of them reaches, all reach (`copies` leaves them apart); rows whose doc_id is null link with nothing and have no component; ties go to the smallest doc_id; an empty table gives an empty
+result. Other columns are not read.
+
+A set's row is named by its doc_id; rows of a doc_id that stands with several sets are named by a 63-bit hash of doc_id and set instead.
 """
 
 from __future__ import annotations
@@ -78,10 +80,10 @@ def _counted(text: str, size: int):
             counts += np.bincount((s.hash % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
             one, two = s.marks()
             n = len(s.n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.n.astype(np.int64)), pa.array(one), pa.array(two), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc", "n", "one", "two", "chunk", "salt", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s.n.astype(np.int64)), pa.array(one), pa.array(two), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc", "th", "n", "one", "two", "chunk", "salt", "cells"])
         part, k = TaskContext.get().partitionId() % 64, CELLS // CHUNK
         cells = [counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array(range(k), pa.int32()), pa.array([part] * k, pa.int32()), pa.array(cells)], names=["doc", "n", "one", "two", "chunk", "salt", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 5 + [pa.array(range(k), pa.int32()), pa.array([part] * k, pa.int32()), pa.array(cells)], names=["doc", "th", "n", "one", "two", "chunk", "salt", "cells"])
 
     return run
 
@@ -109,13 +111,32 @@ def _ordered(s: Sets, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[kept], within[kept]
 
 
-def _prefixes(text: str, size: int, buckets: int, classes):
+def _named(ids: np.ndarray, one: np.ndarray, two: np.ndarray, several) -> np.ndarray:
+    """A row's name: its doc_id, or a hash of that and its set's mark if the doc_id is in the filter `several` (None: no doc_id has several sets)."""
+    if several is None:
+        return ids
+    hashed = mix(one.view(np.uint64) ^ mix(two.view(np.uint64) ^ mix(ids.view(np.uint64)))) | np.uint64(1 << 63)
+    return np.where(_has(several.value, ids), hashed.view(np.int64), ids)
+
+
+def _meta(several):
+    """name, doc, th, n, one, two of the rows doc, th, n, one, two."""
+
+    def run(batches):
+        for batch in batches:
+            doc, one, two = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4))
+            yield pa.RecordBatch.from_arrays([pa.array(_named(doc, one, two, several)), *batch.columns], names=["name", *batch.schema.names])
+
+    return run
+
+
+def _prefixes(text: str, size: int, buckets: int, classes, several):
     def run(batches):
         h = hasher()
         for batch in slices(batches, text):
             s = Sets(batch.column(1), h, size)
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             one, two = s.marks()
+            keys = _named(batch.column(0).to_numpy(zero_copy_only=False), one, two, several)
             _, first = np.unique(np.stack([one, two, s.n]), axis=1, return_index=True)
             alone = np.zeros(len(keys), bool)
             alone[first] = True  # one of each class of equal sets in the slice
@@ -195,15 +216,17 @@ def _has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _needed(text: str, size: int, bits):
+def _needed(text: str, size: int, bits, several):
     def run(batches):
         h = hasher()
         for batch in slices(batches, text):
-            batch = batch.filter(pa.array(_has(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(_has(bits.value, ids) if several is None else _has(bits.value, ids) | _has(several.value, ids)))
             if not batch.num_rows:
                 continue
             s = Sets(batch.column(1), h, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.hash[b:e].tobytes() for b, e in zip(s.begin[:-1], s.begin[1:], strict=True)], pa.binary())], names=["doc", "tokens"])
+            found = pa.RecordBatch.from_arrays([pa.array(_named(batch.column(0).to_numpy(zero_copy_only=False), *s.marks(), several)), pa.array([s.hash[b:e].tobytes() for b, e in zip(s.begin[:-1], s.begin[1:], strict=True)], pa.binary())], names=["doc", "tokens"])
+            yield found if several is None else found.filter(pa.array(_has(bits.value, found.column(0).to_numpy())))
 
     return run
 
@@ -225,12 +248,12 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(docs: DataFrame, text: str, pairs: DataFrame, size: int) -> DataFrame:
+def verified(docs: DataFrame, text: str, pairs: DataFrame, size: int, several=None) -> DataFrame:
     """The pairs (a, b) that link, written."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     bits = spark.sparkContext.broadcast(Bloom(ids, "doc").bits)
-    needed = docs.mapInArrow(_needed(text, size, bits), "doc long, tokens binary").dropDuplicates(["doc"])
+    needed = docs.mapInArrow(_needed(text, size, bits, several), "doc long, tokens binary").dropDuplicates(["doc"])
     right = pairs.join(needed.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
     both = right.join(needed.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
     return written(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
@@ -291,11 +314,14 @@ def _least(n: str) -> str:
     return f"if({n} >= 10, 2 + floor({n} / 16), 1)"
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """key, n_shingles, component_id of every row."""
+def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("th"))
+
+
+def _linked_sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Of docs (doc, text, th): rows (name, doc, th, n, rep: the name of the first row of an equal set) and links between reps; whether any doc has several sets."""
     spark = docs.sparkSession
-    docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    told = written(docs.mapInArrow(_counted("text", size), "doc long, n long, one long, two long, chunk int, salt int, cells binary"), "counts")
+    told = written(docs.mapInArrow(_counted("text", size), "doc long, th long, n long, one long, two long, chunk int, salt int, cells binary"), "counts")
     summed = _merged("cells", np.int64, np.add)
     cells = "chunk int, salt int, cells binary"
     chunks = told.filter("chunk is not null").select("chunk", "salt", "cells").groupBy("chunk", "salt").applyInArrow(summed, cells).groupBy("chunk").applyInArrow(summed, cells).collect()  # CELLS numbers in all
@@ -307,12 +333,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     classes = spark.sparkContext.broadcast(np.where(common > 1, 2 * np.log2(np.maximum(common, 1)) + 1, 0).astype(np.int8))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 * ENTRIES))
 
-    meta = told.filter("chunk is null").select("doc", "n", "one", "two")
-    reps = meta.filter("n > 0").groupBy("n", "one", "two").agg(F.min("doc").alias("rep"))
-    rep_of = written(meta.join(reps, ["n", "one", "two"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "classes")
-    one_rep = rep_of.filter("n > 0").groupBy("doc").agg(F.min("rep").alias("rep"))
+    meta = told.filter("chunk is null").select("doc", "th", "n", "one", "two")
+    mark = F.struct("n", "one", "two")
+    repeats = meta.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high").select("doc")
+    several = None if repeats.isEmpty() else spark.sparkContext.broadcast(Bloom(repeats, "doc").bits)
+    meta = meta.mapInArrow(_meta(several), "name long, doc long, th long, n long, one long, two long")
+    reps = meta.filter("n > 0").groupBy("n", "one", "two").agg(F.min("name").alias("rep"))
+    rep_of = written(meta.join(reps, ["n", "one", "two"], "left").select("name", "doc", "th", "n", F.coalesce("rep", "name").alias("rep")), "classes")
+    one_rep = rep_of.filter("n > 0").groupBy(F.col("name").alias("doc")).agg(F.min("rep").alias("rep"))
 
-    sent = docs.mapInArrow(_prefixes("text", size, buckets, classes), "bucket int, tokens binary, docs binary, sizes binary, places binary")
+    sent = docs.mapInArrow(_prefixes("text", size, buckets, classes, several), "bucket int, tokens binary, docs binary, sizes binary, places binary")
     met = written(sent.groupBy("bucket").applyInArrow(_met, "kind int, x long, y long, n int, i int"), "tokens")
 
     # round one: each document and the first document with which it shares most tokens
@@ -320,7 +350,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     left = best.join(one_rep.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "x")
     both = left.join(one_rep.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "y").filter("a <> b")
     pairs = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = verified(docs, "text", pairs, size)
+    links = verified(docs, "text", pairs, size, several)
     comps = components(links)
     by_token = Window.partitionBy("token")
     held = None
@@ -342,10 +372,38 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
         more = written(found, "pairs")
         if more.limit(1).count():
             pairs = pairs.union(more)
-            links = links.union(verified(docs, "text", more, size))
+            links = links.union(verified(docs, "text", more, size, several))
             comps = components(links)
-    out = rep_of.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    return rep_of, links, several is not None
+
+
+def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with comp: the smallest rep that links reach."""
+    return rows.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """key, n_shingles, component_id of every row."""
+    read = _read(docs, key, text)
+    rows, links, several = _linked_sets(read.filter("doc is not null"), size)
+    if several:  # rows of one doc_id hang together, and names are no doc_ids any more
+        first = rows.groupBy("doc").agg(F.min("rep").alias("a"))
+        links = links.union(rows.join(first, "doc").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+        found = written(_with_components(rows, links).select("doc", "n", "comp"), "components")
+        found = found.join(found.groupBy("comp").agg(F.min("doc").alias("least")), "comp").select("doc", "n", F.col("least").alias("comp"))
+    else:
+        found = _with_components(rows, links)
+    named = found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+    unnamed = read.filter("doc is null").mapInArrow(_counted("text", size), "doc long, th long, n long, one long, two long, chunk int, salt int, cells binary").filter("chunk is null")
+    return named.union(unnamed.select("doc", "n", F.lit(None).cast("long")))
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """doc and th (its text's hash, as xxhash64 gives it) of the rows that are not the first, by doc and th, of a component; here rows of one doc_id with different sets are nodes of their own."""
+    rows, links, _ = _linked_sets(_read(docs, key, text).filter("doc is not null"), size)
+    found = written(_with_components(rows.filter("n > 0"), links).select("doc", "th", "comp"), "components")
+    first = found.groupBy("comp").agg(F.min(F.struct("doc", "th")).alias("first"))
+    return found.join(first, "comp").filter(F.struct("doc", "th") != F.col("first")).select("doc", "th").distinct()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -354,11 +412,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT DISTINCT i, doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT i, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT i, count(*) AS n FROM g GROUP BY i),
+c AS (SELECT a.i, b.i AS j, any_value(a.doc_id) AS x, any_value(b.doc_id) AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT DISTINCT x, y FROM c JOIN n p ON p.i = c.i JOIN n q ON q.i = c.j WHERE 100 * c >= 80 * (p.n + q.n - c)),
 r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) m USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (i) LEFT JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) m USING (doc_id)
 """

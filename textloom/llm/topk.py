@@ -7,8 +7,8 @@ just below its share are dropped; phase three resolves the missing lists' scores
 block once), no single task holds all rows or all queries, and what goes on is at most k rows for a query and block.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; an empty vector's scores are all 0; vectors of different lengths are compared as if the shorter ended in
-zeros; scores outside 64 bits stand as the nearest 64-bit number; rows that repeat a vec_id are candidates each and queries each, but never candidates for a query of the same vec_id, and a query_id's k results are the best of all its rows'
-pairs, so that a candidate may stand there once for each query row, as in SQL; ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty result. Other columns are not read.
+zeros; scores outside 64 bits stand as the nearest 64-bit number; rows that repeat a vec_id are candidates each and queries each, but never candidates for a query of the same vec_id, and a query_id's k results are different
+vec_ids, each with the best score of any of its pairs of rows; ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,10 +73,11 @@ def _each(heads: bool, k: int):
                 lists = [_products(q[:, a:b], r[:, a:b]) for a, b in cuts]
                 cutoffs = None if heads else [LOWEST if x is None else x for x in told.field("cutoff").to_pylist()]
                 out: list[tuple[int, int, int]] = []
+                repeated = len(np.unique(ids)) < len(ids)
                 for n, query in enumerate(q_ids):
                     other = np.flatnonzero(ids != query)
                     if heads:
-                        at = np.unique(np.concatenate([other[vectors.best(_clipped(p[n][other]), ids[other], k)] for p in lists]))
+                        at = np.unique(np.concatenate([other[vectors.best_ids(_clipped(p[n][other]), ids[other], k, repeated)] for p in lists]))
                         score = sum(p[n][at] for p in lists)
                     else:
                         share = -(-cutoffs[n] // SLICES)
@@ -95,7 +96,7 @@ def _each(heads: bool, k: int):
                     score = _clipped(score)
                     if not heads:
                         at, score = at[score >= cutoffs[n]], score[score >= cutoffs[n]]
-                    top = vectors.best(score, ids[at], k)
+                    top = vectors.best_ids(score, ids[at], k, repeated)
                     out += [(int(query), int(ids[at[j]]), int(score[j])) for j in top]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
@@ -113,10 +114,11 @@ def search(df: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: st
     schema = "query_id long, vec_id long, score long"
     heads = _cells(vectors.blocks(asked, query_blocks), rows, count).mapInArrow(_each(True, k), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = heads.withColumn("rank", F.row_number().over(order))
+    once = lambda found: found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once(heads).withColumn("rank", F.row_number().over(order))
     cutoffs = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("score").alias("cutoff"))
     told = asked.join(cutoffs, "key", "left")
-    found = _cells(vectors.blocks(told, query_blocks, "cutoff"), rows, count).mapInArrow(_each(False, k), schema)
+    found = once(_cells(vectors.blocks(told, query_blocks, "cutoff"), rows, count).mapInArrow(_each(False, k), schema))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -130,8 +132,8 @@ WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+    SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT)) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id GROUP BY q.vec_id, c.vec_id
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

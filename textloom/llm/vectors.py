@@ -66,4 +66,13 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def best_ids(scores: np.ndarray, ids: np.ndarray, k: int, repeated: bool) -> np.ndarray:
+    """As `best`, but each id once, at its best place. repeated: whether ids repeat at all."""
+    if not repeated:
+        return best(scores, ids, k)
+    order = np.lexsort((ids, -np.maximum(scores, 1 - 2**63) if scores.dtype == np.int64 else -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
 Batches = Iterator[pa.RecordBatch]
