@@ -1,7 +1,7 @@
 """The corpus pipeline: stages in order, each written and read again before the next.
 
 All stages but the last return the columns of documents; n_chars follows the text. Rows without doc_id pass the filtering stages as they are and are not packed by id order but
-like any other row; rows that repeat a doc_id stay or go together. An empty table gives an empty result.
+like any other row; rows that repeat a doc_id are judged each by its own text, and stay or go together if that is the same, too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each component of near duplicates."""
-    gone = ngram_join.join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = ngram_join.copies(docs)
+    return docs.join(gone, (docs["doc_id"] == gone["doc"]) & (F.xxhash64(docs["text"]) == gone["th"]), "left_anti")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
