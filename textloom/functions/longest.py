@@ -131,6 +131,10 @@ class Longest:
             states, before, at = to, after, at + 1
         return best
 
+    def match(self, text: str, at: int) -> Span | None:
+        end = self._longest(text, at)
+        return Span(text, at, end) if end > at else None
+
     def finditer(self, text: str) -> Iterator[Span]:
         at, n = 0, len(text)
         while at < n:

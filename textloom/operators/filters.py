@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.errors import QueryError
+from textloom.operators import order
 
 
 def _near(rows: DataFrame, a: str, b: str, lines: int) -> Column:
@@ -91,10 +92,9 @@ def first_rows(rows: DataFrame, most: int) -> DataFrame:
 def byte_budget(rows: DataFrame, most: int, text: Column) -> DataFrame:
     """Rows in scan order, over all files, until the bytes of `text` and its line end have reached the budget (the row that reaches it is the last).
 
-    A row takes one byte at least, so the kept rows are among the first `most`; only these are summed up.
+    The sums run over ranges of the order, so no task sees more than a range.
     """
-    w = Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    return first_rows(rows, most).withColumn("__b", F.coalesce(F.sum(F.octet_length(text) + 1).over(w), F.lit(0))).filter(F.col("__b") < most).drop("__b")
+    return order.running(rows, list(ORDER), F.octet_length(text) + 1, "__before").filter(F.col("__before") < most).drop("__before")
 
 
 # --- a condition over whole files

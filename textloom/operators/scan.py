@@ -1,20 +1,24 @@
 """The multi-pattern scan: one pass over the corpus, every hit a row.
 
-All patterns of all sets are matched in one mapInArrow; a set is a filter on set_id. Lines, scopes and roles are computed for texts with hits only, and only if asked for
+All patterns of all sets are matched in one mapInArrow by one automaton (`functions/automaton.py`); texts that lack every pattern's required factor are left out by a native filter before they reach Python.
+A set is a filter on set_id. Lines, scopes and roles are computed for texts with hits only, and only if asked for
 (`need`), because neither filters nor column pruning reach through Python.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import lexers
+from textloom.functions.automaton import Scanner, native_filter
 from textloom.functions.patterns import Pattern, numbered
 from textloom.sources.corpus import Corpus
 
@@ -25,6 +29,7 @@ FIELDS = [
     ("from", pa.int64()), ("to", pa.int64()), ("line", pa.int32()), ("column", pa.int32()), ("match", pa.string()), ("context", pa.string()),
     ("captures", pa.map_(pa.string(), pa.string())), ("enclosing", ENCLOSING), ("role", pa.string()), ("block", BLOCK), ("derived_value", pa.string()), ("occurrence", pa.string()),
 ]
+CONTEXT = [n for n, _ in FIELDS].index("context")
 SCHEMA = (
     "walk_ord long, file string, language string, set_id string, pattern_id string, pattern_index int, `from` long, `to` long, line int, `column` int, match string, context string, captures map<string,string>, "
     "enclosing struct<name: string, kind: string, `from`: long, `to`: long, line_start: int, line_end: int>, role string, block struct<text: string, full: string, start: long, `end`: long, line_start: int, line_end: int>, derived_value string, occurrence string"
@@ -40,7 +45,6 @@ class Member:
     index: int = 0
     derived: str = ""
     ident: tuple[str, ...] = ()
-    literal: str = ""  # text that every match holds, for a quick look before the search
 
 
 class Text:
@@ -111,30 +115,27 @@ class Options:
     max_block: int | None = None
 
 
+@lru_cache(maxsize=64)
+def _scanner(members: tuple[Member, ...]) -> Scanner:
+    return Scanner(members)
+
+
 def hits(text: str, members: Sequence[Member]) -> list[tuple[int, int, int]]:
     """(from, member, to) by from, then member; each member's longest, not overlapping matches."""
-    out = []
-    for k, m in enumerate(members):
-        if m.literal and m.literal not in text:
-            continue
-        if m.ident:
-            out += [(s, k, e) for s, e in lexers.identifiers(text) if lexers.identifier_matches(text[s:e], list(m.ident))]
-        else:
-            out += [(x.start(), k, x.end()) for x in m.pattern.matcher.finditer(text) if x.end() > x.start()]
-    out.sort()
-    return out
-
-
-def rows_of(file: str, content: bytes, walk_ord: int, members: Sequence[Member], o: Options) -> list[tuple]:
+    return _scanner(tuple(members)).hits(text)
+
+
+def rows_of(file: str, content: bytes, walk_ord: int, members: Sequence[Member], o: Options, find: Callable[[str], list[tuple[int, int, int]]]) -> Iterator[tuple]:
+    """Match rows of a text: find gives (from, member, to)."""
     t = Text(content)
-    found = hits(t.text, members)
+    found = find(t.text)
     if not found:
-        return []
+        return
     text, need = t.text, o.need
     regions = lexers.scopes(text, file, o.custom_scope, o.scope) if need & {"scope", "role", "occurrence"} else []
     forms = lexers.forms(file)
     kinds = lexers.roles(text, forms) if forms and need & {"role", "occurrence", "block"} else None
-    lang, out = lexers.language(file), []
+    lang = lexers.language(file)
     for s, k, e in found:
         m, line = members[k], t.line(s)
         match = text[s:e]
@@ -143,43 +144,70 @@ def rows_of(file: str, content: bytes, walk_ord: int, members: Sequence[Member],
         if "block" in need and (b := lexers.block(text, s, o.block_open, o.block_close, kinds if o.block_open == "{" else None)):
             inside = text[b[0] + len(o.block_open) : b[1]]
             block = {"text": shown(truncated(inside, o.max_block)), "full": shown(truncated(text[s : b[2]], o.max_block)), "start": t.byte(b[0]), "end": t.byte(b[2]), "line_start": t.line(b[0]), "line_end": t.line(b[2] - 1)}
-        out.append(
-            (
-                walk_ord, file, lang, m.set_id, m.pattern.id, m.index, t.byte(s), t.byte(e), line, t.byte(s) - t.byte(t.lines[line - 1]) + 1,
-                shown(truncated(match, o.max_match)),
-                shown(truncated(t.line_text(line - o.before, line + o.after), o.max_context)) if "context" in need else None,
-                list(m.pattern.captures(match).items()) if "captures" in need else None,
-                {"name": scope.name, "kind": scope.kind, "from": t.byte(scope.start), "to": t.byte(scope.end), "line_start": t.line(scope.start), "line_end": t.line(scope.end - 1)} if scope else None,
-                lexers.role(text, kinds, regions, s, e) if "role" in need else None,
-                block, m.derived, lexers.occurrence(text, kinds, regions, s, e)[0] if "occurrence" in need else None,
-            )
+        yield (
+            walk_ord, file, lang, m.set_id, m.pattern.id, m.index, t.byte(s), t.byte(e), line, t.byte(s) - t.byte(t.lines[line - 1]) + 1,
+            shown(truncated(match, o.max_match)),
+            shown(truncated(t.line_text(line - o.before, line + o.after), o.max_context)) if "context" in need else None,
+            list(m.pattern.captures(match).items()) if "captures" in need else None,
+            {"name": scope.name, "kind": scope.kind, "from": t.byte(scope.start), "to": t.byte(scope.end), "line_start": t.line(scope.start), "line_end": t.line(scope.end - 1)} if scope else None,
+            lexers.role(text, kinds, regions, s, e) if "role" in need else None,
+            block, m.derived, lexers.occurrence(text, kinds, regions, s, e)[0] if "occurrence" in need else None,
         )
-    return out
 
 
-def _run(members: Sequence[Member], options: Options, most: int = 4096):
-    names, kinds = [n for n, _ in FIELDS], [k for _, k in FIELDS]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, FIELDS, strict=True)], names=[n for n, _ in FIELDS])
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    def run(batches):
-        rows: list[tuple] = []
+def _batches(rows: Iterator[tuple], most: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded rows and, as every match of a long line has that line as its context, bounded text."""
+    held, letters = [], 0
+    for row in rows:
+        held.append(row)
+        letters += len(row[CONTEXT] or "") + len(row[CONTEXT - 1])
+        if len(held) >= most or letters >= size:
+            yield _batch(held)
+            held, letters = [], 0
+    yield _batch(held)
+
+
+def _run(members: Sequence[Member], options: Options):
+    def rows(batches):
+        find = Scanner(members).hits
         for batch in batches:
             for file, content, at in zip(*(batch.column(i) for i in range(3)), strict=True):
-                rows += rows_of(file.as_py(), content.as_py(), at.as_py(), members, options)
-                if len(rows) >= most:
-                    yield batch_of(rows)
-                    rows = []
-        yield batch_of(rows)
+                yield from rows_of(file.as_py(), content.as_py(), at.as_py(), members, options, find)
 
-    return run
+    return lambda batches: _batches(rows(batches))
 
 
 def match_members(corpus: Corpus, members: Sequence[Member], options: Options = Options()) -> DataFrame:
-    df = corpus.spread().filter(F.col("content").isNotNull()).select("file", "content", "walk_ord")
-    return df.mapInArrow(_run(members, options), SCHEMA)
+    wanted = native_filter(F.col("content"), members)
+    some = corpus.df.filter(F.col("content").isNotNull() if wanted is None else wanted)
+    return Corpus(some).spread().select("file", "content", "walk_ord").mapInArrow(_run(members, options), SCHEMA)
+
+
+WORD = r"[A-Za-z0-9_]+"
+
+
+def match_words(corpus: Corpus, words: DataFrame, set_id: str, options: Options = Options()) -> DataFrame:
+    """Match rows of whole words, however many: words (value, index) meet the texts' words in a join, and only texts that hold one are read, each for its own words."""
+    texts = corpus.df.filter(F.col("content").isNotNull()).select("file", "content", "walk_ord")
+    held = texts.select("file", "walk_ord", F.explode(F.array_distinct(F.regexp_extract_all(F.col("content").cast("string"), F.lit(WORD), F.lit(0)))).alias("value"))
+    wanted = held.join(words, "value").groupBy("file", "walk_ord").agg(F.collect_list(F.struct("value", "index")).alias("words"))
+    token = re.compile(WORD)
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked = batch.column(3)[i].as_py()
+                members = [Member(Pattern(f"derived{w['index']}", ""), set_id, w["index"], w["value"]) for w in asked]
+                place = {w["value"]: k for k, w in enumerate(asked)}
+                find = lambda text: [(m.start(), place[m[0]], m.end()) for m in token.finditer(text) if m[0] in place]  # noqa: B023, E731
+                yield from rows_of(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), members, options, find)
+
+    return texts.join(wanted, ["file", "walk_ord"]).select("file", "content", "walk_ord", "words").mapInArrow(lambda batches: _batches(rows(batches)), SCHEMA)
 
 
 def match(corpus: Corpus, patterns: Iterable[Pattern], idents: Iterable[Sequence[str]] = (), set_id: str = "", options: Options = Options()) -> DataFrame:
@@ -199,6 +227,7 @@ def submatch(df: DataFrame, text: str, patterns: Iterable[Pattern], base: str |
     at, offset = df.columns.index(text), df.columns.index(base) if base else None
 
     def run(batches):
+        find = Scanner(members).hits
         for batch in batches:
             take, subs = [], []
             for i, x in enumerate(batch.column(at).to_pylist()):
@@ -206,7 +235,7 @@ def submatch(df: DataFrame, text: str, patterns: Iterable[Pattern], base: str |
                     continue
                 t = Text(x.encode())
                 shift = batch.column(offset)[i].as_py() if offset is not None else 0
-                for s, k, e in hits(t.text, members):
+                for s, k, e in find(t.text):
                     take.append(i)
                     subs.append({"pattern_id": members[k].pattern.id, "from": t.byte(s) + shift, "to": t.byte(e) + shift, "match": t.text[s:e]})
             picked = batch.take(pa.array(take, pa.int64()))

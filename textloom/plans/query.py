@@ -1,7 +1,8 @@
 """Declarative queries: a JSON document of sets, joins, filters, groups and orders, lowered to DataFrame operators.
 
 Everything is checked before any scan. Sets with equal scan settings share one pass. Location conditions bring the file as an equality, so that
-Catalyst plans an equi-join; equality is null-safe and typed by the fields' static kinds. Row limits hold only where the document states them.
+Catalyst plans an equi-join, and where they bound how far rows may be apart, a bin of lines or bytes too, so that a long file's rows do not all meet; equality is null-safe and typed by the fields' static kinds.
+Values that become patterns stay in Spark: whole words are joined with the texts' words, only other literals and expressions are collected. Row limits hold only where the document states them.
 """
 
 from __future__ import annotations
@@ -9,13 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.errors import LimitExceeded, QueryError
 from textloom.functions.patterns import IDENTIFIER, Pattern, escape
+from textloom.operators import order as ordered
 from textloom.operators import scan
 from textloom.sources.corpus import Corpus
+from textloom.sources.shared import kept
 
 NULL, BOOL, INT, STR, LIST = "null", "bool", "int", "str", "list"
 FIELDS = {"row_id": INT, "set_id": STR, "pattern_id": STR, "pattern_index": INT, "file": STR, "language": STR, "from": INT, "to": INT, "line": INT, "column": INT, "match": STR, "context": STR}
@@ -25,6 +28,8 @@ LIMITS = ("max_rows_per_set", "max_total_rows", "max_join_rows", "max_cartesian_
 #: Rows expected of a set or a join when the product of a join without any key is guessed; how many rows of it are allowed; adaptive stages.
 DEFAULTS = {"max_rows_per_set": 250_000, "max_join_rows": 500_000, "max_cartesian_rows": 1_000_000, "max_adaptive_stages": 4}
 LOCATION = ("same_file", "same_scope", "within_lines", "before", "after", "contains_span")
+#: Sizes of bins of bytes; the last holds any span of a text.
+SPANS = tuple(8**k for k in range(2, 13))
 BINARY = ("eq", "ne", "lt", "lte", "gt", "gte", "contains", "in", "starts_with", "ends_with")
 AGGREGATES = ("count", "count_distinct", "min", "max", "sum", "collect", "collect_distinct", "first")
 SCALARS = ("literal", "coalesce", "concat", "lower", "upper", "basename", "dirname")
@@ -423,23 +428,26 @@ class Query:
             corpus = _corpus(spark, corpora, sets[0])
             need = {"context", "captures"} | ({"scope"} if sets[0].scope else set())
             options = scan.Options(frozenset(need), sets[0].scope or "auto")
-            members, values = [], None
+            members, values, found = [], None, None
             if sets[0].derive:
-                values, members = self._derived(sets[0], out, result)
+                values, members, words = self._derived(sets[0], out, result)
+                found = None if words is None else scan.match_words(corpus, words, sets[0].id, options)
             else:
                 for s in sets:
                     members += [scan.Member(p, s.id, i) for i, p in enumerate(s.patterns)]
-            found = scan.match_members(corpus, members, options) if members else spark.createDataFrame([], scan.SCHEMA)
+            if members:
+                other = scan.match_members(corpus, members, options)
+                found = other if found is None else found.union(other)
+            elif found is None:
+                found = spark.createDataFrame([], scan.SCHEMA)
             found = found.withColumn("__at", F.struct(F.lit(stage).alias("stage"), "walk_ord", F.col("from").alias("start"), F.col("pattern_index").alias("index"), F.col("set_id").alias("set")))
             global_index += len(members)
-            if values is not None:
-                found = found.join(F.broadcast(values), F.col("derived_value") == F.col("__value"), "left").drop("__value")
+            if values is not None and self.needs_ids:
+                found = found.join(values.select("__value", "source_rows"), F.col("derived_value") == F.col("__value"), "left").drop("__value")
             else:
                 found = found.withColumn("source_rows", F.array().cast("array<long>"))
             if self.needs_ids:
-                # one ordered window over the stage's match rows, which only row ids need
-                base = sum(r.count() for r in stage_rows) if stage_rows else 0
-                found = found.withColumn("row_id", (F.row_number().over(Window.orderBy("__at")) - 1 + base).cast("long"))
+                found = ordered.numbered(found, ["__at"], "row_id", sum(r.count() for r in stage_rows))
             else:
                 found = found.withColumn("row_id", F.lit(None).cast("long"))
             found = self._within(found, stage_rows, result)
@@ -469,14 +477,12 @@ class Query:
             if not self.partial:
                 raise LimitExceeded(name)
             result.complete, result.stop_reason = False, name
-            # a row takes one unit at least, so the rows that fit are among the first `left`
-            first = found.orderBy("__at").limit(max(0, left))
-            run = F.sum(size.cast("long")).over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
-            found = first.withColumn("__sum", run).filter(F.col("__sum") <= left).drop("__sum")
+            found = ordered.running(found, ["__at"], size, "__before").filter(F.col("__before") + size <= left).drop("__before")
         return found
 
-    def _derived(self, s: SetSpec, rows: dict[str, DataFrame], result: Result) -> tuple[DataFrame, list[scan.Member]]:
-        """The distinct values of the source set (at most max_patterns, else an error) as patterns; with each its source rows."""
+    def _derived(self, s: SetSpec, rows: dict[str, DataFrame], result: Result) -> tuple[DataFrame, list[scan.Member], DataFrame | None]:
+        """The distinct values of the source set with their numbers and source rows; those that are searched as patterns (at most max_patterns, else an error) as members; those that are whole words, which are
+        joined with the texts' words, as a table. A stated max_patterns counts both."""
         d = s.derive
         most, size = d.get("max_patterns", 10_000), d.get("max_value_bytes", 4096)
         source = rows[d["from_set"]].alias("x").select(F.struct("*").alias("x"))
@@ -487,20 +493,27 @@ class Query:
         if saved == d["from_set"] and "x" not in [self.query["from"]["as"], *(j["as"] for j, _, _ in self.joins)]:
             del self.aliases["x"]
         values = source.select(value.alias("__value"), F.col("x.row_id").alias("row_id"), F.col("x.__at").alias("at"))
-        good = values.filter((F.col("__value") != "") & (F.octet_length("__value") <= size))
-        skipped = values.count() - good.count()
+        sources = F.transform(F.array_sort(F.collect_list(F.struct("at", "row_id"))), lambda r: r["row_id"]) if self.needs_ids else F.array().cast("array<long>")
+        told = kept(values.groupBy("__value").agg(F.count(F.lit(1)).alias("n"), sources.alias("source_rows")), "derived-values")
+        good = (F.col("__value") != "") & (F.octet_length("__value") <= size)
+        skipped = told.filter(~good).agg(F.sum("n")).first()[0]
         if skipped:
             result.warnings.append(f"skipped {skipped} empty or too long derived values of {s.id}")
-        grouped = good.groupBy("__value").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "row_id"))), lambda r: r["row_id"]).alias("source_rows"))
-        found = [r[0] for r in grouped.select("__value").orderBy("__value").limit(most + 1).collect()]
-        if len(found) > most:
+        literal, whole = d.get("mode", "literal") == "literal", d.get("word_boundary", False)
+        told, words = told.filter(good), None
+        if literal and whole:
+            told = ordered.numbered(told.withColumn("word", F.col("__value").rlike("^[A-Za-z0-9_]+$")), ["__value"], "index")
+            words = told.filter("word").select(F.col("__value").alias("value"), "index")
+            found = told.filter(~F.col("word")).select("__value", "index").orderBy("index").limit(most + 1).collect()
+        else:
+            found = [(r[0], i) for i, r in enumerate(told.select("__value").orderBy("__value").limit(most + 1).collect())]
+        if len(found) > most or words is not None and "max_patterns" in d and told.limit(most + 1).count() > most:
             raise LimitExceeded("max_patterns")
         members = []
-        for i, v in enumerate(found):
-            literal = d.get("mode", "literal") == "literal"
-            pattern = Pattern(f"derived{i}", escape(v) if literal else v, word_boundary=d.get("word_boundary", False)).check()
-            members.append(scan.Member(pattern, s.id, i, v, literal=v if literal else ""))
-        return grouped, members
+        for v, i in found:
+            pattern = Pattern(f"derived{i}", escape(v) if literal else v, word_boundary=whole).check()
+            members.append(scan.Member(pattern, s.id, i, v))
+        return told, members, words
 
     def _rows(self, rows: dict[str, DataFrame], set_id: str, alias: str) -> DataFrame:
         df = rows[set_id]
@@ -520,8 +533,48 @@ class Query:
             else:
                 condition &= self._predicate(p)
         how = {"inner": "inner", "left": "left", "semi": "left_semi", "anti": "left_anti"}[j["type"]]
+        if strategy != "interval":
+            return left.join(right, condition, how)
+        if j["type"] in ("semi", "anti") and len(on) == 1 and on[0]["op"] in ("before", "after"):
+            # whether any partner stands before or after: the file's outermost one tells
+            name = f"`{j['as']}`"
+            ends = right.groupBy(F.col(f"{name}.file").alias("file")).agg(F.max(F.col(f"{name}.from")).alias("from"), F.min(F.col(f"{name}.to")).alias("to"))
+            return left.join(ends.select(F.struct("file", "from", "to").alias(j["as"])), condition, how)
+        for p in on:
+            if binned := self._bins(p, j["as"], j["type"]):
+                mine, others = binned
+                left, right = left.withColumn("__bin", mine), right.withColumn("__bins", F.explode(others))
+                return left.join(right, condition & (F.col("__bin") == F.col("__bins")), how).drop("__bin", "__bins")
         return left.join(right, condition, how)
 
+    def _bins(self, p: dict, alias: str, kind: str) -> tuple[Column, Column] | None:
+        """For a condition that bounds how far its rows may be apart: the bin of a row so far and the bins of a row of `alias` in which it may be, so that each pair meets once; None if there is no such bound."""
+        if alias not in (p.get("left"), p.get("right")) or p.get("left") == p.get("right"):
+            return None
+        mine = F.col(f"`{p['right' if p['left'] == alias else 'left']}`")
+        other = F.col(f"`{alias}`")
+        if p["op"] == "within_lines":
+            at = lambda x: F.floor(x["line"] / (p["lines"] + 1)).cast("long")
+            return at(mine), F.array(*(at(other) + k for k in (-1, 0, 1)))
+        if p["op"] != "contains_span":
+            return None
+        # a span lies in one or two bins of the smallest size that is no shorter; what it holds looks for it at every size, in its own bin and the one before
+        bin_of = lambda x, size: F.struct(F.lit(size).alias("size"), F.floor(x["from"] / size).cast("long").alias("at"))
+
+        def outer(x: Column) -> Column:
+            out = bin_of(x, SPANS[-1])
+            for size in reversed(SPANS[:-1]):
+                out = F.when(x["to"] - x["from"] <= size, bin_of(x, size)).otherwise(out)
+            return out
+
+        def inner(x: Column) -> Column:
+            return F.array(*(F.struct(F.lit(size).alias("size"), (F.floor(x["from"] / size) - k).cast("long").alias("at")) for size in SPANS for k in (0, 1)))
+
+        if p["right"] == alias:
+            return outer(mine), inner(other)
+        # here the rows so far would be many each: only where a row without partner has no meaning of its own
+        return None if kind != "inner" else (F.explode(inner(mine)), F.array(outer(other)))
+
     def _projected(self, df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
         values = {n: self._expression(e) for n, e in self.query["select"].items()}
         return df.select(*[values[n].col.alias(n) for n in sorted(values)]), {n: v.kind for n, v in values.items()}
