@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.patterns import Pattern
+from textloom.functions.patterns import Pattern, literal
 from textloom.operators import filters, rank, scan, shapes
 from textloom.plans.query import run_query
 from textloom.plans.script import run_script
@@ -323,6 +323,39 @@ def derived_patterns(spark, sf_dir):
     return run_query(spark, {"version": 1, "sets": sets, "query": q}, {"table:documents": corpus(spark, sf_dir)}).df
 
 
+@query("""WITH p AS (SELECT DISTINCT array_to_string(w[i:i + 2], ' ') AS phrase FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT string_split(text, ' ') AS w FROM benchmark WHERE text IS NOT NULL)))
+    SELECT phrase, CAST(sum((length(text) - length(replace(text, phrase, ''))) // length(phrase)) AS BIGINT) AS n, count(*) AS n_files FROM documents JOIN p ON contains(text, phrase) GROUP BY phrase""")
+def many_literals(spark, sf_dir):
+    """All phrases of three words of the benchmark's items, as they stand, as literals of one scan over all documents."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("text is not null").select(F.split("text", " ").alias("w"))
+    phrases = words.select(F.explode(F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda _, i: F.array_join(F.slice("w", i + 1, F.lit(3)), " "))).alias("p")).distinct().orderBy("p")
+    found = scan.match(corpus(spark, sf_dir), [literal(f"p{i}", r.p) for i, r in enumerate(phrases.collect())], options=scan.Options(frozenset()))
+    return found.groupBy(F.col("match").alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files"))
+
+
+@query("""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z]{5,}')) AS v FROM documents), t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS file, v AS value, count(*) AS n FROM t JOIN s ON w = v GROUP BY ALL""")
+def derived_words(spark, sf_dir):
+    """Every loud word, looked up as a whole word in all documents: a join, however many words there are."""
+    sets = [{"id": "loud", "scan": ["table:documents"], "patterns": [{"id": "loud", "regexp": RX["loud"]}]}, {"id": "hits", "scan": ["table:documents"], "derive_patterns": {"from_set": "loud", "field": "match", "word_boundary": True}}]
+    q = {"from": {"set": "hits", "as": "a"}, "group_by": ["a.file", "a.derived.value"], "select": {"file": "a.file", "value": "a.derived.value", "n": {"count": "*"}}}
+    return run_query(spark, {"version": 1, "sets": sets, "query": q}, {"table:documents": corpus(spark, sf_dir)}).df
+
+
+@query(f"WITH {_sql_matches('num')} SELECT row_number() OVER (ORDER BY doc_id, from_) - 1 AS id, file, from_ AS start, match AS number FROM m")
+def row_ids(spark, sf_dir):
+    """Every number with its place among all, numbered in ranges."""
+    q = {"from": {"set": "num", "as": "a"}, "select": {"id": "a.row_id", "file": "a.file", "start": "a.from", "number": "a.match"}}
+    return _run(spark, sf_dir, {"num": BY_ID["num"]}, q)
+
+
+@query(f"WITH {_sql_matches('lic', 'num')} SELECT file, from_ AS start FROM m a WHERE pattern_id = 'num' AND EXISTS (SELECT 1 FROM m b WHERE b.pattern_id = 'lic' AND b.file = a.file AND a.to_ <= b.from_)")
+def join_before_any(spark, sf_dir):
+    """Numbers before some licence of their document: the document's last one tells."""
+    q = {"from": {"set": "num", "as": "a"}, "joins": [{"type": "semi", "set": "lic", "as": "b", "on": [{"op": "before", "left": "a", "right": "b"}]}], "select": {"file": "a.file", "start": "a.from"}}
+    return _run(spark, sf_dir, {"num": BY_ID["num"], "lic": BY_ID["lic"]}, q)
+
+
 def _values(spark, sf_dir, name: str, key: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return scan.match(Corpus.from_table(rows, key, "text"), [Pattern("long", "[a-z]{9,}")], options=scan.Options(frozenset())).select("match")

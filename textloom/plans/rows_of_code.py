@@ -254,6 +254,20 @@ def script_limit_per_file(spark, sf_dir):
     return _script(spark, sf_dir, doc, "file string, start long")
 
 
+@query(f"{NUMBERS}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY from_) AS j, row_number() OVER (ORDER BY doc_id, from_) AS r FROM m), k AS (SELECT *, greatest(0, 15 - (r - j)) AS out FROM f) SELECT file, from_ AS start FROM k WHERE j > out AND j <= out + 2")
+def script_skip_and_limit(spark, sf_dir):
+    """Two rows of each file after the first fifteen of all."""
+    doc = {"skip": 15, "limit_per_file": 2, "patterns": [{"id": "num", "regexp": RX["num"], "on_match": [{"action": "emit", "data": {"file": "$FILE", "start": "$FROM"}}]}]}
+    return _script(spark, sf_dir, doc, "file string, start long")
+
+
+@query(f"""{NUMBERS}, f AS (SELECT *, strlen('{{"file":"' || file || '","start":' || from_ || '}}') + 1 AS size FROM m), k AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id, from_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f) SELECT file, from_ AS start FROM k WHERE before < 5000""")
+def script_output_budget(spark, sf_dir):
+    """Rows until 5,000 bytes of output are reached."""
+    doc = {"max_output_bytes": 5000, "patterns": [{"id": "num", "regexp": RX["num"], "on_match": [{"action": "emit", "data": {"file": "$FILE", "start": "$FROM"}}]}]}
+    return _script(spark, sf_dir, doc, "file string, start long")
+
+
 @query(f"{NUMBERS} SELECT file, from_ AS start FROM m ORDER BY doc_id, from_ LIMIT 40 OFFSET 15")
 def script_page(spark, sf_dir):
     doc = {"skip": 15, "limit": 40, "patterns": [{"id": "num", "regexp": RX["num"], "on_match": [{"action": "emit", "data": {"file": "$FILE", "start": "$FROM"}}]}]}

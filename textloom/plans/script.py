@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from textloom.errors import QueryError
 from textloom.functions import lexers
 from textloom.functions.patterns import Pattern, numbered
-from textloom.operators import rank
-from textloom.operators.scan import Member, Text, hits, match_members, Options, shown
+from textloom.operators import order, rank
+from textloom.operators.scan import Member, Options, Text, hits, match_members, shown, truncated
 from textloom.sources.corpus import Corpus
 
 ENCLOSING = ("NAME", "KIND", "LINE_START", "LINE_END")
 DEFAULTS = {"string": "", "int": 0, "bool": False, "list": [], "map": {}}
-TOP = {"scan", "exclude", "patterns", "phases", "variables", "context", "context_before", "context_after", "limit", "limit_per_file", "skip", "group_by", "rank", "rank_surprise", "rank_rich_clusters", "on_file_end", "on_complete", "summary", "diagnostics", "require_complete", "scope", "relations"}
+TOP = {"scan", "exclude", "patterns", "phases", "variables", "context", "context_before", "context_after", "limit", "limit_per_file", "skip", "group_by", "rank", "rank_surprise", "rank_rich_clusters", "on_file_end", "on_complete", "summary", "diagnostics", "require_complete", "scope", "relations", "max_output_bytes", "max_match_bytes", "max_context_bytes", "max_block_bytes"}
 REJECTED = ("boundary", "on_boundary", "ascii_only", "overlap", "files", "pcre")
 ACTIONS = set("emit print set increment decrement add subtract multiply divide reset append collect unique_append sort map_set map_increment map_append map_unique_append count set_union set_intersection set_difference if for_each stop submatch block lookup".split())
 ACCUMULATE = {"increment", "decrement", "add", "subtract", "append", "collect", "unique_append", "map_set", "map_increment", "map_append", "map_unique_append", "count", "set"}
@@ -102,8 +102,10 @@ class Machine:
     match: tuple[int, int] | None = None
     before: int = 0
     after: int = 0
-    most: int | None = None
+    most: int | None = None  # rows of a file
+    skip: int = 0  # rows of the file that are left out first
     emitted: int = 0
+    budgets: dict[str, int] = field(default_factory=dict)  # bytes of match, context and block
     quiet: bool = False  # rows are not wanted, as the script ranks files
     scope: tuple | None = None  # language and custom anchor, as in lexers.scopes
     regions: list = field(default_factory=list)
@@ -128,11 +130,22 @@ class Machine:
         return name in self.ctx or name in self.store or name in ("WORD", "SENTENCE") or name.startswith("EXTRACT_")
 
     def record(self) -> dict:
-        keys = {"file": "FILE", "pat": "PAT_ID", "line": "LINE", "col": "COL", "from": "FROM", "to": "TO", "match": "MATCH", "context": "CONTEXT", "block": "BLOCK", "block_full": "BLOCK_FULL"}
-        out = {k: self.ctx[t] for k, t in keys.items() if t in self.ctx}
+        names = ("FILE", "LINE", "COL", "FROM", "TO", "MATCH", "CONTEXT", "BLOCK", "BLOCK_FULL", "BLOCK_START", "BLOCK_END", "BLOCK_LINE_START", "BLOCK_LINE_END")
+        out = {t.lower(): self.ctx[t] for t in names if t in self.ctx} | {t.lower(): self.ctx[t] for t in ("CONTEXT_BEFORE", "CONTEXT_AFTER") if self.ctx.get(t)}
+        if "PAT_ID" in self.ctx:
+            out["pat"] = self.ctx["PAT_ID"]
+        cut = [f"{t.lower()}_truncated" for t in ("MATCH", "CONTEXT", "BLOCK", "BLOCK_FULL") if self.ctx.get(f"{t}_TRUNCATED")]
+        out |= dict.fromkeys([*cut, "truncated"] if cut else (), True)
+        if found := self.ctx.get("EXTRACTED"):
+            out["extracted"] = found
         if self.ctx.get("ENCLOSING_NAME"):
             out["enclosing"] = {k.lower(): self.ctx[f"ENCLOSING_{k}"] for k in ENCLOSING}
-        return out
+        return dict(sorted(out.items()))
+
+    def cut(self, kind: str, **texts: str) -> dict[str, Any]:
+        """The texts within the kind's budget, and which of them did not fit."""
+        most = self.budgets.get(kind)
+        return {k: truncated(v, most) for k, v in texts.items()} | {f"{k}_TRUNCATED": True for k, v in texts.items() if most is not None and truncated(v, most) != v}
 
     def condition(self, c: dict) -> bool:
         op, args = c.get("op"), c.get("args", [])
@@ -154,12 +167,18 @@ class Machine:
         return {"gt": x > y, "lt": x < y, "gte": x >= y, "lte": x <= y}[op]
 
     def emit(self, kind: str, line: str) -> None:
+        """A row of text is printed whatever the page; of the others, those to skip count for nothing, and the one that fills the file's limit ends the file."""
         if self.quiet:
             return
-        self.rows.append((kind, line))
-        self.emitted += 1
-        if self.most is not None and self.emitted >= self.most:
-            raise Stop
+        if kind == "text":
+            self.rows.append((kind, line))
+        elif self.skip:
+            self.skip -= 1
+        else:
+            self.rows.append((kind, line))
+            self.emitted += 1
+            if self.most is not None and self.emitted >= self.most:
+                raise Stop
 
     def note(self, op: str, var: str, key: str = "", value: Any = None, n: int = 0) -> None:
         self.events.append((op, var, key, json.dumps(value, ensure_ascii=False), n))
@@ -325,7 +344,7 @@ class Machine:
         t, saved = self.text, dict(self.ctx)
         first, last = t.line(found[0]), t.line(found[2] - 1)
         full = t.text[self.match[0] : found[2]]
-        self.ctx |= {"BLOCK": shown(t.text[found[0] + len(a.get("open", "{")) : found[1]]), "BLOCK_FULL": shown(full), "BLOCK_START": t.byte(found[0]), "BLOCK_END": t.byte(found[2]), "BLOCK_LINE_START": first, "BLOCK_LINE_END": last, "BLOCK_LINE_COUNT": last - first + 1, "BLOCK_BYTE_COUNT": t.byte(found[2]) - t.byte(self.match[0])}
+        self.ctx |= self.cut("block", BLOCK=shown(t.text[found[0] + len(a.get("open", "{")) : found[1]]), BLOCK_FULL=shown(full)) | {"BLOCK_START": t.byte(found[0]), "BLOCK_END": t.byte(found[2]), "BLOCK_LINE_START": first, "BLOCK_LINE_END": last, "BLOCK_LINE_COUNT": last - first + 1, "BLOCK_BYTE_COUNT": t.byte(found[2]) - t.byte(self.match[0])}
         self.block_at = {"$BLOCK": found[0] + len(a.get("open", "{")), "$BLOCK_FULL": self.match[0]}
         self.run(a.get("on_block", []))
         self.ctx = saved
@@ -354,17 +373,18 @@ class Machine:
             r = lexers.innermost(self.regions, s)
             told = (r.name, r.kind, t.line(r.start), t.line(r.end - 1)) if r else ("", "", "", "")
             self.ctx |= {f"ENCLOSING_{k}": v for k, v in zip(ENCLOSING, told, strict=True)}
-        self.ctx |= {"FILE": self.file, "PAT_ID": p.id, "MATCH": shown(match)} | {f"EXTRACT_{k.upper()}": v for k, v in p.captures(match).items()}
+        found = p.captures(match)
+        self.ctx |= {"FILE": self.file, "PAT_ID": p.id, "EXTRACTED": found} | self.cut("match", MATCH=shown(match)) | {f"EXTRACT_{k.upper()}": v for k, v in found.items()}
         if not inside:
             self.ctx |= {"FROM": len(t.text[:s].encode()), "TO": len(t.text[:e].encode())}
             return
         line = t.line(s)
         self.match = (s, e)
-        self.ctx |= {"LINE": line, "COL": t.byte(s) - t.byte(t.lines[line - 1]) + 1, "FROM": t.byte(s), "TO": t.byte(e), "CONTEXT": shown(t.line_text(line - self.before, line + self.after))}
+        self.ctx |= {"LINE": line, "COL": t.byte(s) - t.byte(t.lines[line - 1]) + 1, "FROM": t.byte(s), "TO": t.byte(e)} | self.cut("context", CONTEXT=shown(t.line_text(line - self.before, line + self.after)))
         if self.before:
-            self.ctx["CONTEXT_BEFORE"] = shown(t.line_text(line - self.before, line - 1)) if line > 1 else ""
+            self.ctx["CONTEXT_BEFORE"] = truncated(shown(t.line_text(line - self.before, line - 1)), self.budgets.get("context")) if line > 1 else ""
         if self.after:
-            self.ctx["CONTEXT_AFTER"] = shown(t.line_text(line + 1, line + self.after)) if line < len(t.lines) else ""
+            self.ctx["CONTEXT_AFTER"] = truncated(shown(t.line_text(line + 1, line + self.after)), self.budgets.get("context")) if line < len(t.lines) else ""
 
     def one_file(self, file: str, content: bytes, phase: Phase, ends: list[dict]) -> None:
         """Matches in order, then absent patterns, then the file's end. A stop, or the file's limit, skips what is left of the file."""
@@ -515,6 +535,8 @@ class Script:
             p.quiet = bool(doc.get("rank"))
             p.relations = [r for x in doc.get("relations", []) if (r := _relation(x, p.patterns))]
         self.scope = _scope(doc.get("scope"))
+        self.budgets = {k: doc[f"max_{k}_bytes"] for k in ("match", "context", "block") if doc.get(f"max_{k}_bytes")}
+        self.prints = any(a["action"] == "print" for p in self.phases for group in (*p.actions, p.on_file_end, p.on_complete, doc.get("on_file_end", []), doc.get("on_complete", [])) for a in _walk(group))
 
     def local(self, ends: list[dict]) -> set[str]:
         """Variables that a file's end resets, whatever happens."""
@@ -543,12 +565,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared: set[str], apart: bool):
+def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared: set[str], apart: bool, skips: dict[int, int], most: int | None):
+    """skips: rows to leave out first, by the files' walk_ord; most: rows of a file after these."""
     doc = script.doc
     before, after = doc.get("context_before", doc.get("context", 0)), doc.get("context_after", doc.get("context", 0))
 
     def run(batches):
-        m = Machine(json.loads(json.dumps(store)), script.types, shared, before=before, after=after, most=doc.get("limit_per_file"), scope=script.scope)
+        m = Machine(json.loads(json.dumps(store)), script.types, shared, before=before, after=after, most=most, scope=script.scope, budgets=script.budgets)
         keep = json.dumps(store)
         for batch in batches:
             out = []
@@ -556,6 +579,7 @@ def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared:
                 m.rows, m.events = [], [] if apart else None
                 if apart:
                     m.store = json.loads(keep)
+                m.skip = skips.get(at, 0)
                 m.one_file(file, content, phase, ends)
                 out += [(at, i, kind, line, None, None, None, None, None) for i, (kind, line) in enumerate(m.rows)]
                 out += [(at, i, None, None, *e) for i, e in enumerate(m.events or ())]
@@ -606,17 +630,33 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
     for name in script.types:
         store[name] = m.default(name)
     parts, warnings = [], []
+    # a page that also limits each file must know how many rows of a file the page skips
+    per_file, skip = doc.get("limit_per_file"), doc.get("skip", 0)
+    by_file = bool(per_file and skip)
     df = corpus.df.select("file", "content", "walk_ord")
     empty = spark.createDataFrame([], "phase int, walk_ord long, seq int, kind string, line string")
     for k, phase in enumerate(script.phases):
         last = k == len(script.phases) - 1
         ends = [*phase.on_file_end, *(doc.get("on_file_end", []) if last else [])]
         shared, apart = script.shared(phase, ends)
-        if apart:
-            out = corpus.spread().select("file", "content", "walk_ord").mapInArrow(_files(script, phase, ends, store, shared, True), SCHEMA)
-        else:
+        if not apart:
             warnings.append(f"phase {k} reads what other files change; it runs in scan order in one task")
-            out = df.orderBy("walk_ord").coalesce(1).sortWithinPartitions("walk_ord").mapInArrow(_files(script, phase, ends, store, shared, False), SCHEMA)
+
+        def files(skips: dict[int, int], most: int | None, apart=apart, phase=phase, ends=ends, shared=shared) -> DataFrame:
+            texts = corpus.spread().select("file", "content", "walk_ord") if apart else df.orderBy("walk_ord").coalesce(1).sortWithinPartitions("walk_ord")
+            return texts.mapInArrow(_files(script, phase, ends, store, shared, apart, skips, most), SCHEMA)
+
+        skips: dict[int, int] = {}
+        if by_file and skip:
+            # the first files' rows without any limit, up to the one in which the skipped rows end: `skip` files at most
+            counts = files({}, None).filter("kind = 'json'").groupBy("walk_ord").count().orderBy("walk_ord").limit(skip).collect()
+            for r in counts:
+                if skip <= 0:
+                    break
+                skips[r.walk_ord] = skip
+                skip -= r["count"]
+            skip = max(0, skip)
+        out = files(skips, per_file)
         if shared:
             out = out.persist()
             if apart:
@@ -625,12 +665,14 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
                 store |= {r.var: json.loads(r.value) for r in out.filter("op = 'store'").collect()}
         parts.append(out.filter("kind is not null").select(F.lit(k).alias("phase"), "walk_ord", "seq", "kind", "line"))
         m.store, m.rows, m.ctx, m.file = store, [], {}, ""
+        m.skip = skip if by_file else 0
         try:
             m.run(phase.on_complete)
             if last:
                 m.run(doc.get("on_complete", []))
         except Stop:
             pass
+        skip = m.skip if by_file else skip
         if m.rows:
             parts.append(spark.createDataFrame([(k, 2**62, i, kind, line) for i, (kind, line) in enumerate(m.rows)], empty.schema))
     if doc.get("rank"):
@@ -643,15 +685,31 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
     rows = empty
     for p in parts:
         rows = rows.unionByName(p)
+    rows = _paged(rows, doc, 0 if by_file else skip, script.prints)
     if doc.get("group_by"):
         rows = grouped(rows, doc["group_by"])
-    if doc.get("skip") or "limit" in doc:
-        rows = rows.orderBy("phase", "walk_ord", "seq")
-        rows = rows.offset(doc.get("skip", 0)) if doc.get("skip") else rows
-        rows = rows.limit(doc["limit"]) if "limit" in doc else rows
     return Output(_accounted(rows, doc, corpus, len(script.phases)), store, warnings)
 
 
+def _paged(rows: DataFrame, doc: dict, skip: int, prints: bool) -> DataFrame:
+    """The rows of the page: printed text is not skipped but counts for the limit, which only a JSON row can reach; the row that fills max_output_bytes is the last."""
+    place = ["phase", "walk_ord", "seq"]
+    limit, most = doc.get("limit"), doc.get("max_output_bytes")
+    if limit and not prints:
+        rows = rows.orderBy(*place).offset(skip).limit(limit)
+    else:
+        if skip:
+            rows = order.numbered(rows.filter("kind = 'json'"), place, "n").filter(F.col("n") >= skip).drop("n").unionByName(rows.filter("kind <> 'json'"))
+        if limit:
+            rows = order.numbered(rows, place, "n", 1)
+            last = rows.filter(f"kind = 'json' and n >= {limit}").agg(F.min("n")).first()[0]
+            rows = (rows if last is None else rows.filter(F.col("n") < last + (last == limit))).drop("n")
+    if most:
+        size = F.when(F.col("kind") == "json", F.octet_length("line") + 1).otherwise(0)
+        rows = order.running(rows, place, size, "before").filter(F.col("before") < most).drop("before")
+    return rows
+
+
 def _accounted(rows: DataFrame, doc: dict, corpus: Corpus, last: int) -> DataFrame:
     """rows with warning records (diagnostics) and the summary record; require_complete raises where something could not be read."""
     spark = rows.sparkSession
