@@ -224,3 +224,76 @@ def test_records_within_byte_budgets(spark):
     (one, two), _ = run(spark, corpus, patterns=patterns, context=1, max_match_bytes=11, max_context_bytes=8, max_block_bytes=5)
     assert one == {"file": "a", "pat": "k", "line": 2, "col": 1, "from": 6, "to": 18, "match": "key=abcdef", "match_truncated": True, "context": "first\nke", "context_truncated": True, "context_before": "first", "context_after": "last", "truncated": True, "extracted": {"v": "abcdefé"}}
     assert list(two) == sorted(two) and {k: two[k] for k in two if k.startswith("block")} == {"block": " inne", "block_end": 33, "block_full": "key=a", "block_full_truncated": True, "block_line_end": 2, "block_line_start": 2, "block_start": 19, "block_truncated": True}
+
+
+def loop(var, *do, **more):
+    return {"action": "for_each", "var": var, "key_as": "k", "as": "v", "do": list(do), **more}
+
+
+@pytest.mark.parametrize("op", ["map_set", "map_increment", "map_append", "map_unique_append"])
+def test_maps_that_stay_in_spark(spark, op):
+    """Two phases add to a map with a default, a third looks it up, hooks loop over it; equal to plain Python, and no map is collected."""
+    rng = random.Random(len(op))
+    files = {f"f{i}": " ".join(f"{rng.choice('ab')}{rng.randint(0, 5)}={rng.randint(0, 2)}" for _ in range(rng.randint(0, 9))) or "-" for i in range(7)}
+    change = {"action": op, "target": "m", "key": "$EXTRACT_K"} | ({} if op == "map_increment" else {"value": "$EXTRACT_V"})
+    pattern = lambda rx, *actions: {"id": "p", "regexp": rx, "extract": ["k", "v"], "on_match": list(actions)}
+    inner = {"action": "lookup", "map": "m", "key": "b$EXTRACT_V", "on_hit": [emit(second="$LOOKUP_KEY", v="$LOOKUP_VALUE")], "on_miss": [emit(none="$LOOKUP_KEY")]}
+    look = {"action": "lookup", "map": "m", "key": "$EXTRACT_K", "on_hit": [emit(k="$LOOKUP_KEY", v="$LOOKUP_VALUE", f="$FILE"), inner], "on_miss": [emit(miss="$LOOKUP_KEY")]}
+    default = {"a0": 1 if op == "map_increment" else ["x"] if op.endswith("append") else "x", "z": 4}
+    phases = [{"patterns": [pattern(r"(a\d)=(\d)", change)], "on_complete": [emit(head=1), loop("m", emit(k="$k", v="$v")), emit(foot=1)]}, {"patterns": [pattern(r"(b[0-3])=(\d)", change)]}, {"patterns": [pattern(r"(\w\d)=(\d)", look)]}]
+    big = {"action": "if", "condition": {"op": "ne", "args": ["$k", "z"]}, "then": [{"action": "print", "value": "$k:$v"}]}
+    got, out = run(spark, Corpus.from_text(spark, files), variables={"m": {"type": "map", "default": default}}, phases=phases, on_complete=[loop("$m", big)])
+
+    held, want = json.loads(json.dumps(default)), []
+
+    def change_by(rx):
+        for t in files.values():
+            for k, v in re.findall(rx, t):
+                if op == "map_set":
+                    held[k] = v
+                elif op == "map_increment":
+                    held[k] = held.get(k, 0) + 1
+                elif op == "map_append" or v not in held.get(k, []):
+                    held.setdefault(k, []).append(v)
+
+    change_by(r"(a\d)=(\d)")
+    want += [{"head": 1}, *({"k": k, "v": v} for k, v in sorted(json.loads(json.dumps(held)).items())), {"foot": 1}]
+    change_by(r"(b[0-3])=(\d)")
+    for f, t in files.items():
+        for k, v in re.findall(r"(\w\d)=(\d)", t):
+            if k not in held:
+                want.append({"miss": k})
+                continue
+            want += [{"k": k, "v": held[k], "f": f}, {"second": f"b{v}", "v": held[f"b{v}"]} if f"b{v}" in held else {"none": f"b{v}"}]
+    text = lambda v: json.dumps(v, separators=(",", ":")) if isinstance(v, list) else str(v)
+    want += [f"{k}:{text(v)}" for k, v in sorted(held.items()) if k != "z"]
+    assert got == want
+    assert set(out.variables.tables) == {"m"} and "m" not in dict(out.variables)
+    assert out.variables["m"] == held
+
+
+def test_maps_that_the_driver_holds(spark):
+    """Maps that are read as a whole, by keys that hang on variables, or changed in one task stay variables."""
+    corpus = Corpus.from_text(spark, {"a": "x1 x2 y1", "b": "x2"})
+    add = {"action": "map_increment", "target": "m", "key": "$MATCH"}
+    one = {"patterns": [{"id": "p", "regexp": r"x\d", "on_match": [add]}]}
+    two = lambda key: {"patterns": [{"id": "p", "regexp": r"\w\d", "on_match": [{"action": "set", "var": "s", "value": "$MATCH"}, {"action": "lookup", "map": "m", "key": key, "on_hit": [emit(k="$LOOKUP_KEY", v="$LOOKUP_VALUE")]}]}], "on_file_end": [{"action": "reset", "vars": ["s"]}]}
+    v = {"m": {"type": "map"}, "s": {"type": "string"}}
+    want = [{"k": k, "v": n} for k, n in (("x1", 1), ("x2", 2), ("x2", 2))]
+    for key, tables in (("$MATCH", {"m"}), ("$s", set())):
+        got, out = run(spark, corpus, variables=v, phases=[one, two(key)])
+        assert got == want and set(out.variables.tables) == tables
+    got, out = run(spark, corpus, variables=v, phases=[one], on_complete=[emit(m="$m")])
+    assert got == [{"m": {"x1": 1, "x2": 2}}] and not out.variables.tables
+    got, out = run(spark, corpus, variables=v, phases=[one], on_complete=[loop("m", add)])
+    assert not out.variables.tables
+
+
+def test_a_map_of_many_keys(spark):
+    """200,000 keys are counted, looked up and listed without a row on the driver."""
+    corpus = Corpus.from_text(spark, {f"f{i}": " ".join(f"k{j}" for j in range(i * 20_000, (i + 1) * 20_000 + 100)) for i in range(10)})
+    p = lambda *a: [{"id": "p", "regexp": r"k\d+", "on_match": list(a)}]
+    look = {"action": "lookup", "map": "m", "key": "$MATCH", "on_hit": [{"action": "if", "condition": {"op": "gt", "args": ["$LOOKUP_VALUE", 1]}, "then": [emit(k="$LOOKUP_KEY")]}]}
+    out = run_script(spark, {"variables": {"m": {"type": "map"}}, "phases": [{"patterns": p({"action": "map_increment", "target": "m", "key": "$MATCH"})}, {"patterns": p(look)}], "on_complete": [loop("m", emit(key="$k", n="$v"))]}, corpus)
+    by = {r.phase_rows: r.n for r in out.rows.selectExpr("walk_ord >= 4611686018427387904 as phase_rows").groupBy("phase_rows").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert by == {True: 200_100, False: 2 * 9 * 100}

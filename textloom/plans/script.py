@@ -23,7 +23,9 @@ from textloom.functions import lexers
 from textloom.functions.patterns import Pattern, numbered
 from textloom.operators import order, rank
 from textloom.operators.scan import Member, Options, Text, hits, match_members, shown, truncated
+from textloom.plans import maps
 from textloom.sources.corpus import Corpus
+from textloom.sources.shared import kept
 
 ENCLOSING = ("NAME", "KIND", "LINE_START", "LINE_END")
 DEFAULTS = {"string": "", "int": 0, "bool": False, "list": [], "map": {}}
@@ -535,6 +537,7 @@ class Script:
             p.quiet = bool(doc.get("rank"))
             p.relations = [r for x in doc.get("relations", []) if (r := _relation(x, p.patterns))]
         self.scope = _scope(doc.get("scope"))
+        self.tabled: set[str] = set()  # maps that are tables
         self.budgets = {k: doc[f"max_{k}_bytes"] for k in ("match", "context", "block") if doc.get(f"max_{k}_bytes")}
         self.prints = any(a["action"] == "print" for p in self.phases for group in (*p.actions, p.on_file_end, p.on_complete, doc.get("on_file_end", []), doc.get("on_complete", [])) for a in _walk(group))
 
@@ -569,16 +572,20 @@ def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared:
     """skips: rows to leave out first, by the files' walk_ord; most: rows of a file after these."""
     doc = script.doc
     before, after = doc.get("context_before", doc.get("context", 0)), doc.get("context_after", doc.get("context", 0))
+    own = {k: v for k, v in store.items() if k not in script.tabled}
 
     def run(batches):
-        m = Machine(json.loads(json.dumps(store)), script.types, shared, before=before, after=after, most=most, scope=script.scope, budgets=script.budgets)
-        keep = json.dumps(store)
+        m = Machine(json.loads(json.dumps(own)), script.types, shared, before=before, after=after, most=most, scope=script.scope, budgets=script.budgets)
+        keep = json.dumps(own)
         for batch in batches:
             out = []
-            for file, content, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            parts = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for file, content, at, part in zip(*(batch.column(i).to_pylist() for i in range(3)), parts, strict=True):
                 m.rows, m.events = [], [] if apart else None
                 if apart:
-                    m.store = json.loads(keep)
+                    m.store = json.loads(keep) | {name: {} for name in script.tabled}
+                    for x in part or ():
+                        m.store[x["var"]][x["key"]] = json.loads(x["value"])
                 m.skip = skips.get(at, 0)
                 m.one_file(file, content, phase, ends)
                 out += [(at, i, kind, line, None, None, None, None, None) for i, (kind, line) in enumerate(m.rows)]
@@ -590,6 +597,36 @@ def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared:
     return run
 
 
+def _asked(script: Script, phase: Phase, store: dict):
+    """file, walk_ord, var and key of what each file's matches look up in maps that are tables, each once."""
+    doc = script.doc
+    own = {k: v for k, v in store.items() if k not in script.tabled}
+
+    def run(batches):
+        m = Machine(json.loads(json.dumps(own)), script.types, scope=script.scope, budgets=script.budgets, before=doc.get("context_before", doc.get("context", 0)), after=doc.get("context_after", doc.get("context", 0)))
+        members = [Member(p, "", i) for i, p in enumerate(phase.patterns)]
+        lookups = [[] if absent else maps.asked_for(actions, script.tabled) for actions, absent in zip(phase.actions, phase.absent, strict=True)]
+        for batch in batches:
+            out = []
+            for file, content, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                m.file, m.text = file, Text(content)
+                m.regions = lexers.scopes(m.text.text, file, script.scope[1], script.scope[0]) if script.scope is not None else []
+                keys = {}
+                for s, k, e in m.related(hits(m.text.text, members), phase):
+                    m.ctx = {}
+                    if lookups[k]:
+                        m.at(phase.patterns[k], s, e, m.text.text[s:e])
+                    keys |= {(a["map"], text_of(m.sub(a["key"]))): None for a in lookups[k]}
+                for k, (p, absent) in enumerate(zip(phase.patterns, phase.absent, strict=True)):
+                    m.ctx = {"FILE": file, "PAT_ID": p.id}
+                    keys |= {(a["map"], text_of(m.sub(a["key"]))): None for a in maps.asked_for(phase.actions[k], script.tabled) if absent}
+                out += [(file, at, name, key) for name, key in keys]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["file", "walk_ord", "var", "key"])
+
+    return run
+
+
 def _merged(events: DataFrame, store: dict, script: Script) -> None:
     """Aggregates events by variable and key, in scan order, into the store."""
     order = F.struct("walk_ord", "seq")
@@ -608,17 +645,8 @@ def _merged(events: DataFrame, store: dict, script: Script) -> None:
             for v in map(json.loads, r.listed):
                 if r.op == "append" or not any(same(x, v) for x in held):
                     held.append(v)
-        elif r.op == "map_inc":
-            held[r.key] = int_of(held.get(r.key)) + r.n
-        elif r.op == "map_set":
-            held[r.key] = json.loads(r.last)
         else:
-            have = held.get(r.key, [])
-            have = have if isinstance(have, list) else [have]
-            for v in map(json.loads, r.listed):
-                if r.op == "map_append" or not any(same(x, v) for x in have):
-                    have.append(v)
-            held[r.key] = have
+            held[r.key] = maps.value_of(r.op, held.get(r.key), r.n, r.last, r.listed, int_of, same)
 
 
 def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) -> Output:
@@ -633,6 +661,9 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
     # a page that also limits each file must know how many rows of a file the page skips
     per_file, skip = doc.get("limit_per_file"), doc.get("skip", 0)
     by_file = bool(per_file and skip)
+    script.tabled = maps.tabled(script, by_file, _walk, _reads)
+    for name in script.tabled:
+        store[name] = spark.createDataFrame([(x, json.dumps(v, ensure_ascii=False)) for x, v in store[name].items()], "key string, value string")
     df = corpus.df.select("file", "content", "walk_ord")
     empty = spark.createDataFrame([], "phase int, walk_ord long, seq int, kind string, line string")
     for k, phase in enumerate(script.phases):
@@ -644,6 +675,8 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
 
         def files(skips: dict[int, int], most: int | None, apart=apart, phase=phase, ends=ends, shared=shared) -> DataFrame:
             texts = corpus.spread().select("file", "content", "walk_ord") if apart else df.orderBy("walk_ord").coalesce(1).sortWithinPartitions("walk_ord")
+            if any(maps.asked_for(a, script.tabled) for a in phase.actions):
+                texts = maps.with_parts(df, texts.mapInArrow(_asked(script, phase, store), "file string, walk_ord long, var string, key string"), {n: store[n] for n in script.tabled})
             return texts.mapInArrow(_files(script, phase, ends, store, shared, apart, skips, most), SCHEMA)
 
         skips: dict[int, int] = {}
@@ -658,23 +691,34 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
             skip = max(0, skip)
         out = files(skips, per_file)
         if shared:
-            out = out.persist()
+            out = kept(out, "script-phase")
             if apart:
-                _merged(out.filter("op is not null"), store, script)
+                for name in script.tabled & shared:
+                    store[name] = maps.merged(out.filter("op is not null"), name, store[name], int_of, same)
+                held = [*script.tabled] or [""]
+                _merged(out.filter("op is not null").filter(~F.col("var").isin(held)), store, script)
             else:
                 store |= {r.var: json.loads(r.value) for r in out.filter("op = 'store'").collect()}
         parts.append(out.filter("kind is not null").select(F.lit(k).alias("phase"), "walk_ord", "seq", "kind", "line"))
         m.store, m.rows, m.ctx, m.file = store, [], {}, ""
         m.skip = skip if by_file else 0
-        try:
-            m.run(phase.on_complete)
-            if last:
-                m.run(doc.get("on_complete", []))
-        except Stop:
-            pass
+        told: list[tuple] = []
+        for i, a in enumerate([*phase.on_complete, *(doc.get("on_complete", []) if last else [])]):
+            if a["action"] == "for_each" and (name := a["var"].lstrip("$")) in script.tabled:
+                plain = {n: v for n, v in store.items() if n not in script.tabled}
+                parts.append(maps.looped(store[name], a, lambda plain=plain, types=script.types: Machine(dict(plain), types), k, i))
+                continue
+            m.rows, ended = [], False
+            try:
+                m.run([a])
+            except Stop:
+                ended = True
+            told += [(k, maps.AFTER + i * maps.STEP, j, kind, line) for j, (kind, line) in enumerate(m.rows)]
+            if ended:
+                break
         skip = m.skip if by_file else skip
-        if m.rows:
-            parts.append(spark.createDataFrame([(k, 2**62, i, kind, line) for i, (kind, line) in enumerate(m.rows)], empty.schema))
+        if told:
+            parts.append(spark.createDataFrame(told, empty.schema))
     if doc.get("rank"):
         members = [Member(p, "", i) for i, p in enumerate(script.phases[-1].patterns)]
         found = match_members(corpus, members, Options(frozenset()))
@@ -688,7 +732,7 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
     rows = _paged(rows, doc, 0 if by_file else skip, script.prints)
     if doc.get("group_by"):
         rows = grouped(rows, doc["group_by"])
-    return Output(_accounted(rows, doc, corpus, len(script.phases)), store, warnings)
+    return Output(_accounted(rows, doc, corpus, len(script.phases)), maps.Variables(store, {n: store[n] for n in script.tabled if isinstance(store[n], DataFrame)}), warnings)
 
 
 def _paged(rows: DataFrame, doc: dict, skip: int, prints: bool) -> DataFrame:
