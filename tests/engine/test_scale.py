@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.errors import LimitExceeded
-from textloom.operators import order
+from textloom.functions.lexers import Nest, Scope
+from textloom.operators import filters, order, scan
 from textloom.plans.query import run_query
 from textloom.sources.corpus import Corpus
 
@@ -139,3 +140,43 @@ def test_derived_words_have_no_bound_of_their_own(spark):
     for more in ({}, {"word_boundary": True, "max_patterns": 100}):
         with pytest.raises(LimitExceeded):
             run_query(spark, doc(**more), corpora)
+
+
+def test_nested_regions_equal_the_loop():
+    rng = random.Random(3)
+    for _ in range(200):
+        found = []
+        for _ in range(rng.randint(0, 12)):
+            a = rng.randint(0, 40)
+            found.append(Scope("s", "k", a, a + rng.randint(1, 20), a, a + rng.randint(0, 2)))
+        nest = Nest(found)
+        for at in range(-1, 62):
+            inside = [s for s in found if s.start <= at < s.end]
+            want = min(inside, key=lambda s: (s.end - s.start, found.index(s)), default=None)
+            assert nest.innermost(at) is want
+            assert nest.declares(at, at + 3) == any(at <= s.name_start < at + 3 for s in found)
+
+
+def test_a_file_of_many_scopes(spark):
+    """50,000 functions inside one another and side by side, 50,000 matches: scopes, roles and the scope filter take seconds."""
+    text = "".join(f"func f{i}() {{\n  hit{i}()\n}}\n" for i in range(50_000))
+    corpus = Corpus.from_text(spark, {"a.go": text})
+    from textloom.functions.patterns import Pattern
+
+    began = time.time()
+    rows = scan.match(corpus, [Pattern("hit", r"hit\d+")], options=scan.Options(frozenset(("scope", "role"))))
+    assert rows.filter("enclosing.name = concat('f', substring(match, 4))").count() == 50_000
+    scopes = scan.list_scopes(corpus)
+    assert filters.in_scope(rows, scopes, "7$", "func").count() == 5_000
+    assert time.time() - began < 60
+
+
+def test_in_scope_equals_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(f"f{rng.randint(0, 3)}", rng.randint(0, 60), i) for i in range(200)]
+    regions = [(f"f{rng.randint(0, 4)}", rng.choice(["get_a", "set_a", "get_b"]), rng.choice(["func", "class"]), a := rng.randint(0, 50), a + rng.randint(1, 15)) for _ in range(30)]
+    r, s = spark.createDataFrame(rows, "file string, `from` long, i int"), spark.createDataFrame(regions, "file string, name string, kind string, `from` long, `to` long")
+    for name, kind in (("^get_", None), (None, "func"), ("a$", "class"), (None, None)):
+        got = sorted(x.i for x in filters.in_scope(r, s, name, kind).collect())
+        want = sorted(i for f, at, i in rows if any(f == g and b <= at < e and (name is None or re.search(name, n)) and kind in (None, k) for g, n, k, b, e in regions))
+        assert got == want

@@ -6,8 +6,10 @@ Offsets are code points of the text; callers turn them into bytes.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 # Language by suffix; scope anchors, kinds and names that are no scopes; comment, string and import forms.
 LANGUAGES = {"go": "go", "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "java": "java", "js": "js", "jsx": "js", "mjs": "js", "ts": "ts", "tsx": "ts"}
@@ -221,12 +223,39 @@ def _signature(text: str, start: int) -> int:
     return line + len(text[line:]) - len(text[line:].lstrip()) if text[line:start].strip() or line < start else start
 
 
-def innermost(found: list[Scope], offset: int) -> Scope | None:
-    best = None
-    for s in found:
-        if s.start <= offset < s.end and (best is None or s.end - s.start < best.end - best.start):
-            best = s
-    return best
+class Nest:
+    """Regions, ready to be asked for: one sweep over their ends finds the smallest one (of equal ones the first) on each stretch between two ends, so that a look-up is a bisection, however many regions a text has."""
+
+    def __init__(self, found: Sequence[Scope]):
+        self.found = found
+        opened: dict[int, list[int]] = {}
+        for k, s in enumerate(found):
+            opened.setdefault(s.start, []).append(k)
+        self.cuts = sorted({x for s in found for x in (s.start, s.end)})
+        self.best: list[Scope | None] = []
+        open_: list[tuple[int, int]] = []  # a heap by size, then by place; ended ones leave when they come up
+        for at in self.cuts:
+            for k in opened.get(at, ()):
+                heappush(open_, (found[k].end - found[k].start, k))
+            while open_ and found[open_[0][1]].end <= at:
+                heappop(open_)
+            self.best.append(found[open_[0][1]] if open_ else None)
+        self.names = sorted(s.name_start for s in found)
+
+    def __bool__(self) -> bool:
+        return bool(self.found)
+
+    def innermost(self, offset: int) -> Scope | None:
+        k = bisect_right(self.cuts, offset) - 1
+        return self.best[k] if k >= 0 else None
+
+    def declares(self, start: int, end: int) -> bool:
+        """Whether some region's name begins in the span."""
+        return bisect_left(self.names, start) < bisect_left(self.names, end)
+
+
+def innermost(found: Sequence[Scope], offset: int) -> Scope | None:
+    return Nest(found).innermost(offset)
 
 
 WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*", re.A)
@@ -248,20 +277,20 @@ def identifier_matches(identifier: str, terms: list[str]) -> bool:
     return all(any(low.startswith(t.lower(), s) for s in starts) for t in terms)
 
 
-def role(text: str, at: Roles | None, found: list[Scope], start: int, end: int) -> str | None:
+def role(text: str, at: Roles | None, found: Nest, start: int, end: int) -> str | None:
     """comment, string, def or import, in this order; none otherwise."""
     if at is None and not found:
         return None
     if at is not None and (r := at.at(start)) is not None:
         return r
-    if any(start <= s.name_start < end for s in found):
+    if found.declares(start, end):
         return "def"
     if at is not None and text.rfind("\n", 0, start) + 1 in at.imports:
         return "import"
     return None
 
 
-def occurrence(text: str, at: Roles | None, found: list[Scope], start: int, end: int) -> tuple[str, str]:
+def occurrence(text: str, at: Roles | None, found: Nest, start: int, end: int) -> tuple[str, str]:
     """A guess at what an identifier's occurrence is, with low, medium or high confidence."""
     r = role(text, at, found, start, end)
     if r == "def":

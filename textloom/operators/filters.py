@@ -47,14 +47,22 @@ def relations(rows: DataFrame, asked: list[tuple]) -> DataFrame:
 
 
 def in_scope(rows: DataFrame, scopes: DataFrame, name: str | None = None, kind: str | None = None) -> DataFrame:
-    """Rows inside any region whose name holds a match of the pattern and whose kind is the one asked for."""
+    """Rows inside any region whose name holds a match of the pattern and whose kind is the one asked for.
+
+    One sweep over each file: beginnings and ends of regions and rows in order, with the number of regions that are open. Rows and regions do not meet in pairs.
+    """
     wanted = scopes
     if name is not None:
         wanted = wanted.filter(F.col("name").rlike(name))
     if kind is not None:
         wanted = wanted.filter(F.col("kind") == kind)
-    s = wanted.select(F.col("file").alias("__f"), F.col("from").alias("__s"), F.col("to").alias("__e"))
-    return rows.join(s, (F.col("file") == F.col("__f")) & (F.col("from") >= F.col("__s")) & (F.col("from") < F.col("__e")), "left_semi")
+    points = rows.select("file", F.col("from").alias("at"), F.lit(2).alias("kind"), F.lit(0).alias("step"), F.struct("*").alias("row"))
+    none = F.lit(None).cast(points.schema["row"].dataType)
+    # at one place, regions end first, then others begin, then rows stand
+    ends = wanted.select("file", F.explode(F.array(F.struct(F.col("from").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("step")), F.struct(F.col("to").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("step")))).alias("e"))
+    swept = points.unionByName(ends.select("file", "e.at", "e.kind", "e.step", none.alias("row")))
+    opened = F.sum("step").over(Window.partitionBy("file").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return swept.withColumn("open", opened).filter("kind = 2 and open > 0").select("row.*")
 
 
 def lines(rows: DataFrame, spec: str) -> DataFrame:

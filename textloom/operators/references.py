@@ -75,7 +75,7 @@ def expand(spark: SparkSession, corpus: Corpus, refs: list[str]) -> DataFrame:
                 t = Text(content)
                 lines = t.text.split("\n")
                 hashes = [line_hash(x) for x in lines]
-                scopes = lexers.scopes(t.text, file)
+                scopes = lexers.Nest(lexers.scopes(t.text, file))
                 for x in some:
                     at, status = x["line"], "ok"
                     if not (1 <= at <= len(lines) and hashes[at - 1] == x["hash"]):
@@ -84,7 +84,7 @@ def expand(spark: SparkSession, corpus: Corpus, refs: list[str]) -> DataFrame:
                             rows.append((x["ref"], file, "stale", None, None, None, None, None))
                             continue
                         at, status = places[0], "moved"
-                    s = lexers.innermost(scopes, t.lines[at - 1] + len(lines[at - 1]) - len(lines[at - 1].lstrip()))
+                    s = scopes.innermost(t.lines[at - 1] + len(lines[at - 1]) - len(lines[at - 1].lstrip()))
                     first, last = (t.line(s.start), t.line(s.end - 1)) if s else (max(1, at - AROUND), min(len(lines), at + AROUND))
                     rows.append((x["ref"], file, status, at, first, last, s.name if s else None, t.line_text(first, last)))
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())

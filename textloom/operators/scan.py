@@ -132,14 +132,14 @@ def rows_of(file: str, content: bytes, walk_ord: int, members: Sequence[Member],
     if not found:
         return
     text, need = t.text, o.need
-    regions = lexers.scopes(text, file, o.custom_scope, o.scope) if need & {"scope", "role", "occurrence"} else []
+    regions = lexers.Nest(lexers.scopes(text, file, o.custom_scope, o.scope) if need & {"scope", "role", "occurrence"} else ())
     forms = lexers.forms(file)
     kinds = lexers.roles(text, forms) if forms and need & {"role", "occurrence", "block"} else None
     lang = lexers.language(file)
     for s, k, e in found:
         m, line = members[k], t.line(s)
         match = text[s:e]
-        scope = lexers.innermost(regions, s) if regions else None
+        scope = regions.innermost(s)
         block = None
         if "block" in need and (b := lexers.block(text, s, o.block_open, o.block_close, kinds if o.block_open == "{" else None)):
             inside = text[b[0] + len(o.block_open) : b[1]]

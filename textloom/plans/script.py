@@ -110,7 +110,7 @@ class Machine:
     budgets: dict[str, int] = field(default_factory=dict)  # bytes of match, context and block
     quiet: bool = False  # rows are not wanted, as the script ranks files
     scope: tuple | None = None  # language and custom anchor, as in lexers.scopes
-    regions: list = field(default_factory=list)
+    regions: lexers.Nest = field(default_factory=lambda: lexers.Nest(()))
 
     def default(self, name: str) -> Any:
         kind, value = self.types.get(name, ("string", None))
@@ -372,7 +372,7 @@ class Machine:
     def at(self, p: Pattern, s: int, e: int, match: str, inside: bool = True) -> None:
         t = self.text
         if inside and self.scope is not None:
-            r = lexers.innermost(self.regions, s)
+            r = self.regions.innermost(s)
             told = (r.name, r.kind, t.line(r.start), t.line(r.end - 1)) if r else ("", "", "", "")
             self.ctx |= {f"ENCLOSING_{k}": v for k, v in zip(ENCLOSING, told, strict=True)}
         found = p.captures(match)
@@ -392,7 +392,7 @@ class Machine:
         """Matches in order, then absent patterns, then the file's end. A stop, or the file's limit, skips what is left of the file."""
         self.file, self.text, self.emitted = file, Text(content), 0
         if self.scope is not None:
-            self.regions = lexers.scopes(self.text.text, file, self.scope[1], self.scope[0])
+            self.regions = lexers.Nest(lexers.scopes(self.text.text, file, self.scope[1], self.scope[0]))
         members = [Member(p, "", i) for i, p in enumerate(phase.patterns)]
         try:
             seen = set()
@@ -610,7 +610,7 @@ def _asked(script: Script, phase: Phase, store: dict):
             out = []
             for file, content, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 m.file, m.text = file, Text(content)
-                m.regions = lexers.scopes(m.text.text, file, script.scope[1], script.scope[0]) if script.scope is not None else []
+                m.regions = lexers.Nest(lexers.scopes(m.text.text, file, script.scope[1], script.scope[0]) if script.scope is not None else ())
                 keys = {}
                 for s, k, e in m.related(hits(m.text.text, members), phase):
                     m.ctx = {}
