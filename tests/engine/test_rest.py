@@ -1,8 +1,10 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from textloom.errors import GuardViolation, QueryError
 from textloom.functions.patterns import Pattern
-from textloom.operators import edits, rank, references, retrieve, scan
+from textloom.operators import edits, rank, references, retrieve, scan, seen
 from textloom.sources.corpus import Corpus
 from textloom.streaming import tail
 
@@ -42,6 +44,56 @@ def test_seen(spark, corpus, tmp_path):
     assert [r.file for r in references.unseen(shown, references.load_seen(spark, str(tmp_path / "seen"))).collect()] == ["b"]
 
 
+def test_references_of_every_kind(spark):
+    """Without a hash, moved, standing more than once, of another length, in paths with colons; from a table."""
+    corpus = Corpus.from_text(spark, {"a:b.txt": "one\n  two \ntwo\nthree\n\nsix", "c@d.txt": "x"})
+    h = references.line_hash
+    refs = {"a:b.txt:1": ("ok", 1), f"a:b.txt:1@{h('six')}": ("moved", 6), f"a:b.txt:4@{h('two')}": ("ambiguous", None), f"a:b.txt:2@{h('two').upper()}": ("ok", 2), "a:b.txt:7": ("stale", None), f"a:b.txt:9@{h('three')}": ("moved", 4), "a:b.txt:1@abc": ("stale", None), "no.txt:1": ("missing", None), f"c@d.txt:1@{h('x')}": ("ok", 1)}
+    got = references.expand(spark, corpus, spark.createDataFrame([(r,) for r in refs], "ref string"))
+    assert {r.ref: (r.status, r.line) for r in got.collect()} == refs
+    for bad in ("c@d.txt:1", "a.txt:0", "a.txt", ":3", "a.txt:1@xyz", "a.txt:x"):
+        with pytest.raises(QueryError):
+            references.expand(spark, corpus, [bad])
+
+
+def test_many_references_to_one_file(spark):
+    n = 20_000
+    corpus = Corpus.from_text(spark, {"long": "\n".join(f"line {i}" for i in range(n))})
+    refs = spark.range(n).selectExpr("concat('long:', id + 1) as ref").collect()
+    moved = [f"long:{i + 2}@{references.line_hash(f'line {i}')}" for i in range(0, n, 4)]
+    got = references.expand(spark, corpus, [r.ref for r in refs] + moved)
+    assert {r.status: r["count"] for r in got.groupBy("status").count().collect()} == {"ok": n, "moved": n // 4}
+
+
+def test_runs_at_the_same_time_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "state")
+    shown = lambda k: spark.createDataFrame([(f"f{k}", 1, 2, f"text {k}"), ("all", 1, 1, "same")], "file string, line_start int, line_end int, text string")
+    with ThreadPoolExecutor(6) as pool:
+        numbers = sorted(pool.map(lambda k: seen.Store(spark, path).commit(shown(k), compact=k % 3 == 2), range(9)))
+    assert numbers == list(range(1, 10))
+    state = seen.Store(spark, path).load()
+    assert {r.file for r in state.collect()} == {"all", *(f"f{k}" for k in range(9))}
+    assert references.unseen(shown(4).union(shown(11)), state).select("file").collect() == [("f11",)]
+    assert seen.Store(spark, path).commit(shown(1), compact=True) == 10
+    assert seen.Store(spark, path).load().count() == 10
+
+
+def test_state_as_text(spark, tmp_path):
+    """Lines that are no entries are left out; quotes are plain text."""
+    good = ['a "b.go\t1\t20\tab12', "c\t3\t4\tFF"]
+    (tmp_path / "s.tsv").write_text("\n".join([good[0] + "\r", "x\t1\t2", "x\ty\t2\tab", "", "x\t1\t2\tzz", "x\t1\t2\tab\tmore", good[1]]))
+    assert sorted("\t".join(map(str, r)) for r in seen.read_tsv(spark, str(tmp_path / "s.tsv")).collect()) == good
+
+
+def test_batches_show_what_is_new(spark, tmp_path):
+    told = []
+    each = seen.batches(str(tmp_path / "state"), lambda df, n: told.append((n, sorted(r.file for r in df.collect()))))
+    rows = lambda *names: spark.createDataFrame([(n, 1, 1, n) for n in names], "file string, line_start int, line_end int, text string")
+    each(rows("a", "b"), 0)
+    each(rows("b", "c"), 1)
+    assert told == [(0, ["a", "b"]), (1, ["c"])]
+
+
 def test_budget(spark, corpus):
     rows = scan.match(corpus, [Pattern("v", "validateToken"), Pattern("s", "verifySignature")])
     ranked = rank.files(rows, corpus.df.selectExpr("file", "5 line_count"), 2)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.errors import QueryError
 from textloom.functions import lexers
+from textloom.operators import seen
 from textloom.operators.scan import Text
+from textloom.operators.seen import unseen
 from textloom.sources.corpus import Corpus
 
 # The 64-bit FNV-1a hash; a reference shows its low 24 bits.
 BASIS, PRIME = 0xCBF29CE484222325, 0x100000001B3
-REFERENCE = re.compile(r"(.+):(\d+)@([0-9a-f]{6})\Z")
+REFERENCE = r"^(?:([^@]+):([0-9]{1,9})|(.+):([0-9]{1,9})@([0-9A-Fa-f]{1,16}))$"
 AROUND = 5
 
 
@@ -51,17 +53,20 @@ def with_references(rows: DataFrame) -> DataFrame:
 EXPANDED = "ref string, file string, status string, line int, line_start int, line_end int, scope string, text string"
 
 
-def expand(spark: SparkSession, corpus: Corpus, refs: list[str]) -> DataFrame:
-    """Each reference with its scope's body or the lines around it. A line whose hash differs is looked for in its file: found once, it has moved; else the reference is stale."""
-    asked = []
-    for r in refs:
-        m = REFERENCE.match(r)
-        if not m:
-            raise QueryError(f"bad reference {r}")
-        asked.append((r, m[1], int(m[2]), m[3]))
-    wanted = spark.createDataFrame(asked, "ref string, file string, line int, hash string")
+def expand(spark: SparkSession, corpus: Corpus, refs: list[str] | DataFrame) -> DataFrame:
+    """Each reference (file:line or file:line@hash; a list, or a table with a column ref) with its scope's body or the lines around it.
+
+    A line whose hash differs is looked for in its file: found once, it has moved; more than once, it is ambiguous; else the reference is stale, as it is without a hash if the file has no such line. References
+    meet their files in a join, and each file is read once for all of them.
+    """
+    table = spark.createDataFrame([(r,) for r in refs], "ref string") if isinstance(refs, list) else refs.select("ref")
+    part = lambda *groups: F.coalesce(*(F.nullif(F.regexp_extract("ref", REFERENCE, g), F.lit("")) for g in groups))
+    wanted = table.select("ref", part(1, 3).alias("file"), part(2, 4).cast("int").alias("line"), F.lower(part(5)).alias("hash"))
+    bad = wanted.filter("file is null or line < 1").limit(1).collect()
+    if bad:
+        raise QueryError(f"bad reference {bad[0].ref}")
     by_file = wanted.groupBy("file").agg(F.collect_list(F.struct("ref", "line", "hash")).alias("refs"))
-    joined = F.broadcast(by_file).join(corpus.df.select("file", "content"), "file", "left").select("file", "refs", "content")
+    joined = by_file.join(corpus.df.filter("content is not null").select("file", "content"), "file", "left").select("file", "refs", "content")
 
     def run(batches):
         import pyarrow as pa
@@ -74,16 +79,18 @@ def expand(spark: SparkSession, corpus: Corpus, refs: list[str]) -> DataFrame:
                     continue
                 t = Text(content)
                 lines = t.text.split("\n")
-                hashes = [line_hash(x) for x in lines]
                 scopes = lexers.Nest(lexers.scopes(t.text, file))
+                count, first_at = None, {}
                 for x in some:
-                    at, status = x["line"], "ok"
-                    if not (1 <= at <= len(lines) and hashes[at - 1] == x["hash"]):
-                        places = [i + 1 for i, h in enumerate(hashes) if h == x["hash"]]
-                        if len(places) != 1:
-                            rows.append((x["ref"], file, "stale", None, None, None, None, None))
+                    at, status, there = x["line"], "ok", x["line"] <= len(lines)
+                    if not there or x["hash"] is not None and line_hash(lines[at - 1]) != x["hash"]:
+                        if count is None:
+                            hashes = [line_hash(y) for y in lines]
+                            count, first_at = Counter(hashes), dict(zip(reversed(hashes), range(len(hashes), 0, -1), strict=True))
+                        if count[x["hash"]] != 1:
+                            rows.append((x["ref"], file, "ambiguous" if count[x["hash"]] else "stale", None, None, None, None, None))
                             continue
-                        at, status = places[0], "moved"
+                        at, status = first_at[x["hash"]], "moved"
                     s = scopes.innermost(t.lines[at - 1] + len(lines[at - 1]) - len(lines[at - 1].lstrip()))
                     first, last = (t.line(s.start), t.line(s.end - 1)) if s else (max(1, at - AROUND), min(len(lines), at + AROUND))
                     rows.append((x["ref"], file, status, at, first, last, s.name if s else None, t.line_text(first, last)))
@@ -94,23 +101,10 @@ def expand(spark: SparkSession, corpus: Corpus, refs: list[str]) -> DataFrame:
     return joined.mapInArrow(run, EXPANDED)
 
 
-SEEN = "file string, line_start int, line_end int, hash string"
-
-
-def span_hash(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
-
-
-def unseen(shown: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows (file, line_start, line_end, text) that no earlier run has shown with the same text."""
-    keyed = shown.withColumn("hash", span_hash(F.col("text")))
-    return keyed.join(seen.select("file", "line_start", "line_end", "hash"), ["file", "line_start", "line_end", "hash"], "left_anti").drop("hash")
-
-
 def load_seen(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated state table; rows that do not parse are left out."""
-    return spark.read.option("sep", "\t").option("mode", "DROPMALFORMED").schema(SEEN).csv(path).na.drop()
+    """The state that earlier runs have left in a folder (`seen.Store`)."""
+    return seen.Store(spark, path).load()
 
 
 def save_seen(shown: DataFrame, path: str) -> None:
-    shown.select("file", "line_start", "line_end", span_hash(F.col("text")).alias("hash")).write.mode("append").option("sep", "\t").csv(path)
+    seen.Store(shown.sparkSession, path).commit(shown)
