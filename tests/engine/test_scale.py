@@ -180,3 +180,19 @@ def test_in_scope_equals_all_pairs(spark):
         got = sorted(x.i for x in filters.in_scope(r, s, name, kind).collect())
         want = sorted(i for f, at, i in rows if any(f == g and b <= at < e and (name is None or re.search(name, n)) and kind in (None, k) for g, n, k, b, e in regions))
         assert got == want
+
+
+def test_accounting_takes_counters_on_the_way(spark, tmp_path):
+    from textloom.functions.patterns import Pattern
+    from textloom.operators import shapes
+
+    (tmp_path / "a.txt").write_text("hit hit")
+    (tmp_path / "b.txt").write_bytes(b"\0hit")
+    (tmp_path / "c.txt").write_text("none")
+    account = shapes.Accounting(Corpus.from_files(spark, [str(tmp_path / n) for n in ("a.txt", "b.txt", "c.txt", "gone.txt")]))
+    assert account.shown(scan.match(account.corpus, [Pattern("h", "hit")])).count() == 2
+    want = {"type": "summary", "files_scanned": 2, "bytes_scanned": 11, "buffered_bytes_peak": 7, "files_skipped_binary": 1, "files_failed": 0, "missing_paths": 1, "matches": 2, "bytes_shown": 20, "complete": False}
+    assert account.record() == want
+    account = shapes.Accounting(Corpus.from_text(spark, {"a": "hit hit hit"}))
+    assert len(account.shown(scan.match(account.corpus, [Pattern("h", "hit")]), 2).collect()) == 2
+    assert (account.record()["complete"], account.record()["stop_reason"], account.record()["matches"]) == (False, "limit", 2)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from textloom.sources.corpus import Corpus
+
 
 def files_with_match(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(F.min("walk_ord").alias("walk_ord"))
@@ -132,8 +134,31 @@ def elided(corpus: DataFrame, rows: DataFrame, context: int = 0) -> DataFrame:
     return corpus.select("file", "content", "walk_ord").groupBy("file").cogroup(need).applyInArrow(run, "file string, walk_ord long, text string")
 
 
+class Accounting:
+    """Counters of a scan that Spark takes while it runs, so that nothing is read twice: scan `corpus`, pass what is shown through `shown`, run one action on that, then ask for the `record`."""
+
+    def __init__(self, corpus: Corpus):
+        self.given, self._read, self._shown, self.limit = corpus, Observation(), Observation(), None
+        size = F.octet_length("content")
+        counters = F.count("content").alias("files_scanned"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes_scanned"), F.coalesce(F.max(size), F.lit(0)).alias("buffered_bytes_peak")
+        self.corpus = Corpus(corpus.df.observe(self._read, *counters), corpus.missing, corpus.warnings)
+
+    def shown(self, rows: DataFrame, limit: int | None = None) -> DataFrame:
+        """rows, or the first `limit` of them in scan order."""
+        self.limit = limit
+        rows = rows.orderBy("walk_ord", "from", "pattern_index").limit(limit) if limit else rows
+        return rows.observe(self._shown, F.count(F.lit(1)).alias("matches"), F.coalesce(F.sum(F.octet_length("match") + F.coalesce(F.octet_length("context"), F.lit(0))), F.lit(0)).alias("bytes_shown"))
+
+    def record(self) -> dict:
+        """After the action. Complete is what lost nothing to a limit, a missing path or a file that could not be read."""
+        codes = {} if self.given.warnings is None else {r.code: r["count"] for r in self.given.warnings.groupBy("code").count().collect()}
+        out = {"type": "summary"} | self._read.get | {"files_skipped_binary": codes.get("binary_skip", 0), "files_failed": codes.get("read_error", 0), "missing_paths": len(self.given.missing)} | self._shown.get
+        stop = "limit" if self.limit and out["matches"] >= self.limit else None
+        return out | {"complete": not (stop or out["files_failed"] or out["missing_paths"])} | ({"stop_reason": stop} if stop else {})
+
+
 def summary(corpus: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row of counters."""
+    """One row of counters, as a table of its own; `Accounting` takes them on the way."""
     scanned = corpus.agg(F.count(F.lit(1)).alias("files_scanned"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes_scanned"))
     found = rows.agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("file").alias("files_matched"))
     return scanned.join(F.broadcast(found)).select(F.lit("summary").alias("type"), "*", F.lit(True).alias("complete"))

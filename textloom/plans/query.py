@@ -413,12 +413,14 @@ class Query:
         return result
 
     def _limited(self, df: DataFrame, most: int, name: str, result: Result) -> DataFrame:
-        if df.limit(most + 1).count() <= most:
-            return df
+        """df, if it has no more rows than that; they are written as they are counted, so that nothing runs twice."""
+        rows = kept(df.limit(most + 1), "limited")
+        if rows.count() <= most:
+            return rows
         if not self.partial:
             raise LimitExceeded(name)
         result.complete, result.stop_reason = False, name
-        return df.limit(most)
+        return rows.limit(most)
 
     def _scanned(self, spark: SparkSession, corpora: dict[str, Corpus], result: Result) -> dict[str, DataFrame]:
         out: dict[str, DataFrame] = {}
@@ -450,14 +452,16 @@ class Query:
                 found = ordered.numbered(found, ["__at"], "row_id", sum(r.count() for r in stage_rows))
             else:
                 found = found.withColumn("row_id", F.lit(None).cast("long"))
-            found = self._within(found, stage_rows, result)
+            if self.limits.keys() & {"max_total_rows", "max_memory_bytes"}:
+                found = self._within(kept(found, "stage"), stage_rows, result)
             stage_rows.append(found)
             for s in sets:
                 mine = found.filter(F.col("set_id") == s.id) if len(sets) > 1 else found
                 if "max_rows_per_set" in self.limits:
                     if self.partial:
                         most = self.limits["max_rows_per_set"]
-                        if mine.limit(most + 1).count() > most:
+                        mine = kept(mine.orderBy("__at").limit(most + 1), "limited")
+                        if mine.count() > most:
                             result.complete, result.stop_reason = False, "max_rows_per_set"
                             mine = mine.orderBy("__at").limit(most)
                     else:

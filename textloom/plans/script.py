@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from typing import Any
@@ -107,6 +108,7 @@ class Machine:
     most: int | None = None  # rows of a file
     skip: int = 0  # rows of the file that are left out first
     emitted: int = 0
+    matches: int = 0  # of all files so far
     budgets: dict[str, int] = field(default_factory=dict)  # bytes of match, context and block
     quiet: bool = False  # rows are not wanted, as the script ranks files
     scope: tuple | None = None  # language and custom anchor, as in lexers.scopes
@@ -397,7 +399,9 @@ class Machine:
         try:
             seen = set()
             self.quiet = phase.quiet
-            for s, k, e in self.related(hits(self.text.text, members), phase):
+            found = self.related(hits(self.text.text, members), phase)
+            self.matches += len(found)
+            for s, k, e in found:
                 seen.add(k)
                 if not phase.absent[k]:
                     self.ctx = {}
@@ -576,7 +580,7 @@ def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared:
 
     def run(batches):
         m = Machine(json.loads(json.dumps(own)), script.types, shared, before=before, after=after, most=most, scope=script.scope, budgets=script.budgets)
-        keep = json.dumps(own)
+        keep, read = json.dumps(own), {"files": 0, "bytes": 0}
         for batch in batches:
             out = []
             parts = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
@@ -588,9 +592,12 @@ def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared:
                         m.store[x["var"]][x["key"]] = json.loads(x["value"])
                 m.skip = skips.get(at, 0)
                 m.one_file(file, content, phase, ends)
+                read["files"] += 1
+                read["bytes"] += len(content)
                 out += [(at, i, kind, line, None, None, None, None, None) for i, (kind, line) in enumerate(m.rows)]
                 out += [(at, i, None, None, *e) for i, e in enumerate(m.events or ())]
             yield _batch(out)
+        yield _batch([(None, None, None, None, "stat", name, "", None, n) for name, n in (read | {"matches": m.matches}).items()])
         if not apart:
             yield _batch([(None, None, None, None, "store", name, "", json.dumps(v, ensure_ascii=False), 0) for name, v in m.store.items()])
 
@@ -651,13 +658,13 @@ def _merged(events: DataFrame, store: dict, script: Script) -> None:
 
 def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) -> Output:
     """Output rows in order, final variables and warnings. Without a corpus the script's own scan is read."""
-    script = Script(doc)
+    script, began = Script(doc), time.time()
     corpus = corpus or Corpus.from_files(spark, doc.get("scan", ()), doc.get("exclude", ()))
     store: dict[str, Any] = {}
     m = Machine(store, script.types)
     for name in script.types:
         store[name] = m.default(name)
-    parts, warnings = [], []
+    parts, warnings, stats = [], [], []
     # a page that also limits each file must know how many rows of a file the page skips
     per_file, skip = doc.get("limit_per_file"), doc.get("skip", 0)
     by_file = bool(per_file and skip)
@@ -690,13 +697,16 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
                 skip -= r["count"]
             skip = max(0, skip)
         out = files(skips, per_file)
-        if shared:
+        if shared or doc.get("summary"):
             out = kept(out, "script-phase")
+            stats.append(out.filter("op = 'stat'"))
+        if shared:
             if apart:
+                events = out.filter("op is not null and op <> 'stat'")
                 for name in script.tabled & shared:
-                    store[name] = maps.merged(out.filter("op is not null"), name, store[name], int_of, same)
+                    store[name] = maps.merged(events, name, store[name], int_of, same)
                 held = [*script.tabled] or [""]
-                _merged(out.filter("op is not null").filter(~F.col("var").isin(held)), store, script)
+                _merged(events.filter(~F.col("var").isin(held)), store, script)
             else:
                 store |= {r.var: json.loads(r.value) for r in out.filter("op = 'store'").collect()}
         parts.append(out.filter("kind is not null").select(F.lit(k).alias("phase"), "walk_ord", "seq", "kind", "line"))
@@ -730,9 +740,12 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
     for p in parts:
         rows = rows.unionByName(p)
     rows = _paged(rows, doc, 0 if by_file else skip, script.prints)
+    if doc.get("summary"):
+        rows = kept(rows, "script-rows")
+    page = rows
     if doc.get("group_by"):
         rows = grouped(rows, doc["group_by"])
-    return Output(_accounted(rows, doc, corpus, len(script.phases)), maps.Variables(store, {n: store[n] for n in script.tabled if isinstance(store[n], DataFrame)}), warnings)
+    return Output(_accounted(rows, page, stats, script, corpus, began), maps.Variables(store, {n: store[n] for n in script.tabled if isinstance(store[n], DataFrame)}), warnings)
 
 
 def _paged(rows: DataFrame, doc: dict, skip: int, prints: bool) -> DataFrame:
@@ -754,9 +767,9 @@ def _paged(rows: DataFrame, doc: dict, skip: int, prints: bool) -> DataFrame:
     return rows
 
 
-def _accounted(rows: DataFrame, doc: dict, corpus: Corpus, last: int) -> DataFrame:
-    """rows with warning records (diagnostics) and the summary record; require_complete raises where something could not be read."""
-    spark = rows.sparkSession
+def _accounted(rows: DataFrame, page: DataFrame, stats: list[DataFrame], script: Script, corpus: Corpus, began: float) -> DataFrame:
+    """rows with warning records (diagnostics) and the summary record; require_complete raises where something could not be read. The counters were written by the scans themselves, so no text is read again."""
+    spark, doc, last = rows.sparkSession, script.doc, len(script.phases)
     told = [] if corpus.warnings is None else [corpus.warnings.select("code", "file")]
     if corpus.missing:
         told.append(spark.createDataFrame([("missing_path", x) for x in corpus.missing], "code string, file string"))
@@ -770,11 +783,21 @@ def _accounted(rows: DataFrame, doc: dict, corpus: Corpus, last: int) -> DataFra
     if doc.get("diagnostics") and warned is not None:
         out = out.unionByName(warned.select(*place(last + 1), F.to_json(F.struct(F.lit("warning").alias("type"), "code", "file")).alias("line")))
     if doc.get("summary"):
-        counted = lambda code: F.lit(0) if warned is None else F.coalesce(warned.agg(F.sum((F.col("code") == code).cast("long"))).scalar(), F.lit(0))
-        failed, missing = counted("read_error"), counted("missing_path")
-        read = corpus.df.agg(F.count(F.lit(1)).alias("files_scanned"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes_scanned"))
-        columns = [F.lit("summary").alias("type"), "files_scanned", "bytes_scanned", counted("binary_skip").alias("files_skipped_binary"), failed.alias("files_failed"), missing.alias("missing_paths"), rows.agg(F.count(F.lit(1))).scalar().alias("emitted"), (failed + missing == 0).alias("complete")]
-        out = out.unionByName(read.select(*place(last + 2), F.to_json(F.struct(*columns)).alias("line")))
+        codes = {} if warned is None else {r.code: r["count"] for r in warned.groupBy("code").count().collect()}
+        read: dict[str, int] = {}
+        for s in stats:
+            for r in s.groupBy("var").agg(F.sum("n").alias("n")).collect():
+                read[r["var"]] = read.get(r["var"], 0) + r.n
+        json_row = F.col("kind") == "json"
+        told = page.agg(F.count(F.lit(1)).alias("emitted"), F.coalesce(F.sum(F.when(json_row, F.octet_length("line") + 1)), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(json_row & F.get_json_object("line", "$.truncated").isNotNull(), 1)), F.lit(0)).alias("cut")).first()
+        stop = "limit" if doc.get("limit") and told.emitted >= doc["limit"] else "output_budget" if doc.get("max_output_bytes") and told.bytes >= doc["max_output_bytes"] else None
+        failed, missing = codes.get("read_error", 0), codes.get("missing_path", 0)
+        matches = read.get("matches", 0)
+        record = {"type": "summary", "files_scanned": read.get("files", 0), "bytes_scanned": read.get("bytes", 0), "files_skipped_binary": codes.get("binary_skip", 0), "files_failed": failed, "missing_paths": missing}
+        record |= {"matches": matches, "matches_seen": matches, "scan_stages": last, "matcher_compilations": last, "patterns_compiled": sum(len(p.patterns) for p in script.phases), "rows_materialized": matches}
+        record |= {"rows_output": told.emitted, "rows_truncated": told.cut, "buffered_bytes_peak": told.bytes if doc.get("group_by") else 0, "emitted": told.emitted, "complete": stop is None and failed + missing == 0}
+        record |= ({"stop_reason": stop} if stop else {}) | {"elapsed_ms": int(1000 * (time.time() - began))}
+        out = out.unionByName(spark.range(1).select(*place(last + 2), F.lit(json.dumps(record, separators=(",", ":"))).alias("line")))
     return out
 
 
