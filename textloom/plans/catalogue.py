@@ -460,7 +460,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> None:
-    from textloom.plans import rows_of_code  # noqa: F401  adds its own
+    from textloom.plans import rows_of_code, rows_of_programs  # noqa: F401  add their own
 
 
 def queries() -> dict:

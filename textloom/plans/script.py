@@ -470,6 +470,14 @@ def _walk(actions: list[dict]):
             yield from _walk(inner)
 
 
+def _guarded(actions: list[dict], under: frozenset[str]):
+    """Each action with what the conditions, loops and look-ups around it read."""
+    for a in actions:
+        yield a, under
+        for inner in _inner(a):
+            yield from _guarded(inner, under | _reads(a))
+
+
 def _reads(a: dict) -> set[str]:
     own = {k: v for k, v in a.items() if k not in ("then", "else", "do", "on_block", "on_hit", "on_miss", "patterns", "action")}
     names = set(TOKEN.findall(json.dumps(own)))
@@ -562,6 +570,29 @@ class Script:
                 kinds.setdefault(name, set()).add("inc" if a["action"] in ("increment", "decrement", "add", "subtract") else "set" if a["action"] == "set" else "map" if a["action"].startswith("map") or a["action"] == "count" else "list")
         return far, apart and all(len(k) == 1 for k in kinds.values())
 
+    def carried(self, phase: Phase, ends: list[dict], far: set[str]) -> dict[str, str] | None:
+        """How the shared variables that files read come to be (inc: by sums, set: as the last value), if what a file adds to them does not hang on them; None if it may.
+
+        Then a file's state is that of all files before it, which a prefix scan over the files' own sums and last values gives.
+        """
+        actions = [x for group in (*phase.actions, ends) for x in _guarded(group, frozenset())]
+        read = {n for a, _ in actions for n in _reads(a)} & far
+        kinds: dict[str, set[str]] = {}
+        for a, under in actions:
+            act, name = a["action"], a.get("target", a.get("var"))
+            decided = under & far
+            if act == "stop" and decided or act == "emit" and decided and self.doc.get("limit_per_file") or act == "reset" and far & {*a.get("vars", [a.get("var")])}:
+                return None
+            if name not in far or act in ("for_each", "lookup", "emit", "print", "if"):
+                continue
+            kind = "inc" if act in ("increment", "decrement", "add", "subtract") else "set" if act == "set" else "map" if act.startswith("map") or act == "count" else "list" if act in ACCUMULATE else "other"
+            kinds.setdefault(name, set()).add(kind)
+            if name in read and (kind not in ("inc", "set") or decided or _reads(a) & far):
+                return None
+        if any(len(k) > 1 or "other" in k for k in kinds.values()) or any(a["action"] in ("for_each", "sort") and a["var"].lstrip("$") in far for a, _ in actions if "var" in a):
+            return None
+        return {n: next(iter(kinds[n])) for n in read}
+
 
 SCHEMA = "walk_ord long, seq int, kind string, line string, op string, var string, key string, value string, n long"
 KINDS = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
@@ -583,13 +614,14 @@ def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared:
         keep, read = json.dumps(own), {"files": 0, "bytes": 0}
         for batch in batches:
             out = []
-            parts = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for file, content, at, part in zip(*(batch.column(i).to_pylist() for i in range(3)), parts, strict=True):
+            more = [batch.column(n).to_pylist() if n in batch.schema.names else [None] * batch.num_rows for n in ("maps", "state")]
+            for file, content, at, part, state in zip(*(batch.column(i).to_pylist() for i in range(3)), *more, strict=True):
                 m.rows, m.events = [], [] if apart else None
                 if apart:
                     m.store = json.loads(keep) | {name: {} for name in script.tabled}
                     for x in part or ():
                         m.store[x["var"]][x["key"]] = json.loads(x["value"])
+                    m.store |= json.loads(state or "{}")
                 m.skip = skips.get(at, 0)
                 m.one_file(file, content, phase, ends)
                 read["files"] += 1
@@ -604,6 +636,44 @@ def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared:
     return run
 
 
+def _deltas(script: Script, phase: Phase, ends: list[dict], store: dict, carry: dict[str, str], most: int | None):
+    """file, walk_ord and, of each carried variable in turn, its sum (inc) or last value (set, JSON; null: none) in the file alone."""
+    doc = script.doc
+    before, after = doc.get("context_before", doc.get("context", 0)), doc.get("context_after", doc.get("context", 0))
+
+    def run(batches):
+        keep = json.dumps(store)
+        m = Machine({}, script.types, set(carry), before=before, after=after, most=most, scope=script.scope, budgets=script.budgets)
+        for batch in batches:
+            out = []
+            for file, content, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                m.rows, m.events, m.store = [], [], json.loads(keep)
+                m.one_file(file, content, phase, ends)
+                own = {n: 0 if kind == "inc" else None for n, kind in carry.items()}
+                for op, name, _, value, n in m.events:
+                    own[name] = own[name] + n if op == "inc" else value
+                out.append((file, at, *own.values()))
+            kinds = (pa.string(), pa.int64(), *(pa.int64() if k == "inc" else pa.string() for k in carry.values()))
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "walk_ord", *(f"d{i}" for i in range(len(carry)))])
+
+    return run
+
+
+def _with_states(texts: DataFrame, deltas: DataFrame, carry: dict[str, str], store: dict) -> tuple[DataFrame, dict]:
+    """texts with state: the carried variables before each file, as JSON; and the variables after all files."""
+    names = list(carry)
+    sums, lasts = ({f"b{i}": F.col(f"d{i}") for i, n in enumerate(names) if carry[n] == kind} for kind in ("inc", "set"))
+    before = order.prefixes(deltas, ["walk_ord", "file"], sums, lasts)
+    # an inc variable's state is a number, a set one's the JSON of its last value
+    parts = [F.concat(F.lit(json.dumps(n) + ":"), (F.col(f"b{i}") + int_of(store.get(n))).cast("string") if carry[n] == "inc" else F.coalesce(f"b{i}", F.lit(json.dumps(store.get(n), ensure_ascii=False)))) for i, n in enumerate(names)]
+    states = before.select("file", "walk_ord", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("state"))
+    at = F.struct("walk_ord", "file")
+    after = deltas.agg(*(F.coalesce(F.sum(f"d{i}"), F.lit(0)) if carry[n] == "inc" else F.max_by(f"d{i}", F.when(F.col(f"d{i}").isNotNull(), at)) for i, n in enumerate(names))).first()
+    final = {n: int_of(store.get(n)) + v if carry[n] == "inc" else store.get(n) if v is None else json.loads(v) for n, v in zip(names, after, strict=True)}
+    return texts.join(states, ["file", "walk_ord"]).select("file", "content", "walk_ord", "state"), final
+
+
 def _asked(script: Script, phase: Phase, store: dict):
     """file, walk_ord, var and key of what each file's matches look up in maps that are tables, each once."""
     doc = script.doc
@@ -677,11 +747,19 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
         last = k == len(script.phases) - 1
         ends = [*phase.on_file_end, *(doc.get("on_file_end", []) if last else [])]
         shared, apart = script.shared(phase, ends)
+        texts_with, final = None, {}
+        if not apart and not by_file and (carry := script.carried(phase, ends, shared)):
+            warnings.append(f"phase {k} reads what other files change; its texts are read twice, first for what each file adds")
+            for name in carry:
+                store.setdefault(name, m.default(name))
+            deltas = kept(corpus.spread().select("file", "content", "walk_ord").mapInArrow(_deltas(script, phase, ends, store, carry, per_file), "file string, walk_ord long" + "".join(f", d{i} {'long' if kind == 'inc' else 'string'}" for i, kind in enumerate(carry.values()))), "script-deltas")
+            texts_with, final = _with_states(df, deltas, carry, store)
+            apart, shared = True, shared - set(carry)
         if not apart:
             warnings.append(f"phase {k} reads what other files change; it runs in scan order in one task")
 
-        def files(skips: dict[int, int], most: int | None, apart=apart, phase=phase, ends=ends, shared=shared) -> DataFrame:
-            texts = corpus.spread().select("file", "content", "walk_ord") if apart else df.orderBy("walk_ord").coalesce(1).sortWithinPartitions("walk_ord")
+        def files(skips: dict[int, int], most: int | None, apart=apart, phase=phase, ends=ends, shared=shared, texts_with=texts_with) -> DataFrame:
+            texts = texts_with if texts_with is not None else corpus.spread().select("file", "content", "walk_ord") if apart else df.orderBy("walk_ord").coalesce(1).sortWithinPartitions("walk_ord")
             if any(maps.asked_for(a, script.tabled) for a in phase.actions):
                 texts = maps.with_parts(df, texts.mapInArrow(_asked(script, phase, store), "file string, walk_ord long, var string, key string"), {n: store[n] for n in script.tabled})
             return texts.mapInArrow(_files(script, phase, ends, store, shared, apart, skips, most), SCHEMA)
@@ -709,6 +787,7 @@ def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) ->
                 _merged(events.filter(~F.col("var").isin(held)), store, script)
             else:
                 store |= {r.var: json.loads(r.value) for r in out.filter("op = 'store'").collect()}
+        store |= final
         parts.append(out.filter("kind is not null").select(F.lit(k).alias("phase"), "walk_ord", "seq", "kind", "line"))
         m.store, m.rows, m.ctx, m.file = store, [], {}, ""
         m.skip = skip if by_file else 0
