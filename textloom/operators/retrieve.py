@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexers
 from textloom.functions.patterns import Pattern, escape
-from textloom.operators import rank, references, scan
+from textloom.operators import chunks, rank, references, scan
 from textloom.sources.corpus import Corpus
+from textloom.sources.shared import kept
 
 CATEGORIES = ("seed_implementation", "related_helper", "caller", "associated_test", "configuration", "documentation", "other")
 STOP_WORDS = frozenset("if else for while return func function fn def class struct enum import package const var let int string bool void auto static public private protected new delete this self nil null none true false error err the and or not in of to is".split())
@@ -35,6 +36,7 @@ class Report:
     evidence: list[dict]
     files: list[dict]
     related: list[dict]
+    sources: chunks.Packed | None = None
 
     def lines(self) -> list[str]:
         return [json.dumps(x, ensure_ascii=False) for x in (self.summary, *self.evidence, *self.files, *self.related)]
@@ -84,10 +86,9 @@ def candidates(corpus: Corpus, rows: DataFrame, names: list[str], most: int = RE
     return [r.name for r in scored.orderBy(F.desc("score"), "name").limit(most).collect()]
 
 
-def investigate(spark: SparkSession, corpus: Corpus, names: list[str], budget: int = 65_536, examples: int = 3, top_files: int = 10, related: int = RELATED) -> Report:
-    """Seeds, then one scan for related identifiers; examples of each category in fair turns, packed into the byte budget."""
-    corpus = Corpus(corpus.df.persist())
-    first = categorised(seeds(corpus, names)).persist()
+def investigate(spark: SparkSession, corpus: Corpus, names: list[str], budget: int = 65_536, examples: int = 3, top_files: int = 10, related: int = RELATED, source_budget: int = 0) -> Report:
+    """Seeds, then one scan for related identifiers; examples of each category in fair turns, packed into the byte budget. source_budget: bytes of source chunks around the examples, beside it."""
+    first = kept(categorised(seeds(corpus, names)), "seeds")
     more = candidates(corpus, first, names, related)
     patterns = [Pattern(f"r{i}", escape(n), word_boundary=True) for i, n in enumerate(more)]
     options = scan.Options(frozenset(("context", "scope", "role", "occurrence")), before=AROUND, after=AROUND)
@@ -114,7 +115,13 @@ def investigate(spark: SparkSession, corpus: Corpus, names: list[str], budget: i
         evidence.append(row)
     status = {c: "found" if any(x["category"] == c for x in evidence) else "none" for c in CATEGORIES}
     summary = {"type": "summary", "seeds": names, "categories": status, "left_out": left_out, "complete": left_out == 0, "bytes": used}
-    return Report(summary, evidence, [{"type": "file", "file": r.file, "score": round(r.score, 6), "matched": r.matched_patterns} for r in ranked], [{"type": "related", "name": n} for n in more])
+    sources = None
+    if source_budget and evidence:
+        places = spark.createDataFrame([(i, x["file"], x["line"]) for i, x in enumerate(evidence)], "turn int, file string, line int")
+        turns = places.groupBy("file").agg(F.min("turn").alias("turn"))
+        sources = chunks.pack(chunks.chunks(corpus, places).join(turns, "file"), ["turn", "first"], source_budget)
+        summary |= {"source_complete": sources.complete, "source_omitted": sources.omitted}
+    return Report(summary, evidence, [{"type": "file", "file": r.file, "score": round(r.score, 6), "matched": r.matched_patterns} for r in ranked], [{"type": "related", "name": n} for n in more], sources)
 
 
 def budget_pack(rows: DataFrame, ranked: DataFrame, budget: int, most_files: int = 10_000) -> tuple[list[str], list[str]]:
