@@ -39,6 +39,39 @@ def test_stream_is_stable_and_bounded(library):
         assert list(e.stream([text[i : i + 37].encode() for i in range(0, 3000, 37)])) == whole
 
 
+def test_texts_in_parts(spark, library, monkeypatch):
+    """Texts cut into small parts, in groups of a few letters, give the same tokens, names and plain text."""
+    monkeypatch.setattr(bpe, "PART", 5)
+    e = bpe.encoder()
+    texts = [t for t in ODD if t is None or len(t) < 4500] + ["a \u0301b <|endoftext|> ΣΑΣ\u2003Σ  x\x1cy z", "日本 語🙂 🙂 ok"]
+    assert ["".join(e.parts_of(t or "")) for t in texts] == [t or "" for t in texts] and len(list(e.parts_of(texts[-2]))) > 2
+    for most in (1, 20, 10**6):
+        made = [bpe._Whole(e) for _ in texts]
+        for i, ids in e.transduce(texts, most):
+            made[i].take(ids)
+        for t, m in zip(texts, made, strict=True):
+            want = library.encode(t or "", add_special_tokens=False).ids
+            ids, said, plain = m.row()
+            told = bpe._Digest(e)
+            for _, part in e.transduce([t], most):
+                told.take(part)
+            assert told.row() == (*bpe._digest(ids, said), len(plain))
+            assert np.frombuffer(ids, "<u4").tolist() == want
+            assert said.decode() == library.decode(want, skip_special_tokens=False)
+            one = bpe.TextMachine(e)
+            assert plain == "".join(map(one.feed, want)) + one.end()
+
+
+def test_query_equals_the_library(spark, library):
+    """The query's own rows over a whole table."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in bpe.query(spark, sf).collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_text_machine():
     e = bpe.encoder()
     m = bpe.TextMachine(e)

@@ -2,8 +2,11 @@
 
 The merge list alone bounds how far text to the right can change a token: `lookahead()` follows, in rank order, which merges can take a
 symbol away from a merge that would otherwise happen. A token whose end lies at least that far (plus the longest token) before the end of what has been read
-is final, so `stream()` holds a buffer of fixed size however long the piece is. Short pieces take one step. Results equal the
-`tokenizers` library's; a bounded cache of words only saves repeated steps.
+is final, so `stream()` holds a buffer of fixed size however long the piece is. Short pieces take one step.
+
+White space ends every word, so that no merge, normal form or special token reaches over it: a text is read in parts of about `PART` letters cut there (`Encoder.parts_of`), tokens of a part are final when it has been read, and
+both decoders take them as they come and keep at most three bytes. What is held at once is a bounded group of parts, whatever the length of the text. Results equal the `tokenizers` library's; a bounded cache of words only saves
+repeated steps.
 
 Defined cases: null and empty text give no token; text of any length is encoded whole; special tokens' strings become their ids, as in the library;
 repeated rows give equal rows; an empty table gives an empty result. Other columns of the input are not read.
@@ -23,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import slices, table
+from textloom.llm.common import SLICE_BYTES, slices, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -33,6 +36,9 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{
 SPLIT = regex.compile(rf"[^{WHITE}]+")
 #: str.split() would also cut at these.
 ODD = regex.compile("[\x1c-\x1f]")
+GAP = regex.compile(f"[{WHITE}]")
+#: Letters of a part of a text.
+PART = 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -57,6 +63,8 @@ class Encoder:
         self.special_split = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         letters = byte_letters()
         self.to_bytes = {x: i for i, x in enumerate(letters)}
+        bare = lambda name: bytes(self.to_bytes[c] for c in name.removesuffix(self.suffix)) + b" " * name.endswith(self.suffix)
+        self.plain = [b"" if (name := self.names.get(i)) is None else name.encode() if name in self.special else bare(name) for i in range(max(self.names) + 1)]
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.final = np.array([vocab[x + self.suffix] for x in letters], np.int64)
         self.width = {int(i): 1 for i in (*self.inner, *self.final)}
@@ -229,6 +237,31 @@ class Encoder:
                         ids[:] = [known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
         return [b"".join(chain.from_iterable(ids for _, ids in row)) for row in rows]
 
+    @staticmethod
+    def parts_of(text: str) -> Iterator[str]:
+        """The text in parts of PART letters or a little more, cut before white space."""
+        at = 0
+        while len(text) - at > PART:
+            gap = GAP.search(text, at + PART)
+            if not gap:
+                break
+            yield text[at : gap.start()]
+            at = gap.start()
+        yield text[at:] if at else text
+
+    def transduce(self, texts: Iterable[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, bytes]]:
+        """(which text, ids of its next part), in order; parts of about `most` letters in all are held at once."""
+        held: list[tuple[int, str]] = []
+        letters = 0
+        for i, t in enumerate(texts):
+            for part in self.parts_of(t or ""):
+                held.append((i, part))
+                letters += len(part)
+                if letters >= most:
+                    yield from zip([i for i, _ in held], self.encode([p for _, p in held]), strict=True)
+                    held, letters = [], 0
+        yield from zip([i for i, _ in held], self.encode([p for _, p in held]), strict=True)
+
     def _recalled(self, missing: set[str]) -> dict[str, bytes]:
         """Words that are not in the cache: from the one before it, or learnt. A full cache becomes the one before."""
         known = {w: x for w in missing if (x := self.before.get(w)) is not None}
@@ -241,12 +274,26 @@ class Encoder:
         return known
 
     def decode(self, ids: bytes) -> bytes:
-        """As the library's decode(), in UTF-8: the file names no decoder, so token names stand with one space between them."""
-        return b" ".join(map(self.said.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """As the library's decode(), in UTF-8."""
+        return NameMachine(self).feed(ids)
+
+
+class NameMachine:
+    """The library's decode(), some tokens at a time: the file names no decoder, so token names stand with one space between them. The state is whether a token came before."""
+
+    def __init__(self, encoder: Encoder):
+        self.said, self.begun = encoder.said, False
+
+    def feed(self, ids: bytes) -> bytes:
+        if not ids:
+            return b""
+        out = b" ".join(map(self.said.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        out, self.begun = (b" " + out if self.begun else out), True
+        return out
 
 
 class TextMachine:
-    """Decoding to plain text, a token at a time: bytes wait until they end a character; a word's end gives a space.
+    """Decoding to plain text, some tokens at a time: bytes wait until they end a character; a word's end gives a space, and special tokens stand as they are.
 
     At most three bytes wait. Bytes that are no UTF-8 become U+FFFD, as in bytes.decode(errors="replace").
     """
@@ -254,15 +301,13 @@ class TextMachine:
     def __init__(self, encoder: Encoder):
         import codecs
 
-        self.encoder, self.bytes = encoder, codecs.getincrementaldecoder("utf-8")("replace")
+        self.plain, self.bytes = encoder.plain, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, token: int) -> str:
-        e, name = self.encoder, self.encoder.names[token]
-        if name in e.special:
-            return self.bytes.decode(b"", True) + name
-        ended = name.endswith(e.suffix)
-        out = self.bytes.decode(bytes(e.to_bytes[c] for c in name.removesuffix(e.suffix)), False)
-        return out + " " if ended else out
+        return self.bytes.decode(self.plain[token], False)
+
+    def feed_all(self, ids: bytes) -> str:
+        return self.bytes.decode(b"".join(map(self.plain.__getitem__, np.frombuffer(ids, "<u4").tolist())), False)
 
     def end(self) -> str:
         return self.bytes.decode(b"", True)
@@ -277,25 +322,63 @@ def encoder(path: str | None = None) -> Encoder:
 
 
 def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """For each row: key, ids (binary, little-endian unsigned 32-bit) and decoded (binary, UTF-8). No shuffle; memory follows one text."""
-    return docs.select(key, text).mapInArrow(_mapped(text, path, lambda a, b: (a, b)), f"{key} long, ids binary, decoded binary")
+    """For each row: key, ids (binary, little-endian unsigned 32-bit), decoded (binary, UTF-8; as the library decodes) and plain (the text as the tokens have it). No shuffle."""
+    return docs.select(key, text).mapInArrow(_mapped(text, path, _Whole), f"{key} long, ids binary, decoded binary, plain string")
+
 
+def _mapped(text: str, path: str | None, collector):
+    """A row for each text of what a collector makes of its parts."""
 
-def _mapped(text: str, path: str | None, shown):
     def run(batches):
         e = encoder(path)
         for batch in slices(batches, text):
-            found = [shown(ids, e.decode(ids)) for ids in e.encode(batch.column(1).to_pylist())]
+            made = [collector(e) for _ in range(batch.num_rows)]
+            for i, ids in e.transduce(batch.column(1).to_pylist()):
+                made[i].take(ids)
+            found = [m.row() for m in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*found, strict=True))], names=[str(i) for i in range(1 + len(found[0]))])
 
     return run
 
 
+class _Whole:
+    """All ids and both texts."""
+
+    def __init__(self, e: Encoder):
+        self.names, self.text, self.ids, self.said, self.plain = NameMachine(e), TextMachine(e), bytearray(), bytearray(), []
+
+    def take(self, ids: bytes) -> None:
+        self.ids += ids
+        self.said += self.names.feed(ids)
+        self.plain.append(self.text.feed_all(ids))
+
+    def row(self) -> tuple:
+        return bytes(self.ids), bytes(self.said), "".join([*self.plain, self.text.end()])
+
+
 def _digest(ids: bytes, said: bytes) -> tuple[int, str, str]:
+    """The query's columns of whole ids and their decoded text, which `_Digest` has without holding either."""
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said).hexdigest()
 
 
+class _Digest:
+    """Counts and digests, which need no part again."""
+
+    def __init__(self, e: Encoder):
+        self.names, self.text, self.n, self.letters = NameMachine(e), TextMachine(e), 0, 0
+        self.ids, self.said = hashlib.sha256(), hashlib.sha256()
+
+    def take(self, ids: bytes) -> None:
+        self.n += len(ids) // 4
+        self.ids.update(ids)
+        self.said.update(self.names.feed(ids))
+        self.letters += len(self.text.feed_all(ids))
+
+    def row(self) -> tuple:
+        return self.n, self.ids.hexdigest(), self.said.hexdigest(), self.letters + len(self.text.end())
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """op6: n_tokens and digests of ids and decoded text for every document."""
+    """op6: n_tokens, digests of ids and decoded text, and code points of the plain text that the tokens stand for, for every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.mapInArrow(_mapped("text", None, _digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(_mapped("text", None, _Digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_plain long")
