@@ -1,10 +1,14 @@
 from concurrent.futures import ThreadPoolExecutor
 
+import json
+
 import pytest
 
 from textloom.errors import GuardViolation, QueryError
 from textloom.functions.patterns import Pattern
-from textloom.operators import edits, rank, references, retrieve, scan, seen
+from textloom.operators import edits, rank, references, retrieve, scan, seen, shapes
+from textloom.plans.query import run_query
+from textloom.plans.script import run_script
 from textloom.sources.corpus import Corpus
 from textloom.streaming import tail
 
@@ -129,3 +133,37 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(got) == ["bar", "foo"]
+
+
+def test_records_say_what_was_cut(spark):
+    c = Corpus.from_text(spark, {"a.c": "call(abcdéf) { one {two} é }\n"})
+    options = scan.Options(frozenset(("context", "block", "captures")), max_match=10, max_context=12, max_block=8)
+    (r,) = shapes.record(scan.match(c, [Pattern("p", r"call\((\w+é\w)\)", extract=("x",))], options=options)).collect()
+    want = {"file": "a.c", "pat": "p", "line": 1, "col": 1, "from": 0, "to": 13, "match": "call(abcd", "context": "call(abcdéf", "block": " one {tw", "block_full": "call(abc", "block_start": 14, "block_end": 30, "block_line_start": 1, "block_line_end": 1}
+    want |= dict.fromkeys(("match_truncated", "context_truncated", "block_truncated", "block_full_truncated", "truncated"), True) | {"extracted": {"x": "abcdéf"}}
+    got = json.loads(r.json)
+    assert got == want and list(got) == list(want)
+    (r,) = shapes.record(scan.match(c, [Pattern("p", "call")])).collect()
+    assert not any("trunc" in k for k in json.loads(r.json))
+
+
+def test_legend_and_tabs(spark):
+    patterns = [Pattern("a", "x\ty", description="first\tone"), Pattern("b", "q"), Pattern("i", "")]
+    assert shapes.legend(patterns, ["src", "*.c"]) == ["query: 3 patterns over src, *.c", "  a — first one", "  b — /q/", "  i — (ident group)"]
+    assert shapes.legend(patterns[1:], ["src"]) == []
+    head, lines = shapes.tabbed(spark.createDataFrame([("a\tb\nc", None, [1, 2])], "x string, `y.z` int, l array<int>"))
+    assert head == "x\ty.z\tl" and lines.first().text == "a b c\t\t[1,2]"
+
+
+def test_documents_from_text_and_files(spark, tmp_path):
+    doc = {"version": 1, "sets": [{"id": "s", "scan": ["c"], "patterns": [{"id": "p", "regexp": "[x\"]+"}]}], "query": {"from": {"set": "s", "as": "a"}, "select": {"m": "a.match"}, "max_rows": 1}, "on_limit": "partial"}
+    corpora = {"c": Corpus.from_text(spark, {"t": "xx x"})}
+    (tmp_path / "q.json").write_text(json.dumps(doc))
+    for given in (doc, json.dumps(doc), str(tmp_path / "q.json"), tmp_path / "q.json"):
+        found = run_query(spark, given, corpora)
+        assert len(found.df.collect()) == 1 and found.footer() == '{"type":"query-footer","complete":false,"stop_reason":"max_rows"}' and found.footer(True) == "QUERY INCOMPLETE reason=max_rows"
+    for bad in ("{", '{"a":' * 1001 + "1" + "}" * 1001, "{} {}"):
+        with pytest.raises(QueryError):
+            run_query(spark, bad, corpora)
+    (tmp_path / "s.json").write_text(json.dumps({"patterns": [{"id": "p", "regexp": "x+", "on_match": [{"action": "print", "value": "$MATCH"}]}]}))
+    assert [r.line for r in run_script(spark, tmp_path / "s.json", corpora["c"]).rows.orderBy("seq").collect()] == ["xx", "x"]

@@ -27,12 +27,12 @@ BLOCK = pa.struct([("text", pa.string()), ("full", pa.string()), ("start", pa.in
 FIELDS = [
     ("walk_ord", pa.int64()), ("file", pa.string()), ("language", pa.string()), ("set_id", pa.string()), ("pattern_id", pa.string()), ("pattern_index", pa.int32()),
     ("from", pa.int64()), ("to", pa.int64()), ("line", pa.int32()), ("column", pa.int32()), ("match", pa.string()), ("context", pa.string()),
-    ("captures", pa.map_(pa.string(), pa.string())), ("enclosing", ENCLOSING), ("role", pa.string()), ("block", BLOCK), ("derived_value", pa.string()), ("occurrence", pa.string()),
+    ("captures", pa.map_(pa.string(), pa.string())), ("enclosing", ENCLOSING), ("role", pa.string()), ("block", BLOCK), ("derived_value", pa.string()), ("occurrence", pa.string()), ("cut", pa.list_(pa.string())),
 ]
 CONTEXT = [n for n, _ in FIELDS].index("context")
 SCHEMA = (
     "walk_ord long, file string, language string, set_id string, pattern_id string, pattern_index int, `from` long, `to` long, line int, `column` int, match string, context string, captures map<string,string>, "
-    "enclosing struct<name: string, kind: string, `from`: long, `to`: long, line_start: int, line_end: int>, role string, block struct<text: string, full: string, start: long, `end`: long, line_start: int, line_end: int>, derived_value string, occurrence string"
+    "enclosing struct<name: string, kind: string, `from`: long, `to`: long, line_start: int, line_end: int>, role string, block struct<text: string, full: string, start: long, `end`: long, line_start: int, line_end: int>, derived_value string, occurrence string, cut array<string>"
 )
 
 
@@ -140,18 +140,27 @@ def rows_of(file: str, content: bytes, walk_ord: int, members: Sequence[Member],
         m, line = members[k], t.line(s)
         match = text[s:e]
         scope = regions.innermost(s)
-        block = None
+        block, cut = None, []
+
+        def within(kind: str, x: str, most: int | None) -> str:
+            """The text within its bytes; what does not fit is told in `cut`."""
+            out = truncated(x, most)
+            if len(out) < len(x):
+                cut.append(kind)  # noqa: B023  of this match
+            return shown(out)
+
+        match_text = within("match", match, o.max_match)
+        context = within("context", t.line_text(line - o.before, line + o.after), o.max_context) if "context" in need else None
         if "block" in need and (b := lexers.block(text, s, o.block_open, o.block_close, kinds if o.block_open == "{" else None)):
             inside = text[b[0] + len(o.block_open) : b[1]]
-            block = {"text": shown(truncated(inside, o.max_block)), "full": shown(truncated(text[s : b[2]], o.max_block)), "start": t.byte(b[0]), "end": t.byte(b[2]), "line_start": t.line(b[0]), "line_end": t.line(b[2] - 1)}
+            block = {"text": within("block", inside, o.max_block), "full": within("block_full", text[s : b[2]], o.max_block), "start": t.byte(b[0]), "end": t.byte(b[2]), "line_start": t.line(b[0]), "line_end": t.line(b[2] - 1)}
         yield (
             walk_ord, file, lang, m.set_id, m.pattern.id, m.index, t.byte(s), t.byte(e), line, t.byte(s) - t.byte(t.lines[line - 1]) + 1,
-            shown(truncated(match, o.max_match)),
-            shown(truncated(t.line_text(line - o.before, line + o.after), o.max_context)) if "context" in need else None,
+            match_text, context,
             list(m.pattern.captures(match).items()) if "captures" in need else None,
             {"name": scope.name, "kind": scope.kind, "from": t.byte(scope.start), "to": t.byte(scope.end), "line_start": t.line(scope.start), "line_end": t.line(scope.end - 1)} if scope else None,
             lexers.role(text, kinds, regions, s, e) if "role" in need else None,
-            block, m.derived, lexers.occurrence(text, kinds, regions, s, e)[0] if "occurrence" in need else None,
+            block, m.derived, lexers.occurrence(text, kinds, regions, s, e)[0] if "occurrence" in need else None, cut or None,
         )
 
 

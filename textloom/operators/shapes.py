@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.patterns import Pattern
 from textloom.sources.corpus import Corpus
 
 
@@ -68,7 +70,9 @@ def matched_text(rows: DataFrame) -> DataFrame:
 
 def record(rows: DataFrame) -> DataFrame:
     """One JSON line for each match, fields in fixed order, nulls left out."""
-    fields = ["file", F.col("pattern_id").alias("pat"), "line", F.col("column").alias("col"), "from", "to", "match", "context", F.col("block.text").alias("block"), F.col("block.full").alias("block_full"), F.when(F.size("captures") > 0, F.col("captures")).alias("extracted"), F.when(F.col("enclosing").isNotNull(), F.struct("enclosing.name", "enclosing.kind", "enclosing.line_start", "enclosing.line_end")).alias("enclosing"), "role"]
+    fields = ["file", F.col("pattern_id").alias("pat"), "line", F.col("column").alias("col"), "from", "to", "match", "context", F.col("block.text").alias("block"), F.col("block.full").alias("block_full"), *(F.col(f"block.{c}").alias(f"block_{c}") for c in ("start", "end", "line_start", "line_end"))]
+    fields += [F.when(F.array_contains("cut", k), True).alias(f"{k}_truncated") for k in ("match", "context", "block", "block_full")] + [F.when(F.size("cut") > 0, True).alias("truncated")]
+    fields += [F.when(F.size("captures") > 0, F.col("captures")).alias("extracted"), F.when(F.col("enclosing").isNotNull(), F.struct("enclosing.name", "enclosing.kind", "enclosing.line_start", "enclosing.line_end")).alias("enclosing"), "role"]
     return rows.select("walk_ord", "from", "pattern_index", F.to_json(F.struct(*fields)).alias("json"))
 
 
@@ -98,6 +102,25 @@ def template(text: str) -> Column:
     return F.concat(*parts)
 
 
+def legend(patterns: Sequence[Pattern], inputs: Sequence[str]) -> list[str]:
+    """Lines that say what was asked, if any pattern has a description: a pattern's own, or else its expression."""
+    if not any(p.description for p in patterns):
+        return []
+    flat = lambda x: re.sub("[\n\r\t]", " ", x)
+    told = [f"  {p.id} — {flat(p.description) or (f'/{flat(p.regexp)}/' if p.regexp else '(ident group)')}" for p in patterns]
+    return [f"query: {len(patterns)} pattern{'s' * (len(patterns) != 1)} over {', '.join(inputs)}", *told]
+
+
+def tabbed(rows: DataFrame) -> tuple[str, DataFrame]:
+    """A header and rows of text with tabs between cells; tabs and line ends in cells become spaces, nulls nothing, lists and maps JSON."""
+    cells = []
+    for name, kind in rows.dtypes:
+        c = F.col(f"`{name}`")
+        c = F.to_json(c) if kind.startswith(("array", "map", "struct")) else c.cast("string")
+        cells.append(F.regexp_replace(F.coalesce(c, F.lit("")), "[\t\r\n]", " "))
+    return "\t".join(rows.columns), rows.select(F.concat_ws("\t", *cells).alias("text"))
+
+
 def compact(rows: DataFrame) -> DataFrame:
     """Text for readers: file (once), then line, pattern, text, role and scope of each match."""
     line = F.concat(F.lit("  "), F.col("line").cast("string"), F.lit(": ["), F.col("pattern_id"), F.lit("] "), F.coalesce("context", "match"), F.coalesce(F.concat(F.lit(" ["), F.col("role"), F.lit("]")), F.lit("")), F.coalesce(F.concat(F.lit(" in "), F.col("enclosing.kind"), F.lit(" "), F.col("enclosing.name")), F.lit("")))

@@ -7,6 +7,8 @@ Values that become patterns stay in Spark: whole words are joined with the texts
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -63,6 +65,12 @@ class Result:
     plan: dict
     complete: bool = True
     stop_reason: str | None = None
+
+    def footer(self, tabbed: bool = False) -> str | None:
+        """What says that rows are missing, as JSON or as text."""
+        if self.complete:
+            return None
+        return f"QUERY INCOMPLETE reason={self.stop_reason}" if tabbed else json.dumps({"type": "query-footer", "complete": False, "stop_reason": self.stop_reason}, separators=(",", ":"))
     warnings: list[str] = field(default_factory=list)
 
 
@@ -632,8 +640,6 @@ def _literal(x: Any) -> Value:
         column = F.array(*(v.col for v in values)) if len(kinds) == 1 else F.array(*(F.when(v.col.isNotNull(), _text(v)) for v in values)) if values else F.array().cast("array<string>")
         return Value(LIST, column, values)
     if isinstance(x, dict):
-        import json
-
         return Value(STR, F.lit(json.dumps(x, sort_keys=True, separators=(",", ":"))))
     return Value(STR, F.lit(x))
 
@@ -699,5 +705,40 @@ def _aggregated(op: str, v: Value, ordinal: Column) -> Column:
     return F.array_distinct(listed) if op == "collect_distinct" else listed
 
 
-def run_query(spark: SparkSession, doc: dict, corpora: dict[str, Corpus] | None = None) -> Result:
-    return Query(doc).run(spark, corpora)
+#: How deep a document's text may be nested.
+DEPTH = 1000
+
+
+def document(given: dict | str | os.PathLike) -> dict:
+    """A document as it is, from its JSON text, or from a file that holds that."""
+    if isinstance(given, dict):
+        return given
+    text = str(given)
+    if not text.lstrip().startswith("{"):
+        with open(given, encoding="utf-8") as f:
+            text = f.read()
+    depth = most = 0
+    in_text = escaped = False
+    for c in text:
+        if in_text:
+            in_text, escaped = escaped or c != '"', c == "\\" and not escaped
+        elif c == '"':
+            in_text = True
+        elif c in "[{":
+            depth += 1
+            most = max(most, depth)
+        elif c in "]}":
+            depth -= 1
+    if most > DEPTH:
+        raise QueryError(f"the document is nested deeper than {DEPTH}")
+    try:
+        found = json.loads(text)
+    except ValueError as e:
+        raise QueryError(f"the document is no JSON: {e}") from e
+    if not isinstance(found, dict):
+        raise QueryError("the document must be an object")
+    return found
+
+
+def run_query(spark: SparkSession, doc: dict | str | os.PathLike, corpora: dict[str, Corpus] | None = None) -> Result:
+    return Query(document(doc)).run(spark, corpora)

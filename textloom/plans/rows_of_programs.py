@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.patterns import Pattern
 from textloom.operators import filters, references, scan, shapes
-from textloom.plans.catalogue import RX, _script, corpus, query
+from textloom.plans.catalogue import BY_ID, RX, _script, _sql_matches, corpus, query
 from textloom.plans.query import run_query
 from textloom.sources.corpus import Corpus
 
@@ -144,6 +144,14 @@ def accounted_scan(spark, sf_dir):
     return spark.createDataFrame([(told["files_scanned"], told["bytes_scanned"], told["matches"], told["complete"])], "files_scanned long, bytes_scanned long, matches long, complete boolean")
 
 
+@query(f"WITH {_sql_matches('loud')} SELECT file, from_ AS start, left(match, 6) AS match, CASE WHEN length(match) > 6 THEN true END AS match_truncated, CASE WHEN length(match) > 6 THEN true END AS truncated FROM m")
+def records_cut(spark, sf_dir):
+    """JSON records of matches within six bytes, with flags on those that are longer."""
+    found = shapes.record(scan.match(corpus(spark, sf_dir), [BY_ID["loud"]], options=scan.Options(frozenset(), max_match=6)))
+    r = F.from_json("json", "file string, `from` long, match string, match_truncated boolean, truncated boolean")
+    return found.select(r.alias("r")).select("r.file", F.col("r.from").alias("start"), "r.match", "r.match_truncated", "r.truncated")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS file, array_to_string(list_sort(ms), ',') AS sorted FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{3,}') AS ms FROM documents) WHERE len(ms) > 0")
 def script_sorted(spark, sf_dir):
     """Each document's numbers as a sorted list (as texts)."""

@@ -9,6 +9,7 @@ Output rows carry their order; `limit`, `skip` and `group_by` are DataFrame oper
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 from bisect import bisect_left, bisect_right
@@ -25,6 +26,7 @@ from textloom.functions.patterns import Pattern, numbered
 from textloom.operators import order, rank
 from textloom.operators.scan import Member, Options, Text, hits, match_members, shown, truncated
 from textloom.plans import maps
+from textloom.plans.query import document
 from textloom.sources.corpus import Corpus
 from textloom.sources.shared import kept
 
@@ -726,8 +728,9 @@ def _merged(events: DataFrame, store: dict, script: Script) -> None:
             held[r.key] = maps.value_of(r.op, held.get(r.key), r.n, r.last, r.listed, int_of, same)
 
 
-def run_script(spark: SparkSession, doc: dict, corpus: Corpus | None = None) -> Output:
+def run_script(spark: SparkSession, doc: dict | str | os.PathLike, corpus: Corpus | None = None) -> Output:
     """Output rows in order, final variables and warnings. Without a corpus the script's own scan is read."""
+    doc = document(doc)
     script, began = Script(doc), time.time()
     corpus = corpus or Corpus.from_files(spark, doc.get("scan", ()), doc.get("exclude", ()))
     store: dict[str, Any] = {}
