@@ -1,17 +1,17 @@
-"""Substring dedup by compaction of the token de Bruijn graph.
+"""Substring dedup by a join of window hashes.
 
-The edges of the graph are windows of `WINDOW` words. An edge is repeated if documents of smaller id hold it too; runs of repeated edges that follow each other
-are paths, compacted into spans of words. Three passes over the texts, which lie in packed slices of some megabytes:
+Windows of `WINDOW` words would be the edges of a token de Bruijn graph, but no graph is built here: there are no nodes, degrees or branching, and nothing is compacted by joins (the README has the figures of what
+runs instead). A window is repeated if documents of smaller id hold it too; repeated windows that follow each other cover spans of words. Three passes over the texts, which lie in packed slices of some megabytes:
 
 1. Anchors: each window's smallest hash of `GRAM` words in a row (about one anchor for five windows). Anchors that stand in one slice
    only cannot belong to a repeated edge. The others fill a Bloom filter of fixed size, each bucket its own segment.
-2. Edges: windows with a kept anchor, each once for a slice with its smallest doc_id, meet in buckets by hash. A bucket answers each slice with
-   one bit for each edge it sent: whether a smaller doc_id holds it. A passage that every document holds is one edge for each slice,
+2. Windows: those with a kept anchor, each once for a slice with its smallest doc_id, meet in buckets by hash. A bucket answers each slice with
+   one bit for each window it sent: whether a smaller doc_id holds it. A passage that every document holds is one window for each slice,
    so no bucket grows with the number of copies.
-3. Paths: a join gives each slice its answers; windows are lined up with their source coordinates (document, word), consecutive repeated
+3. Spans: a join gives each slice its answers; windows are lined up with their source coordinates (document, word), consecutive repeated
    ones become spans, and the words they cover go.
 
-A filter that is too full only lets more windows into pass 2; results stay whole. An edge matches by its 64-bit hash inside buckets of equal anchors, which is a second hash.
+A filter that is too full only lets more windows into pass 2; results stay whole. A window matches by its 64-bit hash inside buckets of equal anchors, which is a second hash.
 
 Defined cases: null and empty texts have no words; a text of fewer words than a window keeps them all; rows that repeat a doc_id are read each, and neither
 counts as smaller; rows whose doc_id is null keep all their words and count for no other; long texts are a slice of their own; an empty table gives an empty result. Other columns are not read.
