@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.errors import LimitExceeded
+from textloom.functions import lexers
 from textloom.functions.lexers import Nest, Scope
 from textloom.operators import filters, order, scan
 from textloom.plans.query import run_query
@@ -196,3 +197,28 @@ def test_accounting_takes_counters_on_the_way(spark, tmp_path):
     account = shapes.Accounting(Corpus.from_text(spark, {"a": "hit hit hit"}))
     assert len(account.shown(scan.match(account.corpus, [Pattern("h", "hit")]), 2).collect()) == 2
     assert (account.record()["complete"], account.record()["stop_reason"], account.record()["matches"]) == (False, "limit", 2)
+
+
+def test_anchor_is_parsed_once(monkeypatch):
+    """The scopes of many texts parse their language's anchor once in a process, and only places where a match may begin are tried."""
+    from textloom.functions import longest, patterns
+
+    lexers._anchor.cache_clear()
+    parsed, tried = [], []
+    real, search = patterns.parser.parse, longest.Longest._longest
+    monkeypatch.setattr(patterns.parser, "parse", lambda *a: parsed.append(a) or real(*a))
+    monkeypatch.setattr(longest.Longest, "_longest", lambda self, text, at: tried.append(at) or search(self, text, at))
+    for k in range(50):
+        assert [(s.name, s.start) for s in lexers.scopes(f"package p\nfunc (a T) one_{k}() {{ x() }}\n", "a.go")] == [(f"one_{k}", 10)]
+    assert len(parsed) < 20  # compiling parses too
+    assert len(tried) == 50
+
+
+def test_small_files_of_many_texts_are_dealt_out(spark, tmp_path):
+    """A file of some hundred kilobytes may stand for many texts."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 1500, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    rows.write.parquet(str(tmp_path / "t"))
+    dealt = Corpus.from_table(spark.read.parquet(str(tmp_path / "t")), "id", "text").spread()
+    assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1

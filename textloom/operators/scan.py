@@ -132,9 +132,9 @@ def rows_of(file: str, content: bytes, walk_ord: int, members: Sequence[Member],
     if not found:
         return
     text, need = t.text, o.need
-    regions = lexers.Nest(lexers.scopes(text, file, o.custom_scope, o.scope) if need & {"scope", "role", "occurrence"} else ())
     forms = lexers.forms(file)
     kinds = lexers.roles(text, forms) if forms and need & {"role", "occurrence", "block"} else None
+    regions = lexers.Nest(lexers.scopes(text, file, o.custom_scope, o.scope, kinds) if need & {"scope", "role", "occurrence"} else ())
     lang = lexers.language(file)
     for s, k, e in found:
         m, line = members[k], t.line(s)
@@ -166,7 +166,7 @@ def rows_of(file: str, content: bytes, walk_ord: int, members: Sequence[Member],
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, FIELDS, strict=True)], names=[n for n, _ in FIELDS])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(c), k) if c.count(None) == len(c) else pa.array(c, k) for c, (_, k) in zip(columns, FIELDS, strict=True)], names=[n for n, _ in FIELDS])
 
 
 def _batches(rows: Iterator[tuple], most: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -256,11 +256,17 @@ def submatch(df: DataFrame, text: str, patterns: Iterable[Pattern], base: str |
 SCOPES = "walk_ord long, file string, name string, kind string, line_start int, line_end int, `from` long, `to` long"
 
 
+def parts(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of some rows, so that as Python's objects only a piece of it stands in memory at once."""
+    for at in range(0, batch.num_rows, most):
+        yield batch.slice(at, most)
+
+
 def list_scopes(corpus: Corpus, scope: str = "auto", custom: tuple[str, str, str, str] | None = None) -> DataFrame:
     """Every named region of every text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 1024)):
             rows = []
             for file, content, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 t = Text(content)

@@ -61,7 +61,7 @@ def roles_of_matches(spark, sf_dir):
 @query(f"SELECT file, line FROM {SEG_LINES} WHERE line = 9")
 def in_scope(spark, sf_dir):
     regions = scan.list_scopes(programs(spark, sf_dir))
-    return filters.in_scope(found(spark, sf_dir, SEGMENTS), regions, "^second_", "func").select("file", "line")
+    return filters.in_scope(found(spark, sf_dir, SEGMENTS, need=()), regions, "^second_", "func").select("file", "line")
 
 
 @query(f"SELECT file, line FROM {SEG_LINES} WHERE line = 5")

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from textloom.functions import lexers
 from textloom.sources import paths
 
-#: Bytes of a table below which one task will do, and of a part of one that is worth dealing out.
-SMALL, PART = 1 << 20, 64 << 20
+#: Bytes of a table below which one task will do (files are compressed, and texts may be made of short keys, so that few bytes can stand for much work), and of a part of one that is worth dealing out.
+SMALL, PART = 64 << 10, 64 << 20
+#: Parts for each core: a task's rows are a quarter of a core's share, and an uneven one holds up less.
+PARTS = 4
 SCHEMA = "file string, content binary, walk_ord long"
 
 
@@ -56,7 +58,7 @@ class Corpus:
             return self.df
         size = int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         cores = self.df.sparkSession.sparkContext.defaultParallelism
-        return self.df.repartition(cores) if SMALL < size < cores * PART else self.df
+        return self.df.repartition(PARTS * cores if size > PARTS * SMALL else cores) if SMALL < size < cores * PART else self.df
 
     def lines(self) -> DataFrame:
         """file, walk_ord, line (from 1), text of every line."""
