@@ -36,6 +36,23 @@ def test_topk_equals_brute_force(spark, ties):
     assert {q: [(s, j) for _, s, j in sorted(v)] for q, v in got.items()} == want
 
 
+def test_topk_batches_hold_few_cells(spark, monkeypatch):
+    """A batch of cells, each of which may have megabytes, holds a bounded number of them, however many blocks meet."""
+    import pyarrow as pa
+
+    def sizes(heads, k):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([batch.num_rows], pa.int64()), pa.array([batch.num_rows], pa.int64())], names=["query_id", "vec_id", "score"])
+
+        return run
+
+    monkeypatch.setattr(topk, "_each", sizes)
+    monkeypatch.setattr(topk, "CELLS", 16_000, raising=False)  # four cells
+    got = topk.search(spark.createDataFrame(rows(300, 6, 1), SCHEMA), lambda c: c % 5 == 0, rows_in_block=60, queries_in_block=1).collect()
+    assert 0 < max(r.score for r in got) <= 40
+
+
 def test_topk_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], "x", 1), (1, [0.5, 0.5], "x", 1)], SCHEMA)
     assert [tuple(r) for r in topk.search(df, lambda c: c % 100 == 0).collect()] == [(0, 1, 1, 1024 * 512 + 2048 * 512)]

@@ -25,6 +25,8 @@ from textloom.llm import vectors
 from textloom.llm.common import table, written
 
 SLICES, ROWS, QUERIES = 2, 4096, 512
+#: Bytes of the cells that one task may hold as one Arrow batch (a batch has up to 10,000 rows, whatever their size).
+CELLS = 32 << 20
 
 
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
@@ -54,9 +56,17 @@ def _products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.array([[sum(map(mul, x, y)) for y in r] for x in ([int(v) for v in row] for row in q.tolist())], dtype=object).reshape(len(q), len(r))
 
 
-def _cells(queries: DataFrame, rows: DataFrame, count: int) -> DataFrame:
-    spread = queries.select("rows", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block")).withColumnRenamed("rows", "queries")
-    return spread.join(rows, "block").select("queries", "rows")
+def _cells(queries: DataFrame, rows: DataFrame, count: int, query_blocks: int, cell: int) -> DataFrame:
+    """Every query block with every row block. A block of rows goes to groups of query blocks, and both sides are dealt into a stated number of parts, which adaptive execution doesn't merge: a part holds some groups' cells, however
+    many blocks there are. cell: bytes of one cell."""
+    size = max(1, CELLS // max(1, cell))
+    groups = math.ceil(query_blocks / size)
+    parts = count * groups
+    place = F.col("block") * groups + F.col("group")
+    spread = queries.select(F.col("rows").alias("queries"), F.pmod("block", F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
+    dealt = rows.select("rows", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "block")
+    one, two = (x.withColumn("place", place).drop("block", "group").repartition(parts, "place") for x in (spread, dealt))
+    return one.hint("merge").join(two, "place").select("queries", "rows")
 
 
 def _each(heads: bool, k: int):
@@ -107,18 +117,20 @@ def search(df: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: st
     """query_id, rank, vec_id, score: for each row where the condition over `key` holds, the k other rows of highest inner product of floor(1024 x)."""
     good = vectors.usable(df, key, vector)
     asked = good.filter(is_query(F.col("key")))
-    n, m = good.count(), asked.count()
+    n, width = good.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    m = asked.count()
     count = max(1, math.ceil(n / rows_in_block))
     rows = written(vectors.blocks(good, count), "topk-blocks")
     query_blocks = max(1, math.ceil(m / queries_in_block))
+    cell = (min(n, rows_in_block) + min(m, queries_in_block)) * 8 * (width + 2)
     schema = "query_id long, vec_id long, score long"
-    heads = _cells(vectors.blocks(asked, query_blocks), rows, count).mapInArrow(_each(True, k), schema)
+    heads = _cells(vectors.blocks(asked, query_blocks), rows, count, query_blocks, cell).mapInArrow(_each(True, k), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = lambda found: found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = once(heads).withColumn("rank", F.row_number().over(order))
     cutoffs = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("score").alias("cutoff"))
     told = asked.join(cutoffs, "key", "left")
-    found = once(_cells(vectors.blocks(told, query_blocks, "cutoff"), rows, count).mapInArrow(_each(False, k), schema))
+    found = once(_cells(vectors.blocks(told, query_blocks, "cutoff"), rows, count, query_blocks, cell).mapInArrow(_each(False, k), schema))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
