@@ -222,3 +222,22 @@ def test_small_files_of_many_texts_are_dealt_out(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "t"))
     dealt = Corpus.from_table(spark.read.parquet(str(tmp_path / "t")), "id", "text").spread()
     assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+@pytest.mark.parametrize("select", [{"one": "x.file", "n": {"count": "*"}}, {"one": "x.file", "n": {"count": "*"}, "total": {"sum": "x.line"}, "kinds": {"count_distinct": "x.match"}, "low": {"min": "x.line"}, "first": {"first": "x.match"}, "seen": {"collect_distinct": "x.match"}}])
+def test_counted_partners_make_no_pairs(spark, select):
+    """What a left row and the number of its partners tell is told without pairs; captures without a part in the match meet, too."""
+    given = {f"f{i}": " ".join(f"a{k % 3}" if k % 4 else "a" for k in range(i, 3 * i)) for i in range(12)}
+    corpus = Corpus.from_text(spark, given)
+    sets = [{"id": s, "scan": ["c"], "patterns": [{"id": s, "regexp": "a([0-9])?", "extract": ["x"]}]} for s in ("l", "r")]
+    on = [{"op": "eq", "left": "y.capture.x", "right": "x.capture.x"}]
+    doc = {"version": 1, "sets": sets, "query": {"from": {"set": "l", "as": "x"}, "joins": [{"type": "inner", "set": "r", "as": "y", "on": on}], "group_by": ["x.file"], "select": select}}
+    found = run_query(spark, doc, {"c": corpus}).df
+    every = [m for t in given.values() for m in re.findall("a[0-9]?", t)]
+    want = {f: [(m, every.count(m)) for m in re.findall("a[0-9]?", t)] for f, t in given.items()}
+    rows = {r.one: r for r in found.collect()}
+    assert {f: r.n for f, r in rows.items()} == {f: sum(n for _, n in v) for f, v in want.items() if v}
+    if "total" in select:
+        assert all(r.total == r.n and r.low == 1 and r.kinds == len({m for m, _ in want[f]}) and r["first"] == want[f][0][0] and r.seen == list(dict.fromkeys(m for m, _ in want[f])) for f, r in rows.items())
+    joins = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
+    assert len(joins) == 2 and "Aggregate" in joins[1]

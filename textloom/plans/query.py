@@ -393,8 +393,13 @@ class Query:
         q = self.query
         df = self._rows(rows, q["from"]["set"], q["from"]["as"])
         order = [q["from"]["as"]]
+        weight = self._weighted()
         for j, on, strategy in self.joins:
-            df = self._joined(df, self._rows(rows, j["set"], j["as"]), j, on, strategy)
+            right = self._rows(rows, j["set"], j["as"])
+            if weight:
+                df = self._met(df, right, on)
+                break
+            df = self._joined(df, right, j, on, strategy)
             if j["type"] in ("inner", "left"):
                 order.append(j["as"])
             if "max_join_rows" in self.limits:
@@ -402,7 +407,7 @@ class Query:
         if "where" in q:
             df = df.filter(self._predicate(q["where"]))
         ordinal = F.struct(*[F.col(f"`{a}`.__at").alias(f"o{i}") for i, a in enumerate(order)])
-        out, kinds = self._grouped(df, ordinal) if self.grouped else self._projected(df)
+        out, kinds = self._grouped(df, F.struct(F.col(f"`{order[0]}`.__at").alias("o0")) if weight else ordinal, weight) if self.grouped else self._projected(df)
         if q.get("order_by"):
             keys = []
             for o in q["order_by"]:
@@ -559,6 +564,41 @@ class Query:
                 return left.join(right, condition & (F.col("__bin") == F.col("__bins")), how).drop("__bin", "__bins")
         return left.join(right, condition, how)
 
+    def _weighted(self) -> bool:
+        """Whether the one join is an equality of captures or other fields, and all that is asked of its rows can be told from the left row and the number of its partners: then no pairs are made."""
+        q = self.query
+        if len(self.joins) != 1 or not self.grouped or "where" in q or self.limits.keys() & {"max_join_rows"}:
+            return False
+        j, on, strategy = self.joins[0]
+        alias = j["as"]
+        if j["type"] != "inner" or strategy != "hash":
+            return False
+        for p in on:
+            sides = [r[0] if isinstance(p.get(s), str) and (r := self._reference(p[s])) else None for s in ("left", "right")]
+            if p["op"] != "eq" or sorted(map(str, sides)) != sorted(map(str, (q["from"]["as"], alias))) or alias == q["from"]["as"]:
+                return False
+            if len({self._operand(p[s]).kind for s in ("left", "right")}) > 1:
+                return False
+        named = lambda x: any(map(named, x.values() if isinstance(x, dict) else x)) if isinstance(x, (dict, list)) else isinstance(x, str) and (r := self._reference(x)) is not None and r[0] == alias
+        collects = any((op := self._aggregate(e)) and op.startswith("collect") and op != "collect_distinct" for e in q["select"].values())
+        return not collects and not named(q["select"]) and not named(q.get("group_by", []))
+
+    def _met(self, left: DataFrame, right: DataFrame, on: list[dict]) -> DataFrame:
+        """left with __n, the number of its partners in right, for rows that have some: both sides meet as keys, and right's are counted first."""
+        alias = self.joins[0][0]["as"]
+        mine, others = [], []
+        for p in on:
+            sides = [p["left"], p["right"]]
+            if self._reference(p["left"])[0] == alias:
+                sides.reverse()
+            mine.append(self._operand(sides[0]).col)
+            others.append(self._operand(sides[1]).col)
+        counts = right.groupBy(*(c.alias(f"__c{i}") for i, c in enumerate(others))).agg(F.count(F.lit(1)).alias("__n"))
+        condition = F.lit(True)
+        for i, c in enumerate(mine):
+            condition &= c.eqNullSafe(F.col(f"__c{i}"))
+        return left.join(counts, condition).drop(*(f"__c{i}" for i in range(len(mine))))
+
     def _bins(self, p: dict, alias: str, kind: str) -> tuple[Column, Column] | None:
         """For a condition that bounds how far its rows may be apart: the bin of a row so far and the bins of a row of `alias` in which it may be, so that each pair meets once; None if there is no such bound."""
         if alias not in (p.get("left"), p.get("right")) or p.get("left") == p.get("right"):
@@ -591,7 +631,7 @@ class Query:
         values = {n: self._expression(e) for n, e in self.query["select"].items()}
         return df.select(*[values[n].col.alias(n) for n in sorted(values)]), {n: v.kind for n, v in values.items()}
 
-    def _grouped(self, df: DataFrame, ordinal: Column) -> tuple[DataFrame, dict[str, str]]:
+    def _grouped(self, df: DataFrame, ordinal: Column, weighted: bool = False) -> tuple[DataFrame, dict[str, str]]:
         q, aggregates, kinds = self.query, [], {}
         for name in sorted(q["select"]):
             e = q["select"][name]
@@ -603,7 +643,7 @@ class Query:
                 continue
             v = self._expression(e[op]) if e[op] != "*" else Value(INT, F.lit(1))
             kinds[name] = INT if op in ("count", "count_distinct", "sum") else LIST if op.startswith("collect") else v.kind
-            aggregates.append(_aggregated(op, v, ordinal).alias(name))
+            aggregates.append(_aggregated(op, v, ordinal, F.col("__n") if weighted else None).alias(name))
         keys = [self._field(*self._reference(g)).col.alias(f"__k{i}") for i, g in enumerate(q.get("group_by", []))]
         out = df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
         if "having" in q:
@@ -688,16 +728,18 @@ def _compare(op: str, a: Value, b: Value) -> Column:
     return F.startswith(_text(a), _text(b)) if op == "starts_with" else F.endswith(_text(a), _text(b))
 
 
-def _aggregated(op: str, v: Value, ordinal: Column) -> Column:
+def _aggregated(op: str, v: Value, ordinal: Column, times: Column | None = None) -> Column:
+    """times: for how many rows a row stands (none: for itself)."""
     if op == "count":
-        return F.count(F.lit(1))
+        return F.count(F.lit(1)) if times is None else F.coalesce(F.sum(times), F.lit(0))
     if op == "first":
         return F.min_by(F.struct(v.col.alias("v")), ordinal)["v"]
     if op == "count_distinct":
         return F.count_distinct(F.struct(v.col.isNull().alias("n"), _text(v).alias("t")))
     if op == "sum":
         number = v.col.cast("long") if v.kind in (INT, BOOL) else F.size(v.col).cast("long") if v.kind == LIST else F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(_text(v), r"^\s*([-+]?\d{1,18})", 1), F.lit("")), F.lit("S999999999999999999")).cast("long"), F.lit(0))
-        return F.coalesce(F.sum(F.coalesce(number, F.lit(0))), F.lit(0)).cast("long")
+        number = F.coalesce(number, F.lit(0))
+        return F.coalesce(F.sum(number if times is None else number * times), F.lit(0)).cast("long")
     if op in ("min", "max"):
         key = F.struct(v.col.isNotNull().alias("n"), v.col.cast("long").alias("k")) if v.kind in (INT, BOOL) else F.struct(_text(v).alias("k"))
         return (F.min_by if op == "min" else F.max_by)(F.struct(v.col.alias("v")), key)["v"]
