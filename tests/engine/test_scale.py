@@ -241,3 +241,14 @@ def test_counted_partners_make_no_pairs(spark, select):
         assert all(r.total == r.n and r.low == 1 and r.kinds == len({m for m, _ in want[f]}) and r["first"] == want[f][0][0] and r.seen == list(dict.fromkeys(m for m, _ in want[f])) for f, r in rows.items())
     joins = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
     assert len(joins) == 2 and "Aggregate" in joins[1]
+
+
+def test_references_of_small_files_stay_dealt(spark):
+    """Many small files with references are not merged into one task for the few bytes they have."""
+    from textloom.operators import references
+
+    texts = spark.range(400).select(F.concat(F.lit("f"), "id", F.lit(".go")).alias("file"), F.lit("func a() {\n}\n").alias("text"), "id")
+    corpus = Corpus.from_table(texts, "file", "text", "id")
+    found = references.expand(spark, corpus, texts.select(F.concat("file", F.lit(":2")).alias("ref")))
+    held = found.groupBy(F.spark_partition_id().alias("at")).agg(F.count(F.lit(1)).alias("n"), F.max("status").alias("status")).collect()
+    assert sum(r.n for r in held) == 400 and {r.status for r in held} == {"ok"} and max(r.n for r in held) < 100

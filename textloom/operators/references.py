@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from textloom.errors import QueryError
 from textloom.functions import lexers
-from textloom.operators import seen
+from textloom.operators import scan, seen
 from textloom.operators.scan import Text
 from textloom.operators.seen import unseen
-from textloom.sources.corpus import Corpus
+from textloom.sources.corpus import PARTS, Corpus
 
 # The 64-bit FNV-1a hash; a reference shows its low 24 bits.
 BASIS, PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -65,13 +65,16 @@ def expand(spark: SparkSession, corpus: Corpus, refs: list[str] | DataFrame) ->
     bad = wanted.filter("file is null or line < 1").limit(1).collect()
     if bad:
         raise QueryError(f"bad reference {bad[0].ref}")
-    by_file = wanted.groupBy("file").agg(F.collect_list(F.struct("ref", "line", "hash")).alias("refs"))
-    joined = by_file.join(corpus.df.filter("content is not null").select("file", "content"), "file", "left").select("file", "refs", "content")
+    # a stated number of parts: adaptive execution would merge them by their compressed bytes, which say little about the work on many small files
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS * spark.sparkContext.defaultParallelism)
+    by_file = wanted.repartition(count, "file").groupBy("file").agg(F.collect_list(F.struct("ref", "line", "hash")).alias("refs"))
+    texts = corpus.df.filter("content is not null").select("file", "content").repartition(count, "file")
+    joined = by_file.join(texts, "file", "left").select("file", "refs", "content")
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (p for b in batches for p in scan.parts(b)):
             rows: list[tuple] = []
             for file, some, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if content is None:
