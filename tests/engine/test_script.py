@@ -361,3 +361,16 @@ def test_files_that_hang_on_earlier_ones_run_in_order(spark, actions):
     corpus = Corpus.from_text(spark, {"a": "x x", "b": "x"})
     _, out = run(spark, corpus, variables={"n": {"type": "int", "default": 1}}, patterns=[{"id": "p", "regexp": "x", "on_match": actions}])
     assert "one task" in out.warnings[0]
+
+
+def test_scripts_take_a_batch_in_pieces():
+    """Of a batch of ten thousand files only some stand as Python objects at once, and rows leave as a piece ends."""
+    import pyarrow as pa
+
+    from textloom.plans.script import Script, _files
+
+    script = Script({"patterns": [{"id": "a", "regexp": "a", "on_match": [{"action": "print", "value": "$FILE"}]}]})
+    script.tabled = set()
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(1000)]), pa.array([b"a"] * 1000), pa.array(range(1000), pa.int64())], names=["file", "content", "walk_ord"])
+    out = [b.num_rows for b in _files(script, script.phases[0], [], {}, set(), True, {}, None)(iter([batch]))]
+    assert sum(out) == 1003 and max(out) <= 256

@@ -25,6 +25,7 @@ from textloom.functions import lexers
 from textloom.functions.patterns import Pattern, numbered
 from textloom.operators import order, rank
 from textloom.operators.scan import Member, Options, Text, hits, match_members, shown, truncated
+from textloom.operators.scan import parts as scan_parts
 from textloom.plans import maps
 from textloom.plans.query import document
 from textloom.sources.corpus import Corpus
@@ -614,7 +615,7 @@ def _files(script: Script, phase: Phase, ends: list[dict], store: dict, shared:
     def run(batches):
         m = Machine(json.loads(json.dumps(own)), script.types, shared, before=before, after=after, most=most, scope=script.scope, budgets=script.budgets)
         keep, read = json.dumps(own), {"files": 0, "bytes": 0}
-        for batch in batches:
+        for batch in (p for b in batches for p in scan_parts(b)):
             out = []
             more = [batch.column(n).to_pylist() if n in batch.schema.names else [None] * batch.num_rows for n in ("maps", "state")]
             for file, content, at, part, state in zip(*(batch.column(i).to_pylist() for i in range(3)), *more, strict=True):
@@ -646,7 +647,7 @@ def _deltas(script: Script, phase: Phase, ends: list[dict], store: dict, carry:
     def run(batches):
         keep = json.dumps(store)
         m = Machine({}, script.types, set(carry), before=before, after=after, most=most, scope=script.scope, budgets=script.budgets)
-        for batch in batches:
+        for batch in (p for b in batches for p in scan_parts(b)):
             out = []
             for file, content, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 m.rows, m.events, m.store = [], [], json.loads(keep)
@@ -685,7 +686,7 @@ def _asked(script: Script, phase: Phase, store: dict):
         m = Machine(json.loads(json.dumps(own)), script.types, scope=script.scope, budgets=script.budgets, before=doc.get("context_before", doc.get("context", 0)), after=doc.get("context_after", doc.get("context", 0)))
         members = [Member(p, "", i) for i, p in enumerate(phase.patterns)]
         lookups = [[] if absent else maps.asked_for(actions, script.tabled) for actions, absent in zip(phase.actions, phase.absent, strict=True)]
-        for batch in batches:
+        for batch in (p for b in batches for p in scan_parts(b)):
             out = []
             for file, content, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 m.file, m.text = file, Text(content)
