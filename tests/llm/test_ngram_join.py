@@ -92,3 +92,25 @@ def test_many_repeated_keys(spark):
     rows += [(1, None), (1, ""), (150, "one")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((tuple(r) for r in ngram_join.join(df).collect()), key=repr) == brute(rows, 5)
+
+
+def _join_rows(spark, run):
+    """What run returns, and how many rows the joins of its queries made."""
+    store = spark._jvm.org.apache.spark.sql.classic.SparkSession.active().sharedState().statusStore()
+    before, found, made = store.executionsCount(), run(), 0
+    runs = store.executionsList()
+    for k in range(before, runs.size()):
+        values, nodes = store.executionMetrics(runs.apply(k).executionId()), store.planGraph(runs.apply(k).executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+            made += sum(int(values.get(m.accumulatorId()).get().replace(",", "")) for m in metrics if "Join" in node.name() and m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined())
+    return found, made
+
+
+def test_sets_of_a_family_meet_at_few_tokens(spark):
+    """60 sets of 100 shingles, each with 10 of its own and then 18 that all hold: a pair meets once, not at each token, and is not lost; sets with 12 of their own can link with nothing."""
+    rows = [(1000 + t, rep, rep, 100, own + t) for rep in range(80) for own in [10 if rep < 60 else 12] for t in range(18)]
+    held = spark.createDataFrame(rows, "token long, rep long, comp long, n int, i int")
+    found, made = _join_rows(spark, lambda: ngram_join._opened(held).collect())
+    assert sorted((r.a, r.b) for r in found) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    assert 0 < made <= 5 * len(found)

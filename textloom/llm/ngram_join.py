@@ -7,9 +7,9 @@ component under links, so groups of copies are never expanded into pairs.
 2. Order and prefixes: shingles are ordered by the class of their count, then by hash. Two sets that link share at least L shingles among the first
    n - ceil(0.8 n) + L of each in any fixed order, so only these prefixes travel (L is 2 + n / 16, for small sets 1); common passages come last in the order and rarely travel.
 3. Groups: in each token's bucket, sets of similar size meet the first of them; each set is compared with the first that it meets most often, and verified links give the first components, which are the groups.
-4. Matrix: for each token the groups whose members hold it in their prefix (the group's token union), with their sizes and positions. A set's overlap with a foreign
-   group's union bounds its overlap with every member; only groups that reach L are opened, and only for
-   members that hold one of the rarest tokens of the overlap, as a similar member must. Before that, `TURNS` rounds compare each set with one neighbour in its tokens' lists, which joins near copies without their pairs. All opened pairs are verified exactly. Nothing is capped, so no link is lost.
+4. Matrix: before it, `TURNS` rounds compare each set with one neighbour in its tokens' lists, which joins near copies without their pairs. Then a set keeps the tokens that a similar holder of them could share
+   (`_reduced`), all but the last L - 1 of them in the order of their holders. For each such token the matrix has the groups whose members hold it, with their sizes and tokens of their own. Two groups meet once at a token, unless
+   they have met at the one before, and only groups of more than one holder are opened, for members of which the same holds. Pairs that are left must share L tokens (`_alike`); then they are verified exactly. Nothing is capped, so no link is lost.
 
 Verification reads the texts of the documents in opened pairs again; a Bloom filter of fixed size spares the others.
 Shingles match by 64-bit hashes.
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import LOWER, Hasher, column_bytes, mix, slices, table, word_spans, written
+from textloom.llm.common import LOWER, Hasher, column_bytes, forget, mix, slices, table, word_spans, written
 
 SHINGLE = 5
 CELLS, CHUNK = 1 << 20, 1 << 16
@@ -281,32 +281,56 @@ def _neighbours(held: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
+def _reduced(held: DataFrame) -> DataFrame:
+    """token, rep, comp, n, i, own (tokens up to this one that no other component's prefix holds), rare (whether the set meets others by it), prev (the rare token before) of the tokens that a similar set can share.
+
+    A set's tokens up to a common one that nobody else holds are in no similar set: it has n - ceil(4 n / 5) such at most. Of the tokens that are left, similar sets share L or more; so they
+    share one of all but the last L - 1 in any order, here that of the tokens' holders, in which what a large family has in common comes last.
+    """
+    all_of = f"ceil({NUM} * n / {DEN})"
+    by_token = Window.partitionBy("token")
+    ranked = held.withColumn("own", F.col("i") + 1 - F.row_number().over(Window.partitionBy("rep").orderBy("i", "token")))
+    # what a similar set has in common with this one at least: it holds the token, so it has `least` shingles or more
+    common = f"greatest({all_of}, ceil(4 * (n + least) / 9))"
+    close = ranked.withColumn("least", F.min("n").over(by_token)).filter(f"n - own >= {common} and n - i >= {common} - {_least('n')} + 1")
+    apart = close.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token), "holders": F.count(F.lit(1)).over(by_token)}).filter("low < high")
+    by_rep = Window.partitionBy("rep")
+    rare = by_rep.orderBy("holders", "token")
+    placed = apart.withColumns({"tokens": F.count(F.lit(1)).over(by_rep), "turn": F.row_number().over(rare), "prev": F.lag("token").over(rare)})
+    return placed.filter(f"tokens >= {_least(all_of)}").select("token", "rep", "comp", "n", "i", "own", F.expr(f"turn <= tokens - {_least(all_of)} + 1").alias("rare"), "prev")
+
+
+def _alike(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share L tokens of rows, with at most (n + m) / 9 tokens of one only up to the L-th."""
+    place = F.struct("i", "token")
+    lists = rows.groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(place)).alias("p")).select("rep", "n", F.col("p.token").alias("tokens"), F.col("p.i").alias("places"))
+    side = lambda x: lists.select(F.col("rep").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "tokens", "places")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumns({"l": F.expr(_least("least(a_n, b_n)")).cast("int"), "common": F.array_intersect("a_tokens", "b_tokens")}).filter("size(common) >= l")
+    at = lambda x: f"element_at({x}_places, cast(array_position({x}_tokens, element_at(common, l)) as int))"
+    return both.filter(f"9 * ({at('a')} + {at('b')} + 2 - 2 * l) <= a_n + b_n").select("a", "b")
+
+
 def _opened(held: DataFrame) -> DataFrame:
     """Pairs of sets of different components that the matrix and then the members' own tokens leave possible.
 
-    The j-th common token of similar sets of n and m shingles has at least ceil(4 / 9 (n + m)) - j + 1 shingles from there on in both; so L tokens of a similar pair pass with j = L.
+    Where the reduced tokens before are equal, too, a pair has met there already.
     """
-    matrix = held.groupBy("token", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("rest"), F.min("rep").alias("one"), F.max("rep").alias("two"), F.count(F.lit(1)).alias("holders"))
-    loose = f"ceil(4 * (n + least) / 9) - {_least('n')} + 1"
-    foreign = held.join(matrix, "token").filter("comp <> group").filter(f"{DEN} * n >= {NUM} * least and {NUM} * n <= {DEN} * most").filter(f"n - i >= {loose} and rest >= {loose}")
-    # a token that one member holds serves that member only, whose size and place are known
-    fits = lambda size, rest: f"least(n - i, {rest}) >= ceil(4 * (n + {size}) / 9) - {_least(f'least(n, {size})')} + 1"
-    foreign = foreign.filter(f"one <> two or ({DEN} * n >= {NUM} * least and {DEN} * least >= {NUM} * n and {fits('least', 'rest')})")
-    # tokens that the set shares with the group's union bound the tokens shared with any member
-    pair = Window.partitionBy("rep", "group")
-    need = _least(f"ceil({NUM} * n / {DEN})")
-    enough = f"hits >= {need}"
-    opened = foreign.withColumns({"hits": F.count(F.lit(1)).over(pair), "one": F.min("one").over(pair), "two": F.max("two").over(pair)}).filter(enough)
-    # a group in which one member holds all these tokens is that member's row of the matrix: nothing is left to open
-    single = opened.filter("one = two").select("rep", "n", F.col("one").alias("other"), F.col("least").alias("size"), "i", "rest").filter(fits("size", "rest"))
-    single = single.groupBy("rep", "n", "other", "size").agg(F.count(F.lit(1)).alias("hits")).filter(f"hits >= {_least('least(n, size)')}")
-    # a similar member holds `need` of these tokens, so one at least of any hits - need + 1, of which those with the fewest holders open the fewest members
-    order = F.row_number().over(Window.partitionBy("rep", "group").orderBy("holders", "token"))
-    several = opened.filter("one <> two").withColumn("turn", order).filter(f"turn <= hits - ({need}) + 1").select("token", "rep", "n", "i", "group")
-    members = held.select("token", F.col("comp").alias("group"), F.col("rep").alias("other"), F.col("n").alias("size"), F.col("i").alias("j"))
-    found = several.join(members, ["token", "group"]).filter(f"{DEN} * n >= {NUM} * size and {DEN} * size >= {NUM} * n").filter(fits("size", "size - j"))
-    found = found.select("rep", "other").union(single.select("rep", "other"))
-    return found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    every = written(_reduced(held), "reduced")
+    rows = every.filter("rare")
+    matrix = rows.groupBy("token", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("own").alias("fewest"), F.max(F.col("n") - F.col("own")).alias("rest"), F.min("rep").alias("one"), F.max("rep").alias("two"), F.count(F.lit(1)).alias("holders"), F.min("prev").alias("before"), F.max("prev").alias("after"), F.count("prev").alias("later"))
+    # of two groups, the members of the one with fewer holders meet the other's row
+    sides = rows.withColumn("beside", F.count(F.lit(1)).over(Window.partitionBy("token", "comp")))
+    possible = f"n - own >= ceil(4 * (n + least) / 9) and rest >= ceil(4 * (n + least) / 9) and 9 * (own + fewest) <= n + most"
+    begins = "prev is null or later < holders or before < after or prev <> before"
+    foreign = sides.join(matrix, "token").filter("comp <> group and (beside < holders or beside = holders and comp < group)").filter(f"{DEN} * n >= {NUM} * least and {NUM} * n <= {DEN} * most and {possible} and ({begins})")
+    fits = lambda size, own: f"{DEN} * n >= {NUM} * {size} and {DEN} * {size} >= {NUM} * n and least(n - own, {size} - {own}) >= ceil(4 * (n + {size}) / 9)"
+    foreign = foreign.select("token", "rep", "n", "own", "prev", "group", "one", "two", "least", "fewest").filter(f"one <> two or {fits('least', 'fewest')}")
+    single = foreign.filter("one = two").select("rep", F.col("one").alias("other"))
+    members = rows.select("token", F.col("comp").alias("group"), F.col("rep").alias("other"), F.col("n").alias("size"), F.col("own").alias("their"), F.col("prev").alias("last"))
+    met = foreign.filter("one <> two").join(members, ["token", "group"])
+    found = met.filter(f"{fits('size', 'their')} and 9 * (own + their) <= n + size and (prev is null or last is null or prev <> last)")
+    found = found.select("rep", "other").union(single)
+    return _alike(every, found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
 
 
 def _least(n: str) -> str:
@@ -340,6 +364,7 @@ def _linked_sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, bool
     meta = meta.mapInArrow(_meta(several), "name long, doc long, th long, n long, one long, two long")
     reps = meta.filter("n > 0").groupBy("n", "one", "two").agg(F.min("name").alias("rep"))
     rep_of = written(meta.join(reps, ["n", "one", "two"], "left").select("name", "doc", "th", "n", F.coalesce("rep", "name").alias("rep")), "classes")
+    forget(told)
     one_rep = rep_of.filter("n > 0").groupBy(F.col("name").alias("doc")).agg(F.min("rep").alias("rep"))
 
     sent = docs.mapInArrow(_prefixes("text", size, buckets, classes, several), "bucket int, tokens binary, docs binary, sizes binary, places binary")
@@ -363,7 +388,9 @@ def _linked_sets(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, bool
         else:
             rows = held.drop("comp").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         apart = rows.withColumn("low", F.min("comp").over(by_token)).withColumn("high", F.max("comp").over(by_token)).filter("low < high")
+        read = met if held is None else held
         held = written(apart.groupBy("token", "rep", "comp").agg(F.max("n").alias("n"), F.max("i").alias("i")), "held")
+        forget(read)
         if turn <= TURNS:
             found = _neighbours(held, turn)
         else:
